@@ -105,6 +105,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, row_id: str = "vec_id
         cols = np.array([(a, b, c) for a, _, b, c in found], np.int64).reshape(-1, 3)
         return pa.table({"query_id": cols[:, 0], "vec_id": cols[:, 1], "score": cols[:, 2]})
 
-    best = queries.groupBy("qb", "cb", "dim").cogroup(candidates.groupBy("qb", "cb", "dim")).applyInArrow(run, "query_id long, vec_id long, score long")
+    # A pair of blocks is much work on few bytes, so tasks are not to be merged by size.
+    deal = lambda t: t.repartition(min(qb * cb, 1 << 14), "qb", "cb", "dim").groupBy("qb", "cb", "dim")
+    best = deal(queries).cogroup(deal(candidates)).applyInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
