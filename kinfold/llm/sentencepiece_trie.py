@@ -41,12 +41,17 @@ class Trie:
         # Merges go by score, best first; a single character is not a merge.
         order = sorted((i for p, i in self.id.items() if len(p) > 1), key=lambda i: -sp.get_score(i))
         self.rank = {i: k + 1 for k, i in enumerate(order)}
-        self.longest = max(map(len, self.id))
         self.parts: dict[int, tuple[int, int] | None] = {}
         for i in order:
             self.parts[i] = self._last_merge(self.pieces[i])
         #: Pieces that merging can make.
         self.ends = {p: i for p, i in self.id.items() if len(p) == 1 or self.parts[i] is not None}
+        self.suffixes: dict = {}  # pieces from their ends, characters to nodes and "" to the piece
+        for p, i in self.ends.items():
+            node = self.suffixes
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = i
         raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
@@ -114,7 +119,7 @@ class Trie:
         before = ""
         last: list[int] = [-1]  # by prefix length: the last piece of the prefix's encoding; -2 for a character of bytes
         size: list[int] = [0]  # and its length
-        ends, longest, follows = self.ends, self.longest, self.follows
+        suffixes, pairs, follows = self.suffixes, self.pairs, self.follows
         for word in words:
             k, most = 0, min(len(before), len(word))
             while k < most and before[k] == word[k]:
@@ -122,13 +127,26 @@ class Trie:
             self.saved += k
             del last[k + 1 :], size[k + 1 :]
             for e in range(k + 1, len(word) + 1):
-                for s in range(max(0, e - longest), e):
-                    i = ends.get(word[s:e])
-                    if i is not None and (last[s] < 0 or follows(last[s], i)):
-                        last.append(i)
-                        size.append(e - s)
+                node, s = suffixes, e
+                while s:
+                    s -= 1
+                    node = node.get(word[s])
+                    if node is None:
+                        s = -1
                         break
+                    i = node.get("")
+                    if i is not None:
+                        p = last[s]
+                        ok = True if p < 0 else pairs.get(p << 20 | i)
+                        if ok is None:
+                            ok = follows(p, i)
+                        if ok:
+                            last.append(i)
+                            size.append(e - s)
+                            break
                 else:
+                    s = -1
+                if s < 0:
                     last.append(-2)
                     size.append(1)
             self.steps += len(word) - k
