@@ -9,6 +9,8 @@ smallest sizes and largest remaining lengths (what is behind the token's positio
 Skipping between sets: candidates gather around the lead, the set most of them are paired with. Each member's overlap with the
 lead is computed once as a mask; the answers among members follow from the masks plus the few tokens outside the lead.
 Candidate pairs whose sets are in one component by then are skipped; only the rest is compared text by text.
+Before any of this a candidate pair's parity bitmaps are compared: bits in which they differ are at most the tokens in which the
+sets differ, so many pairs are ruled out for certain by a few bytes.
 
 Lists longer than Limits.long are not paired up at first: their sets are compared with a few pivots. What is then still in different
 components is paired in blocks, without the pairs inside the list's largest component. This handles every list
@@ -36,18 +38,20 @@ BLOCK, FLUSH = 32, 1 << 21
 class Limits:
     """Sizes that steer the work; results do not depend on them."""
 
-    long: int = 256  # a longer index list is compared with pivots first
-    pivots: int = 4
+    long: int = 16  # a longer index list is compared with pivots first
+    pivots: int = 8
+    rounds: int = 1  # of further pivots, before what is left of long lists is paired in blocks
     group: int = 192  # sets to a group around a lead, about
     grid: int = 1024  # sets to a block of a long list, about
-    hot: int = 128  # a token of so many sets comes last in the order
-    max_hot: int = 1 << 20  # of such tokens, so many (the most frequent) are known to all tasks: 16 MB
+    dealt: int = 1 << 17  # members of shorter lists to a group, about
+    hot: int = 4  # tokens of so many sets come last in the order, by their number
+    max_hot: int = 1 << 18  # of such tokens, at most so many (the most frequent) are known to all tasks: 4 MB
     hot_part: int = 1 << 16  # postings of one token to a part
     bucket: int = 1 << 20  # postings to a bucket, about
 
 
 #: Of the hash range: tokens above it are not counted, as they hardly ever are in a prefix.
-COUNTED = 0.45
+COUNTED = 0.6
 
 
 def name_of(tokens: np.ndarray) -> int:
@@ -72,14 +76,35 @@ def sets_of(batch_column, width: int):
         yield from zip(range(i, j), shingle_sets(raw, offs[i : j + 1], width), strict=True)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Which remainders modulo a power of two, about the set's size, an odd number of tokens has."""
+    bits = 1 << max(6, len(s).bit_length())
+    return np.packbits((np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int, num: int, den: int) -> bool:
+    """False only if sets of sizes n and m with these parities cannot link."""
+    if den * min(n, m) < num * max(n, m):
+        return False
+    x, y = int.from_bytes(a), int.from_bytes(b)
+    size = len(a)
+    if len(b) > len(a):
+        x, y, size = y, x, len(b)
+    while size > min(len(a), len(b)):  # the larger one, folded
+        size //= 2
+        x = (x >> 8 * size) ^ (x & ((1 << 8 * size) - 1))
+    return (x ^ y).bit_count() <= n + m - 2 * needed(n, m, num, den)
+
+
 def _describe(width):
     def run(batches):
-        """(id, key, text) -> (id, key, size, name)."""
+        """(id, key, text) -> (id, key, size, name, parity)."""
         for batch in batches:
-            n, names = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n, names, bits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for i, s in sets_of(batch.column(2), width):
-                n[i], names[i] = len(s), name_of(s) if len(s) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(names, mask=n == 0)], names=["id", "key", "n", "name"])
+                if len(s):
+                    n[i], names[i], bits[i] = len(s), name_of(s), parity(s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(names, mask=n == 0), pa.array(bits, pa.binary())], names=["id", "key", "n", "name", "bits"])
 
     return run
 
@@ -129,8 +154,8 @@ def _frequent(least):
 # ---- prefix postings and index lists ----
 
 
-def ordered_prefix(s: np.ndarray, bits: int, hot: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of a sorted set with the frequent tokens last, and for each the index in hot, or -1."""
+def ordered_prefix(s: np.ndarray, bits: int, hot: np.ndarray, place: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a sorted set with the frequent tokens last, by their place, and for each the index in hot, or -1."""
     p = prefix_length(len(s), num, den)
     if not len(hot):
         return s[:p], np.full(p, -1)
@@ -141,8 +166,9 @@ def ordered_prefix(s: np.ndarray, bits: int, hot: np.ndarray, num: int, den: int
     if not is_hot.any():
         return s[:p], np.full(p, -1)
     rare = np.concatenate([counted[~is_hot], s[len(counted) :]])[:p]
-    late = counted[is_hot][: p - len(rare)]
-    return np.concatenate([rare, late]), np.concatenate([np.full(len(rare), -1), at[is_hot][: len(late)]])
+    at = at[is_hot]
+    late = np.lexsort((counted[is_hot], place[at]))[: p - len(rare)]
+    return np.concatenate([rare, counted[is_hot][late]]), np.concatenate([np.full(len(rare), -1), at[late]])
 
 
 _POST = ["bucket", "part", "token", "name", "n", "rest"]
@@ -153,6 +179,8 @@ def _postings(width, hot_bits, bits, hot, num, den, hot_part):
         """(text) -> (bucket, part, packed postings). rest: tokens of the set from this position on, this one included."""
         tokens, parts, names, sizes, lengths, size, seen = [], [], [], [], [], 0, set()
         keys, counts = hot.value
+        places = np.empty(len(keys), np.int64)
+        places[np.lexsort((keys, counts))] = np.arange(len(keys))
 
         def out():
             tok = np.concatenate(tokens)
@@ -177,7 +205,7 @@ def _postings(width, hot_bits, bits, hot, num, den, hot_part):
                     continue
                 if len(seen) < FLUSH:
                     seen.add(name)
-                tok, at = ordered_prefix(s, hot_bits, keys, num, den)
+                tok, at = ordered_prefix(s, hot_bits, keys, places, num, den)
                 # A token of very many sets is dealt into parts; part 0 is everything else.
                 split = np.where(at >= 0, counts[at] // hot_part if len(counts) else 0, 0)
                 parts.append(np.where(split > 0, 1 + (name & 0x7FFFFFFF) % np.maximum(split, 1), 0))
@@ -241,7 +269,7 @@ def _lists(num, den, lim):
         split = key[1].as_py() > 0
         pairs, members = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
         # Short lists all together, by distance in the list.
-        short = (size <= BLOCK) & (not split)
+        short = (size <= min(lim.long, BLOCK)) & (not split)
         rows = np.repeat(short, size)
         ends = np.repeat(at + size, size)
         i = np.flatnonzero(rows)
@@ -259,7 +287,8 @@ def _lists(num, den, lim):
                 pairs.append(np.stack([name[a + p], name[a + q]], 1))
             else:
                 members.append(np.arange(a, b))
-                for pivot in {int(a + L * (2 * k + 1) // (2 * lim.pivots)) for k in range(lim.pivots)}:
+                # The same sets lead wherever they are, so that a group of near copies has few of them.
+                for pivot in (a + np.argsort(mix(name[a:b].view(U)), kind="stable")[: lim.pivots]).tolist():
                     x = np.arange(a, b)
                     ok = (den * np.minimum(n[x], n[pivot]) >= num * np.maximum(n[x], n[pivot])) & (np.minimum(rest[x], rest[pivot]) >= needed(n[x], n[pivot], num, den)) & (x != pivot)
                     pairs.append(np.stack([np.full(ok.sum(), name[pivot]), name[x[ok]]], 1))
@@ -355,18 +384,38 @@ def _pair_links(width, num, den):
     return run
 
 
+def _may_link(num, den):
+    def run(batches):
+        """(a, b, sizes, parities) -> pairs that may link."""
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(k).to_pylist() for k in range(6))
+            ok = pa.array([may_link(*v, num, den) for v in zip(x, y, n, m, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return run
+
+
 def _grid_pairs(num, den):
     def run(key, table):
-        """Two blocks of a long list -> pairs in different components that size and position do not rule out."""
-        t = {c: table.column(c).combine_chunks().to_numpy() for c in ("a", "n", "rest", "component", "block")}
-        order = np.argsort(t["n"], kind="stable")
-        t = {c: x[order].astype(np.int64) for c, x in t.items()}
-        p, q = block_pairs(t["n"], t["rest"], num, den)
+        """Whole lists, or two blocks of a long one -> pairs in different components that size, position and parity do not rule out."""
+        t = {c: table.column(c).combine_chunks().to_numpy().astype(np.int64) for c in ("token", "a", "n", "rest", "component", "block")}
+        order = np.lexsort((t["n"], t["token"]))
+        t = {c: x[order] for c, x in t.items()}
+        bits = table.column("bits").take(pa.array(order)).to_pylist()
         i, j = key[1].as_py(), key[2].as_py()
-        x, y = t["block"][p], t["block"][q]
-        ok = (t["component"][p] != t["component"][q]) & (((x == i) & (y == j)) | ((x == j) & (y == i)))
-        p, q = t["a"][p[ok]], t["a"][q[ok]]
-        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(t["token"])) + 1, [len(order)]])
+        out = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            p, q = block_pairs(t["n"][a:b], t["rest"][a:b], num, den)
+            p, q = p + a, q + a
+            ok = t["component"][p] != t["component"][q]
+            ok[ok] = [may_link(bits[x], bits[y], t["n"][x], t["n"][y], num, den) for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True)]
+            if i >= 0:
+                x, y = t["block"][p], t["block"][q]
+                ok &= ((x == i) & (y == j)) | ((x == j) & (y == i))
+            out.append(np.sort(np.stack([t["a"][p[ok]], t["a"][q[ok]]], 1), axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -383,21 +432,35 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     spark, lim = docs.sparkSession, lim or Limits()
     key = F.xxhash64(row_id, text)
     kind = docs.schema[row_id].dataType.simpleString()
-    nodes = store(docs.select(F.col(row_id).alias("id"), key.alias("key"), text).mapInArrow(_describe(width), f"id {kind}, key long, n long, name long"), "sets")
+    nodes = store(docs.select(F.col(row_id).alias("id"), key.alias("key"), text).mapInArrow(_describe(width), f"id {kind}, key long, n long, name long, bits binary"), "sets")
+    classes = store(nodes.where("name is not null").groupBy("name").agg(F.min(F.struct("key", "n", "bits")).alias("x"), F.min("id").alias("id")).select("name", "x.*", "id"), "classes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     power = lambda x: max(4, int(np.ceil(np.log2(max(1, x)))))
 
     # Which tokens are frequent decides on order and speed, never on results.
     bits = min(30, power(total * COUNTED / (2 * lim.bucket)))
     frequent = docs.select(text).mapInArrow(_count_blobs(width, bits), "bucket int, tokens binary").groupBy("bucket").applyInArrow(_frequent(lim.hot), "token long, n long")
-    hot = sorted(tuple(r) for r in frequent.orderBy(F.desc("n"), "token").limit(lim.max_hot).collect())
-    shared = spark.sparkContext.broadcast((np.array([t for t, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)))
+    frequent = store(frequent.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "frequent")
+    least, n = 0, 0
+    for r in frequent.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        n += r.n
+        if n > lim.max_hot:
+            least = r.level + 1
+            break
+    hot = frequent.where(F.col("level") >= least).select("token", "n").toArrow()
+    order = np.argsort(hot.column("token").to_numpy())
+    shared = spark.sparkContext.broadcast((hot.column("token").to_numpy()[order], hot.column("n").to_numpy()[order]))
 
     hot_bits, bits = bits, min(30, power(total * (den - num) / den / lim.bucket))
     post = docs.select(text).mapInArrow(_postings(width, hot_bits, bits, shared, num, den, lim.hot_part), "bucket int, part int, token binary, name binary, n binary, rest binary")
     found = store(post.groupBy("bucket", "part").applyInArrow(_lists(num, den, lim), _FOUND), "found")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    pairs = store(pairs, "pairs")
+
+    def possible(p):
+        x = classes.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+        y = classes.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+        return p.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_link(num, den), "a long, b long")
+
+    pairs = store(possible(found.where("kind = 0").select("a", "b").distinct()), "pairs")
 
     # Groups around the set that most candidates of a set are paired with.
     both = pairs.union(pairs.select("b", "a"))
@@ -407,8 +470,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     many = lead.groupBy("lead").agg(F.ceil(F.count("*") / lim.group).cast("int").alias("salts"))
     member = lead.join(many, "lead").select("name", "lead", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int").alias("salt"), "salts")
     member = store(member, "members")
-    wanted = member.select("name").distinct().join(nodes.where("name is not null").groupBy("name").agg(F.min("key").alias("key")), "name")
-    texts = store(docs.select(key.alias("key"), F.col(text).alias("text")).join(wanted, "key").select("name", "text").dropDuplicates(["name"]), "texts")
+
+    def texts_of(names):
+        wanted = names.join(classes.select("name", "key"), "name")
+        return docs.select(key.alias("key"), F.col(text).alias("text")).join(wanted, "key").select("name", "text").dropDuplicates(["name"])
+
+    texts = store(texts_of(member.select("name").distinct()), "texts")
     leads = member.where("name = lead").select("name", "lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = member.where("name <> lead").select("name", "lead", "salt")
     alone = member.where("name = lead").select("lead")
@@ -425,6 +492,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     rest = label(label(pairs, "a", "ca"), "b", "cb").where("ca <> cb")
     rest = rest.join(where.select(F.col("name").alias("a"), F.col("group").alias("ga")), "a").join(where.select(F.col("name").alias("b"), F.col("group").alias("gb")), "b").where("ga <> gb").select("a", "b")
 
+    def more_texts(texts, p):
+        names = p.select(F.col("a").alias("name")).union(p.select("b")).distinct().join(texts, "name", "left_anti")
+        return texts.union(store(texts_of(names), "texts"))
+
     def compare(p):
         t = texts.select(F.col("name").alias("a"), F.col("text").alias("text_a"))
         u = texts.select(F.col("name").alias("b"), F.col("text").alias("text_b"))
@@ -432,30 +503,51 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
 
     links = store(links.union(compare(rest)), "links")
 
-    # Long lists: what the pivots did not bring together.
-    lists = found.where("kind = 1").select("token", "a", "n", "rest")
-    if not lists.isEmpty():
+    # Long lists: what the pivots did not bring together meets other pivots of the list's largest component, round by round.
+    tested, lists = pairs, found.where("kind = 1").select("token", "a", "n", "rest")
+    left = not lists.isEmpty()
+    for turn in range(lim.rounds + 1):
+        if not left:
+            break
         parts = connected_components(links)
-        lists = store(label(lists, "a", "component"), "lists")
+        lists = label(lists.select("token", "a", "n", "rest"), "a", "component")
         size = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
         size = size.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("L")).where("top.m < L")
-        size = size.select("token", F.col("top.component").alias("main"), F.ceil(F.col("top.m") / lim.grid).cast("int").alias("P"), F.ceil((F.col("L") - F.col("top.m")) / lim.grid).cast("int").alias("Q"))
-        x = lists.join(size, "token")
+        size = size.select("token", F.col("top.component").alias("main"), F.col("top.m").alias("m"), "L")
+        lists = store(lists.join(size, "token"), "lists")
+        left = not lists.isEmpty()
+        if not left or turn == lim.rounds:
+            break
+        order = F.xxhash64("a", F.lit(turn))
+        pivot = lists.where("component = main").groupBy("token", F.pmod(order, F.lit(lim.pivots)).alias("k")).agg(F.min(F.struct(order.alias("o"), F.col("a").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("pr"))).alias("x"))
+        near = lists.where("component <> main").select("token", "a", "n", "rest").join(pivot.select("token", "x.p", "x.pn", "x.pr"), "token").where((F.least("n", "pn") * den >= F.greatest("n", "pn") * num) & (F.least("rest", "pr") * (num + den) >= num * (F.col("n") + F.col("pn"))))
+        near = near.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct()
+        near = store(possible(near.join(tested, ["a", "b"], "left_anti")), "near")
+        if not near.isEmpty():
+            texts = more_texts(texts, near)
+            links = store(links.union(compare(near)), "links")
+            tested = tested.union(near)
+    if left:
+        size = F.ceil(F.col("m") / lim.grid), F.ceil((F.col("L") - F.col("m")) / lim.grid)
+        # Lists with one largest component mostly hold the same sets: they go to one group, which names a pair once. Groups are of a bounded size.
+        slots = lists.groupBy("main").agg(F.ceil(F.count("*") / lim.dealt).alias("slots"))
+        lists = lists.join(slots, "main").withColumn("deal", F.pmod(F.xxhash64("main", F.pmod("token", F.col("slots"))), F.lit(max(1 << 12, total >> 16))))
+        x = lists.withColumns({"P": size[0].cast("int"), "Q": size[1].cast("int")}).join(classes.select(F.col("name").alias("a"), "bits"), "a")
+        # Lists of a block's size are dealt whole, many to a group. In a longer one blocks of the largest component meet all others, those meet all.
+        whole = (F.col("P") + F.col("Q")) <= 2
         x = x.withColumn("block", F.when(F.col("component") == F.col("main"), F.pmod(F.xxhash64("a"), F.col("P"))).otherwise(F.col("P") + F.pmod(F.xxhash64("a"), F.col("Q"))).cast("int"))
-        # Blocks of the largest component meet all other blocks, those meet all.
-        x = x.withColumn("with", F.explode(F.when(F.col("block") < F.col("P"), F.sequence(F.col("P"), F.col("P") + F.col("Q") - 1)).otherwise(F.sequence(F.lit(0), F.col("P") + F.col("Q") - 1))))
-        x = x.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-        more = x.select("token", "i", "j", "a", "n", "rest", "component", "block").groupBy("token", "i", "j").applyInArrow(_grid_pairs(num, den), "a long, b long").distinct()
-        more = store(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        meets = F.when(whole, F.array(F.lit(-1))).when(F.col("block") < F.col("P"), F.sequence(F.col("P"), F.col("P") + F.col("Q") - 1)).otherwise(F.sequence(F.lit(0), F.col("P") + F.col("Q") - 1))
+        x = x.withColumns({"with": F.explode(meets), "deal": F.when(whole, F.col("deal")).otherwise(F.col("token"))})
+        x = x.withColumns({"i": F.when(whole, -1).otherwise(F.least("block", "with")), "j": F.when(whole, -1).otherwise(F.greatest("block", "with"))})
+        more = x.select("deal", "i", "j", "token", "a", "n", "rest", "component", "block", "bits").groupBy("deal", "i", "j").applyInArrow(_grid_pairs(num, den), "a long, b long").distinct()
+        more = store(more.join(tested, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
-            names = more.select(F.col("a").alias("name")).union(more.select("b")).distinct().join(texts, "name", "left_anti")
-            wanted = names.join(nodes.where("name is not null").groupBy("name").agg(F.min("key").alias("key")), "name")
-            texts = texts.union(docs.select(key.alias("key"), F.col(text).alias("text")).join(wanted, "key").select("name", "text").dropDuplicates(["name"]))
+            texts = more_texts(texts, more)
             links = store(links.union(compare(more)), "links")
     parts = connected_components(links)
 
-    classes = label(nodes.where("name is not null").groupBy("name").agg(F.min("id").alias("id")), "name", "component")
-    least = classes.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = classes.join(least, "component").select("name", "component_id")
+    grouped = label(classes.select("name", "id"), "name", "component")
+    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = grouped.join(least, "component").select("name", "component_id")
     out = nodes.join(named, "name", "left").select(F.col("id").alias(row_id), F.col("n").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out
