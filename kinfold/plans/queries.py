@@ -9,6 +9,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import ranking, scoring, stores
+from . import review as _review
 
 CFG = scoring.ScoreConfig()
 GIVEN = ["Elise", "Hans", "Dr. Johann", "Maria", "Käthe", "Lisa", "Wolfgang", "Marie", "Heinz", "Anna"]
@@ -330,3 +331,5 @@ ORACLE_SQL = {
     "scr_dates": SCR_DATES_SQL, "win_classify": WIN_CLASSIFY_SQL, "scr_name": SCR_NAME_SQL, "str_normalize": STR_NORMALIZE_SQL, "phn_groups": PHN_GROUPS_SQL, "url_identity": URL_IDENTITY_SQL, "stm_url_groups": STM_URL_GROUPS_SQL, "prs_dates": PRS_DATES_SQL,
     "agg_outcome": AGG_OUTCOME_SQL, "agg_coverage": AGG_COVERAGE_SQL, "flt_suppressed": FLT_SUPPRESSED_SQL, "jn_candidates": JN_CANDIDATES_SQL, "agg_worklist_counts": AGG_COUNTS_SQL, "srt_worklist_page": SRT_PAGE_SQL, "snk_upsert": SNK_UPSERT_SQL,
 }
+QUERIES |= _review.QUERIES
+ORACLE_SQL |= _review.ORACLE_SQL
