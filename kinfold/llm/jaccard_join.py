@@ -258,7 +258,9 @@ def _lists(num, den, lim):
         order = np.argsort(token)
         run_at = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) > 0]))
         many = np.repeat(np.diff(np.append(run_at, len(order))) > 1, np.diff(np.append(run_at, len(order))))
-        order = order[many]  # tokens of one set are most of all
+        split = key[1].as_py() > 0
+        if not split:  # in a split list's part a set that is alone still has the other parts to meet
+            order = order[many]  # tokens of one set are most of all
         order = order[np.lexsort((name[order], rest[order], n[order], token[order]))]
         if len(order):
             same = np.concatenate([[False], (np.diff(name[order]) == 0) & (np.diff(token[order]) == 0)])
@@ -266,7 +268,6 @@ def _lists(num, den, lim):
         token, name, n, rest = token[order], name[order], n[order], rest[order]
         at = np.flatnonzero(np.concatenate([[True], np.diff(token) > 0])) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(at, len(token)))
-        split = key[1].as_py() > 0
         pairs, members = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
         # Short lists all together, by distance in the list.
         short = (size <= min(lim.long, BLOCK)) & (not split)

@@ -219,6 +219,17 @@ def test_jaccard(spark, docs, small):
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+def test_jaccard_copies_and_few_near_copies(spark):
+    """Short texts of hundreds of copies and one near copy each: in a split list a set may be alone in its part."""
+    rows = []
+    for g in range(30):
+        w = [f"g{g}x{k}" for k in range(8)]
+        rows += [(1000 * g + k, " ".join(w)) for k in range(1, 201)] + [(1000 * g, " ".join([*w, "more"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df, lim=jaccard_join.Limits(hot_part=4)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((i, i - i % 1000) for i, _ in rows)
+
+
 def test_packing(spark, docs):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.pack(docs, RANKS).collect()
