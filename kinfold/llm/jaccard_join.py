@@ -45,15 +45,11 @@ class Limits:
     grid: int = 1024  # sets to a block of a long list, about
     dealt: int = 1 << 17  # members of shorter lists to a group, about
     hot: int = 4  # tokens of so many sets come last in the order, by their number
-    max_hot: int = 1 << 18  # of such tokens, at most so many (the most frequent) are known to all tasks: 4 MB
+    max_hot: int = 1 << 18  # of such tokens, at most so many (the most frequent) are known to all tasks, 4 MB, and all that are dealt into parts
     hot_part: int = 1 << 16  # postings of one token to a part
     bucket: int = 1 << 20  # postings to a bucket, about
 
 
-#: Of the hash range: tokens above it are not counted, as they hardly ever are in a prefix.
-COUNTED = 0.6
-
-
 def name_of(tokens: np.ndarray) -> int:
     """A set's name, as a signed 64-bit integer."""
     with np.errstate(over="ignore"):
@@ -113,8 +109,6 @@ def _describe(width):
 
 
 def _count_blobs(width, bits):
-    top = U(int(COUNTED * 2.0**64))
-
     def run(batches):
         """(text) -> (bucket, packed 32-bit tokens)."""
         have, size = [], 0
@@ -128,7 +122,6 @@ def _count_blobs(width, bits):
 
         for batch in batches:
             for _, s in sets_of(batch.column(0), width):
-                s = s[: np.searchsorted(s, top)]
                 have.append(s)
                 size += len(s)
                 if size >= FLUSH:
@@ -159,16 +152,15 @@ def ordered_prefix(s: np.ndarray, bits: int, hot: np.ndarray, place: np.ndarray,
     p = prefix_length(len(s), num, den)
     if not len(hot):
         return s[:p], np.full(p, -1)
-    counted = s[: np.searchsorted(s, U(int(COUNTED * 2.0**64)))]
-    short = (counted >> U(32 - bits)).astype(np.int64)
+    short = (s >> U(32 - bits)).astype(np.int64)
     at = np.minimum(np.searchsorted(hot, short), len(hot) - 1)
     is_hot = hot[at] == short
     if not is_hot.any():
         return s[:p], np.full(p, -1)
-    rare = np.concatenate([counted[~is_hot], s[len(counted) :]])[:p]
+    rare = s[~is_hot][:p]
     at = at[is_hot]
-    late = np.lexsort((counted[is_hot], place[at]))[: p - len(rare)]
-    return np.concatenate([rare, counted[is_hot][late]]), np.concatenate([np.full(len(rare), -1), at[late]])
+    late = np.lexsort((s[is_hot], place[at]))[: p - len(rare)]
+    return np.concatenate([rare, s[is_hot][late]]), np.concatenate([np.full(len(rare), -1), at[late]])
 
 
 _POST = ["bucket", "part", "token", "name", "n", "rest"]
@@ -439,14 +431,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     power = lambda x: max(4, int(np.ceil(np.log2(max(1, x)))))
 
     # Which tokens are frequent decides on order and speed, never on results.
-    bits = min(30, power(total * COUNTED / (2 * lim.bucket)))
+    bits = min(30, power(total / (2 * lim.bucket)))
     frequent = docs.select(text).mapInArrow(_count_blobs(width, bits), "bucket int, tokens binary").groupBy("bucket").applyInArrow(_frequent(lim.hot), "token long, n long")
     frequent = store(frequent.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "frequent")
-    least, n = 0, 0
+    # Those dealt into parts are always known: at most total / (2 * hot_part), whatever max_hot.
+    least, n, heavy = 0, 0, int(8 * np.log2(2 * lim.hot_part))
     for r in frequent.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
         n += r.n
         if n > lim.max_hot:
-            least = r.level + 1
+            least = min(r.level + 1, heavy)
             break
     hot = frequent.where(F.col("level") >= least).select("token", "n").toArrow()
     order = np.argsort(hot.column("token").to_numpy())

@@ -230,6 +230,29 @@ def test_jaccard_copies_and_few_near_copies(spark):
     assert Counter((r.doc_id, r.component_id) for r in got) == Counter((i, i - i % 1000) for i, _ in rows)
 
 
+def test_jaccard_splits_every_long_list(spark, monkeypatch):
+    """Many distinct near copies: no group of postings holds one token's list whole, wherever its hash lies."""
+    rng, lists = random.Random(7), jaccard_join._lists
+    base = [f"b{k}" for k in range(120)]
+    rows = [(k, " ".join([*base[:p], f"w{k}", *base[p:]])) for k in range(400) for p in [rng.randrange(120)]]
+
+    def bounded(num, den, lim):
+        run = lists(num, den, lim)
+
+        def checked(key, table):
+            token = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("token")])
+            most = int(np.unique(token, return_counts=True)[1].max())
+            assert most <= 3 * lim.hot_part, f"{most} postings of one token in part {key[1]} of bucket {key[0]}"
+            return run(key, table)
+
+        return checked
+
+    monkeypatch.setattr(jaccard_join, "_lists", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df, lim=jaccard_join.Limits(hot_part=20, max_hot=4)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 400
+
+
 def test_packing(spark, docs):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.pack(docs, RANKS).collect()
