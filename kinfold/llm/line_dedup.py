@@ -153,12 +153,12 @@ def _probes(shards: int):
     return run
 
 
-_DROPS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lines", pa.list_(pa.int32()))])
+_DROPS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("line", pa.int32())])
 
 
 def _probe(min_docs: int):
     def run(batches):
-        """Sorted by shard, its arrays first and then its probes -> per document the lines to drop. One shard is held at a time."""
+        """Sorted by shard, its arrays first and then its probes -> the lines to drop of each text, once per row of probes. One shard is held at a time."""
         last, mph = None, None
         for batch in batches:
             for i in range(batch.num_rows):
@@ -172,8 +172,8 @@ def _probe(min_docs: int):
                     k1, k2, line = (np.frombuffer(r[k], t)[at] for k, t in (("k1", np.int64), ("k2", np.int64), ("line", np.int32)))
                     order = np.lexsort((line, k2, k1))
                     k1, k2, line = k1[order], k2[order], line[order]
-                    cut = np.concatenate([[0], np.flatnonzero((np.diff(k1) != 0) | (np.diff(k2) != 0)) + 1, [len(k1)]])
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[cut[:-1]]), pa.array(k2[cut[:-1]]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(line))], schema=_DROPS)
+                    new = np.concatenate([[True], (np.diff(k1) != 0) | (np.diff(k2) != 0) | (np.diff(line) != 0)])  # copies of a text have equal keys
+                    yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (k1, k2, line)], schema=_DROPS)
 
     return run
 
@@ -225,9 +225,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, out: tu
         tables.unionByName(probes, allowMissingColumns=True)
         .repartition("shard", "salt")
         .sortWithinPartitions("shard", "salt", F.col("sizes").isNull())
-        .mapInArrow(_probe(min_docs), "k1 long, k2 long, lines array<int>")
+        .mapInArrow(_probe(min_docs), "k1 long, k2 long, line int")
+        .distinct()  # a text's group has its own lines, however many copies there are
         .groupBy("k1", "k2")
-        .agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("__ld_drop"))
+        .agg(F.collect_list("line").alias("__ld_drop"))
     )
     drops = drops.withColumnsRenamed({"k1": "__ld_k1", "k2": "__ld_k2"})
     kept = [c for c in (keep if keep is not None else docs.columns)]

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from compare import same_rows
@@ -93,6 +94,24 @@ def test_line_dedup(spark, docs):
     assert set(line_dedup.dedup_lines(docs).columns) == {*docs.columns, "n_dropped", "kept_text", "kept_sha256"}
 
 
+def test_line_dedup_groups_do_not_grow_with_copies(spark, monkeypatch):
+    """Of a text of many copies each dropped line is named once, in a probe's answer and in what is collected."""
+    collect = []
+    monkeypatch.setattr(line_dedup.F, "collect_list", lambda c, f=F.collect_list: collect.append(c) or f(c))
+    df = spark.createDataFrame([(k, "one\ntwo\nthree") for k in range(300)] + [(300, "one\nfour")], "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup_lines(df)
+    assert collect == ["line"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[k1#\d+L, k2#\d+L, line#\d+\], \[k1#\d+L, k2#\d+L, line#\d+\]", plan), plan
+    assert Counter((r.n_dropped, r.kept_text) for r in got.collect()) == {(3, ""): 300, (1, "four"): 1}
+    hi, lo, n = np.array([5], np.uint64), np.array([6], np.uint64), np.array([40])
+    shard = {"shard": 0, **line_dedup.build_mph(hi, lo, n)}
+    probe = {"shard": 0, "salt": 0, "k1": np.full(40, 1).tobytes(), "k2": np.full(40, 2).tobytes(), "line": np.zeros(40, np.int32).tobytes(), "hi": hi.repeat(40).tobytes(), "lo": lo.repeat(40).tobytes()}
+    schema = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("sizes", "bits", "prints", "counts")), ("salt", pa.int32()), *((c, pa.binary()) for c in ("k1", "k2", "line", "hi", "lo"))])
+    rows = [r for b in line_dedup._probe(10)(pa.Table.from_pylist([shard, probe], schema).to_batches()) for r in b.to_pylist()]
+    assert rows == [{"k1": 1, "k2": 2, "line": 0}]
+
+
 def test_mph():
     rng = np.random.default_rng(0)
     hi, lo = rng.integers(0, 2**63, (2, 5000)).astype(np.uint64)
