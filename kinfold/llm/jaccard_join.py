@@ -4,19 +4,22 @@ Every document's set is the 64-bit hashes of its word shingles; equal sets are o
 Two sets that link must share a token among the first n - ceil(t n) + 1 of each, in any order that holds for all sets;
 here tokens that many sets hold come last. Prefix postings travel as packed arrays, dealt by token.
 
-Skipping in an index list: its sets are sorted by size and cut into blocks, and a pair of blocks is skipped as a whole when even its
-smallest sizes and largest remaining lengths (what is behind the token's position) rule out the needed overlap.
-Skipping between sets: candidates gather around the lead, the set most of them are paired with. Each member's overlap with the
+Skipping in an index list: its sets are sorted by size and cut into blocks. A set's slack is what its remaining length (what is
+behind the token's position) allows a partner's size to be; a block whose best slack reaches no other block's
+least size, or that no other block's best slack reaches, is skipped as a whole.
+Skipping between sets: candidates gather around a lead, the set most of them are candidates of. Each member's overlap with the
 lead is computed once as a mask; the answers among members follow from the masks plus the few tokens outside the lead.
-Candidate pairs whose sets are in one component by then are skipped; only the rest is compared text by text.
-Before any of this a candidate pair's parity bitmaps are compared: bits in which they differ are at most the tokens in which the
-sets differ, so many pairs are ruled out for certain by a few bytes.
+Sets that are in one component by then are not compared again.
 
-Lists longer than Limits.long are not paired up at first: their sets are compared with a few pivots. What is then still in different
-components is paired in blocks, without the pairs inside the list's largest component. This handles every list
-exactly, and a group of many near copies costs its size, not its square.
+Pairs of short lists are ruled out by parity bitmaps first: bits in which they differ are at most the tokens in which the sets
+differ. Lists longer than Limits.long are never paired up: their live sets become members of a hub, the list's first set by hash, which is
+mostly the same for all lists of a group of near copies. A hub's members meet in groups of a bounded size. What is
+then still in different components is dealt into blocks by size and hash, and blocks of sets outside of the
+hub's largest component meet all blocks of sizes in reach. Every group returns only links that join components, fewer than
+it has sets, so a group of near copies gives rows by its size, not its square, and no link between components is lost.
 
-Sets are named by a 64-bit hash of their tokens (two of N distinct sets have one name with odds N * N / 4e19).
+Sets are named by a 64-bit hash; names that two sets share are found by a second one and told apart, so that
+sets are confused only if 128 bits agree.
 """
 
 from __future__ import annotations
@@ -28,33 +31,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, store
+from .shared import connected_components, drop_stored, store
 from .textbytes import U, groups, mix, shingle_sets, text_bytes
 
-BLOCK, FLUSH = 32, 1 << 21
+BLOCK, FLUSH = 16, 1 << 19
 
 
 @dataclass(frozen=True)
 class Limits:
     """Sizes that steer the work; results do not depend on them."""
 
-    long: int = 16  # a longer index list is compared with pivots first
-    pivots: int = 8
-    rounds: int = 1  # of further pivots, before what is left of long lists is paired in blocks
+    long: int = 16  # sets of a longer index list meet at a hub
     group: int = 192  # sets to a group around a lead, about
-    grid: int = 1024  # sets to a block of a long list, about
-    dealt: int = 1 << 17  # members of shorter lists to a group, about
+    group_tokens: int = 1 << 20  # and tokens
+    grid: int = 1024  # sets to a block of a hub, about
+    grid_tokens: int = 1 << 19  # and tokens
+    slice: int = 1 << 13  # members of a hub to a row, about
     hot: int = 4  # tokens of so many sets come last in the order, by their number
     max_hot: int = 1 << 18  # of such tokens, at most so many (the most frequent) are known to all tasks, 4 MB, and all that are dealt into parts
-    hot_part: int = 1 << 16  # postings of one token to a part
-    bucket: int = 1 << 20  # postings to a bucket, about
+    hot_part: int = 1 << 16  # postings of one token to a part, at least; at most 2 ** 20 tokens (16 MB) are dealt into parts
+    bucket: int = 1 << 19  # postings to a bucket, about
+    seen: int = 1 << 16  # names that a task remembers, to leave out copies
+    name_bits: int = 64
 
 
-def name_of(tokens: np.ndarray) -> int:
+def name_of(tokens: np.ndarray, bits: int = 64) -> int:
     """A set's name, as a signed 64-bit integer."""
-    with np.errstate(over="ignore"):
-        x = mix(np.add.reduce(mix(tokens ^ U(0x5851F42D4C957F2D))) + U(len(tokens)))
-    return int(np.asarray(x).reshape(1).view(np.int64)[0])
+    x = mix(np.add.reduce(mix(tokens ^ U(0x5851F42D4C957F2D)), keepdims=True) + U(len(tokens)))
+    return int((x >> U(64 - bits)).view(np.int64)[0])
+
+
+def check_of(tokens: np.ndarray) -> int:
+    """A second hash, by which sets of one name are told apart."""
+    return int(mix(np.add.reduce(mix(tokens + U(0x2545F4914F6CDD1D)), keepdims=True) ^ U(len(tokens))).view(np.int64)[0])
+
+
+def namer(bits: int, clashes: dict[tuple[int, int], int]):
+    def of(tokens):
+        name = name_of(tokens, bits)
+        return clashes.get((name, check_of(tokens)), name) if clashes else name
+
+    return of
 
 
 def needed(a, b, num: int, den: int):
@@ -92,15 +109,16 @@ def may_link(a: bytes, b: bytes, n: int, m: int, num: int, den: int) -> bool:
     return (x ^ y).bit_count() <= n + m - 2 * needed(n, m, num, den)
 
 
-def _describe(width):
+def _describe(width, name_bits):
     def run(batches):
-        """(id, key, text) -> (id, key, size, name, parity)."""
+        """(id, key, text) -> (id, key, size, name, check, parity)."""
         for batch in batches:
-            n, names, bits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            n, names, checks = np.zeros((3, batch.num_rows), np.int64)
+            bits = [None] * batch.num_rows
             for i, s in sets_of(batch.column(2), width):
                 if len(s):
-                    n[i], names[i], bits[i] = len(s), name_of(s), parity(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(names, mask=n == 0), pa.array(bits, pa.binary())], names=["id", "key", "n", "name", "bits"])
+                    n[i], names[i], checks[i], bits[i] = len(s), name_of(s, name_bits), check_of(s), parity(s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(names, mask=n == 0), pa.array(checks), pa.array(bits, pa.binary())], names=["id", "key", "n", "name", "check", "bits"])
 
     return run
 
@@ -166,7 +184,7 @@ def ordered_prefix(s: np.ndarray, bits: int, hot: np.ndarray, place: np.ndarray,
 _POST = ["bucket", "part", "token", "name", "n", "rest"]
 
 
-def _postings(width, hot_bits, bits, hot, num, den, hot_part):
+def _postings(width, hot_bits, bits, hot, num, den, hot_part, names_of, remember):
     def run(batches):
         """(text) -> (bucket, part, packed postings). rest: tokens of the set from this position on, this one included."""
         tokens, parts, names, sizes, lengths, size, seen = [], [], [], [], [], 0, set()
@@ -193,9 +211,9 @@ def _postings(width, hot_bits, bits, hot, num, den, hot_part):
 
         for batch in batches:
             for _, s in sets_of(batch.column(0), width):
-                if not len(s) or (name := name_of(s)) in seen:
+                if not len(s) or (name := names_of(s)) in seen:
                     continue
-                if len(seen) < FLUSH:
+                if len(seen) < remember:
                     seen.add(name)
                 tok, at = ordered_prefix(s, hot_bits, keys, places, num, den)
                 # A token of very many sets is dealt into parts; part 0 is everything else.
@@ -215,134 +233,169 @@ def _postings(width, hot_bits, bits, hot, num, den, hot_part):
     return run
 
 
-def block_pairs(n: np.ndarray, rest: np.ndarray, num: int, den: int, against: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one list (sorted by size) that size and position do not rule out. against: only pairs of the first so many with the others."""
-    L = len(n)
+def slack_of(n: np.ndarray, rest: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Sets x and y can reach the overlap they need from these positions on only if slack x >= num * n y and slack y >= num * n x."""
+    return (num + den) * rest - num * n
+
+
+def live(n: np.ndarray, rest: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For the sets of one list, sorted by size: false for those in blocks that can have no partner, by size and position."""
+    L, slack = len(n), slack_of(n, rest, num, den)
     starts = np.arange(0, L, BLOCK)
     low, high = n[starts], n[np.minimum(starts + BLOCK, L) - 1]
-    most = np.maximum.reduceat(rest, starts)
-    left, right = [], []
-    for i, a in enumerate(starts):
-        # Blocks of sizes that can still link; of these, those whose best case reaches the overlap that their least sizes need.
-        js = np.arange(i, len(starts))
-        js = js[(den * high[i] >= num * low[js]) & (np.minimum(most[i], most[js]) >= needed(low[i], low[js], num, den))]
-        for j in js:
-            b = starts[j]
-            x, y = np.arange(a, min(a + BLOCK, L)), np.arange(b, min(b + BLOCK, L))
-            ok = (den * n[x][:, None] >= num * n[y]) & (np.minimum(rest[x][:, None], rest[y]) >= needed(n[x][:, None], n[y], num, den))
-            if i == j:
-                ok &= x[:, None] < y
-            p, q = np.nonzero(ok)
-            left.append(x[p])
-            right.append(y[q])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-_FOUND = "kind int, token long, a long, b long, n int, rest int"
+    most = np.maximum.reduceat(slack, starts)
+    alive = np.zeros(len(starts), bool)
+    ends = np.searchsorted(num * low, den * high, "right")  # blocks of larger sizes that can still link
+    for i, end in enumerate(ends.tolist()):
+        ok = (most[i] >= num * low[i:end]) & (most[i:end] >= num * low[i])
+        if starts[i] == L - 1:
+            ok[0] = False  # one set has no partner in its own block
+        if ok.any():
+            alive[i] = True
+            alive[i:end] |= ok
+    return np.repeat(alive, BLOCK)[:L]
+
+
+_FOUND = "kind int, a long, b long, rank long, slice int, members binary"
+_FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("rank", pa.int64()), ("slice", pa.int32()), ("members", pa.binary())])
+
+
+def first_of(names: np.ndarray) -> tuple[int, int]:
+    """The set that leads wherever it is, so that a group of near copies has few hubs; and its rank."""
+    rank = (mix(names.view(U)) >> U(1)).view(np.int64)
+    at = int(rank.argmin())
+    return int(names[at]), int(rank[at])
+
+
+def sliced(names: np.ndarray, size: int):
+    """Distinct names dealt by their own bits into slices of about size: (slice, packed names)."""
+    slices = 1 << max(0, (len(names) // size).bit_length())
+    to = names & (slices - 1)
+    for k in np.unique(to).tolist():
+        yield slices + k, names[to == k].tobytes()
 
 
 def _lists(num, den, lim):
     def run(key, table):
-        """All postings of a bucket -> candidate pairs (kind 0) and members of long lists (kind 1)."""
+        """All postings of a bucket -> candidate pairs of short lists (kind 0, a and b), members of a hub (kind 1, a), members of a split list (kind 2, of token a, with b their first)."""
         col = lambda c, t: np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)])
-        token, name, n, rest = col("token", np.uint32), col("name", np.int64), col("n", np.int32).astype(np.int64), col("rest", np.int32).astype(np.int64)
+        token, name, n, rest = col("token", np.uint32), col("name", np.int64), col("n", np.int32), col("rest", np.int32)
         order = np.argsort(token)
         run_at = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) > 0]))
-        many = np.repeat(np.diff(np.append(run_at, len(order))) > 1, np.diff(np.append(run_at, len(order))))
+        run_size = np.diff(np.append(run_at, len(order)))
         split = key[1].as_py() > 0
         if not split:  # in a split list's part a set that is alone still has the other parts to meet
-            order = order[many]  # tokens of one set are most of all
+            order = order[np.repeat(run_size > 1, run_size)]  # tokens of one set are most of all
         order = order[np.lexsort((name[order], rest[order], n[order], token[order]))]
         if len(order):
             same = np.concatenate([[False], (np.diff(name[order]) == 0) & (np.diff(token[order]) == 0)])
             order = order[~same]  # a class that several tasks have met
-        token, name, n, rest = token[order], name[order], n[order], rest[order]
+        token, name, n, rest = token[order], name[order], n[order].astype(np.int64), rest[order].astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], np.diff(token) > 0])) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(at, len(token)))
-        pairs, members = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
         # Short lists all together, by distance in the list.
-        short = (size <= min(lim.long, BLOCK)) & (not split)
-        rows = np.repeat(short, size)
-        ends = np.repeat(at + size, size)
-        i = np.flatnonzero(rows)
-        for d in range(1, BLOCK):
+        short = (size <= lim.long) & (not split)
+        rows, slack = np.repeat(short, size), slack_of(n, rest, num, den)
+        ends, i = np.repeat(at + size, size), np.flatnonzero(rows)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for d in range(1, lim.long):
             i = i[i + d < ends[i]]
             i = i[den * n[i] >= num * n[i + d]]  # farther ones are larger still
             if not len(i):
                 break
-            ok = i[np.minimum(rest[i], rest[i + d]) >= needed(n[i], n[i + d], num, den)]
+            ok = i[(slack[i] >= num * n[i + d]) & (slack[i + d] >= num * n[i])]
             pairs.append(np.stack([name[ok], name[ok + d]], 1))
-        for a, L in zip(at[~short], size[~short], strict=True):
-            b = a + L
-            if L <= lim.long and not split:
-                p, q = block_pairs(n[a:b], rest[a:b], num, den)
-                pairs.append(np.stack([name[a + p], name[a + q]], 1))
-            else:
-                members.append(np.arange(a, b))
-                # The same sets lead wherever they are, so that a group of near copies has few of them.
-                for pivot in (a + np.argsort(mix(name[a:b].view(U)), kind="stable")[: lim.pivots]).tolist():
-                    x = np.arange(a, b)
-                    ok = (den * np.minimum(n[x], n[pivot]) >= num * np.maximum(n[x], n[pivot])) & (np.minimum(rest[x], rest[pivot]) >= needed(n[x], n[pivot], num, den)) & (x != pivot)
-                    pairs.append(np.stack([np.full(ok.sum(), name[pivot]), name[x[ok]]], 1))
         p = np.concatenate(pairs)
         p = np.unique(np.sort(p, axis=1), axis=0) if len(p) else p
         p = p[p[:, 0] != p[:, 1]]
-        m = np.concatenate(members)
-        z = np.zeros(len(p), np.int32)
-        whole = (np.int64(key[0].as_py()) << 32) | token[m].astype(np.int64)
-        return pa.table({
-            "kind": np.concatenate([z, np.ones(len(m), np.int32)]), "token": np.concatenate([z.astype(np.int64), whole]), "a": np.concatenate([p[:, 0], name[m]]), "b": np.concatenate([p[:, 1], name[m]]),
-            "n": np.concatenate([z, n[m].astype(np.int32)]), "rest": np.concatenate([z, rest[m].astype(np.int32)]),
-        })
+        more, hub_of, member = [], [], []
+        for a, L in zip(at[~short].tolist(), size[~short].tolist(), strict=True):
+            names = name[a : a + L]
+            if split:
+                hub, rank = first_of(names)
+                more += [(2, (key[0].as_py() << 32) | int(token[a]), hub, rank, *x) for x in sliced(np.unique(names), lim.slice)]
+            elif len(names := names[live(n[a : a + L], rest[a : a + L], num, den)]) > 1:
+                hub_of.append(np.full(len(names), first_of(names)[0]))
+                member.append(names)
+        if member:
+            h, m = np.concatenate(hub_of), np.concatenate(member)
+            order = np.lexsort((m, h))
+            h, m = h[order], m[order]
+            new = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(m) != 0)])
+            h, m = h[new], m[new]
+            cut = [0, *(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
+            more += [(1, int(h[a]), 0, 0, *x) for a, b in zip(cut[:-1], cut[1:], strict=True) for x in sliced(m[a:b], lim.slice)]
+        none = pa.nulls(len(p))
+        return pa.concat_tables([
+            pa.table([pa.array(np.zeros(len(p), np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1]), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_FOUND_SCHEMA),
+            pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*more, strict=True) if more else [()] * 6, _FOUND_SCHEMA, strict=True)], schema=_FOUND_SCHEMA),
+        ])
 
     return run
 
 
+def _members(key, table):
+    """Packed names of one slice of a hub -> its distinct members."""
+    names = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("members")]))
+    return pa.table({"hub": np.full(len(names), key[0].as_py(), np.int64), "name": names})
+
+
 # ---- exact answers ----
 
 
-def group_links(sets: list[np.ndarray], lead: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what links within a group, the first of each found.
+def overlaps(sets: list[np.ndarray], lead: int) -> np.ndarray:
+    """How many tokens each two sets share. The diagonal has no meaning.
 
     Overlaps with the lead come first, as masks over its tokens. Two members share the tokens of the lead that both
     masks have, plus what they share outside of it: their answers follow from the lead's.
     """
-    base = sets[lead]
-    size = np.array([len(s) for s in sets], np.int64)
-    mask, rest = np.zeros((len(sets), len(base)), np.float32), []
+    base, N = sets[lead], len(sets)
+    mask, rest = np.zeros((N, len(base)), np.float32), []
     for k, s in enumerate(sets):
         at = np.minimum(np.searchsorted(base, s), len(base) - 1)
         hit = base[at] == s
         mask[k, at[hit]] = 1
         rest.append(s[~hit])
-    over = np.rint(mask @ mask.T).astype(np.int64)
-    flat = np.concatenate(rest)
-    if len(flat):
-        words, index, n = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(n > 1)
-        if len(shared):
-            row = np.repeat(np.arange(len(sets)), [len(r) for r in rest])
-            column = np.full(len(words), -1)
-            column[shared] = np.arange(len(shared))
-            for a in range(0, len(shared), 8192):
-                part = np.zeros((len(sets), min(8192, len(shared) - a)), np.float32)
-                c = column[index] - a
-                ok = (c >= 0) & (c < part.shape[1]) & (column[index] >= 0)
-                part[row[ok], c[ok]] = 1
-                over += np.rint(part @ part.T).astype(np.int64)
+    over = np.rint(mask @ mask.T).astype(np.int32)
+    token, row = np.concatenate(rest), np.repeat(np.arange(N), [len(r) for r in rest])
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    at = np.flatnonzero(np.concatenate([[True], np.diff(token) > 0])) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(at, len(token)))
+    dense = size > max(8, N // 8)
+    for a in range(0, int(dense.sum()), 1024):  # tokens of many sets: masks again
+        part = np.flatnonzero(dense)[a : a + 1024]
+        mask = np.zeros((N, len(part)), np.float32)
+        for k, t in enumerate(part.tolist()):
+            mask[row[at[t] : at[t] + size[t]], k] = 1
+        over += np.rint(mask @ mask.T).astype(np.int32)
+    some = np.repeat((size > 1) & ~dense, size)  # tokens of a few: pair by pair
+    ends, i = np.repeat(at + size, size), np.flatnonzero(some)
+    for d in range(1, int(size[(size > 1) & ~dense].max(initial=0))):
+        i = i[i + d < ends[i]]
+        np.add.at(over, (row[i], row[i + d]), 1)
+        np.add.at(over, (row[i + d], row[i]), 1)
+    return over
+
+
+def joining_links(sets: list[np.ndarray], lead: int, component: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between sets of different components that join these, as few as it takes: less than there are components."""
+    size, over = np.array([len(s) for s in sets], np.int64), overlaps(sets, lead)
     ok = den * over >= num * (size[:, None] + size - over)
-    np.fill_diagonal(ok, False)
-    out, left = [], np.ones(len(sets), bool)
-    while left.any():
-        start = lead if left[lead] else int(np.flatnonzero(left)[0])
-        left[start], queue = False, [start]
-        while queue:
-            x = queue.pop()
-            new = np.flatnonzero(ok[x] & left)
-            left[new] = False
-            out += [(x, int(y)) for y in new]
-            queue += new.tolist()
+    names, c = np.unique(component, return_inverse=True)
+    a, b = np.nonzero(ok & (c[:, None] < c))
+    _, first = np.unique(c[a] * len(names) + c[b], return_index=True)
+    top, out = list(range(len(names))), []
+
+    def find(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
+        if (u := find(c[x])) != (v := find(c[y])):
+            top[u] = v
+            out.append((x, y))
     return out
 
 
@@ -351,11 +404,13 @@ _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 def _group_links(width, num, den):
     def run(key, table):
+        """(name, text, component) of a group around the set that key begins with, or any other if that one is not in it -> the links that join components."""
         names = table.column("name").to_pylist()
         keep = {name: i for i, name in enumerate(names)}  # a text may have come twice
         table = table.take(pa.array(list(keep.values()), pa.int64()))
         names, sets = list(keep), [s for _, s in sets_of(table.column("text"), width)]
-        links = group_links(sets, names.index(key[0].as_py()), num, den)
+        lead = names.index(key[0].as_py()) if key[0].as_py() in keep else 0
+        links = joining_links(sets, lead, table.column("component").to_numpy(), num, den)
         return pa.table({"u": pa.array([names[a] for a, _ in links], pa.int64()), "v": pa.array([names[b] for _, b in links], pa.int64())}, schema=_LINKS)
 
     return run
@@ -388,31 +443,6 @@ def _may_link(num, den):
     return run
 
 
-def _grid_pairs(num, den):
-    def run(key, table):
-        """Whole lists, or two blocks of a long one -> pairs in different components that size, position and parity do not rule out."""
-        t = {c: table.column(c).combine_chunks().to_numpy().astype(np.int64) for c in ("token", "a", "n", "rest", "component", "block")}
-        order = np.lexsort((t["n"], t["token"]))
-        t = {c: x[order] for c, x in t.items()}
-        bits = table.column("bits").take(pa.array(order)).to_pylist()
-        i, j = key[1].as_py(), key[2].as_py()
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(t["token"])) + 1, [len(order)]])
-        out = [np.zeros((0, 2), np.int64)]
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            p, q = block_pairs(t["n"][a:b], t["rest"][a:b], num, den)
-            p, q = p + a, q + a
-            ok = t["component"][p] != t["component"][q]
-            ok[ok] = [may_link(bits[x], bits[y], t["n"][x], t["n"][y], num, den) for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True)]
-            if i >= 0:
-                x, y = t["block"][p], t["block"][q]
-                ok &= ((x == i) & (y == j)) | ((x == j) & (y == i))
-            out.append(np.sort(np.stack([t["a"][p[ok]], t["a"][q[ok]]], 1), axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return run
-
-
 def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = 5, num: int = 75, den: int = 100, lim: Limits | None = None) -> DataFrame:
     """row_id, n_shingles and component_id (the smallest id reachable by links) of each row of docs.
 
@@ -425,17 +455,36 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     spark, lim = docs.sparkSession, lim or Limits()
     key = F.xxhash64(row_id, text)
     kind = docs.schema[row_id].dataType.simpleString()
-    nodes = store(docs.select(F.col(row_id).alias("id"), key.alias("key"), text).mapInArrow(_describe(width), f"id {kind}, key long, n long, name long, bits binary"), "sets")
-    classes = store(nodes.where("name is not null").groupBy("name").agg(F.min(F.struct("key", "n", "bits")).alias("x"), F.min("id").alias("id")).select("name", "x.*", "id"), "classes")
+    scratch = []
+
+    def kept(df, tag):
+        scratch.append(store(df, tag))
+        return scratch[-1]
+
+    nodes = kept(docs.select(F.col(row_id).alias("id"), key.alias("key"), text).mapInArrow(_describe(width, lim.name_bits), f"id {kind}, key long, n long, name long, check long, bits binary"), "sets")
+
+    def classes_of(nodes):
+        named = nodes.where("name is not null").groupBy("name").agg(F.min(F.struct("key", "n", "bits")).alias("x"), F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high"))
+        return kept(named.select("name", "x.*", "id", "low", "high"), "classes")
+
+    classes, clashes = classes_of(nodes), {}
+    if not (twice := classes.where("low <> high").select("name")).isEmpty():
+        # Of N sets about N * N / 4e19 share a name with another.
+        found = nodes.join(twice, "name", "left_semi").select("name", "check").distinct().collect()
+        clashes = {(r.name, r.check): int(mix(np.array([r.name ^ r.check], np.int64).view(U)).view(np.int64)[0]) for r in found}
+        new = spark.createDataFrame([(*k, v) for k, v in clashes.items()], "name long, check long, new long")
+        nodes = kept(nodes.join(new, ["name", "check"], "left").withColumn("name", F.coalesce("new", "name")).drop("new"), "sets")
+        classes = classes_of(nodes)
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    power = lambda x: max(4, int(np.ceil(np.log2(max(1, x)))))
+    power = lambda x: max(2, int(np.ceil(np.log2(max(1, x)))))
 
     # Which tokens are frequent decides on order and speed, never on results.
     bits = min(30, power(total / (2 * lim.bucket)))
     frequent = docs.select(text).mapInArrow(_count_blobs(width, bits), "bucket int, tokens binary").groupBy("bucket").applyInArrow(_frequent(lim.hot), "token long, n long")
-    frequent = store(frequent.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "frequent")
+    frequent = kept(frequent.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "frequent")
     # Those dealt into parts are always known: at most total / (2 * hot_part), whatever max_hot.
-    least, n, heavy = 0, 0, int(8 * np.log2(2 * lim.hot_part))
+    hot_part = max(lim.hot_part, total >> 21)
+    least, n, heavy = 0, 0, int(8 * np.log2(2 * hot_part))
     for r in frequent.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
         n += r.n
         if n > lim.max_hot:
@@ -446,102 +495,78 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     shared = spark.sparkContext.broadcast((hot.column("token").to_numpy()[order], hot.column("n").to_numpy()[order]))
 
     hot_bits, bits = bits, min(30, power(total * (den - num) / den / lim.bucket))
-    post = docs.select(text).mapInArrow(_postings(width, hot_bits, bits, shared, num, den, lim.hot_part), "bucket int, part int, token binary, name binary, n binary, rest binary")
-    found = store(post.groupBy("bucket", "part").applyInArrow(_lists(num, den, lim), _FOUND), "found")
+    post = docs.select(text).mapInArrow(_postings(width, hot_bits, bits, shared, num, den, hot_part, namer(lim.name_bits, clashes), lim.seen), "bucket int, part int, token binary, name binary, n binary, rest binary")
+    found = kept(post.groupBy("bucket", "part").applyInArrow(_lists(num, den, lim), _FOUND), "found")
+
+    def side(c):
+        return classes.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
-    def possible(p):
-        x = classes.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-        y = classes.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-        return p.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_link(num, den), "a long, b long")
+    pairs = found.where("kind = 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    pairs = kept(pairs.mapInArrow(_may_link(num, den), "a long, b long"), "pairs")
 
-    pairs = store(possible(found.where("kind = 0").select("a", "b").distinct()), "pairs")
+    # Split lists take the first of all their parts' sets as hub.
+    parts = found.where("kind = 2")
+    first = parts.groupBy("a").agg(F.min_by("b", "rank").alias("hub"))
+    packed = found.where("kind = 1").select(F.col("a").alias("hub"), "slice", "members").union(parts.join(first, "a").select("hub", "slice", "members"))
+    hubs = kept(packed.groupBy("hub", "slice").applyInArrow(_members, "hub long, name long").distinct(), "hubs")
 
-    # Groups around the set that most candidates of a set are paired with.
-    both = pairs.union(pairs.select("b", "a"))
+    # Groups around the set that most candidates of a set are candidates of.
+    near = hubs.where("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b"))
+    both = pairs.union(pairs.select("b", "a")).union(near).union(near.select("b", "a"))
     degree = both.groupBy("a").agg(F.count("*").alias("degree"))
     near = both.join(degree.withColumnsRenamed({"a": "b"}), "b").select("a", F.struct("degree", "b").alias("x"))
     lead = near.union(degree.select("a", F.struct("degree", F.col("a").alias("b")).alias("x"))).groupBy("a").agg(F.max("x").alias("x")).select(F.col("a").alias("name"), F.col("x.b").alias("lead"))
-    many = lead.groupBy("lead").agg(F.ceil(F.count("*") / lim.group).cast("int").alias("salts"))
-    member = lead.join(many, "lead").select("name", "lead", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int").alias("salt"), "salts")
-    member = store(member, "members")
-
-    def texts_of(names):
-        wanted = names.join(classes.select("name", "key"), "name")
-        return docs.select(key.alias("key"), F.col(text).alias("text")).join(wanted, "key").select("name", "text").dropDuplicates(["name"])
-
-    texts = store(texts_of(member.select("name").distinct()), "texts")
+    lead = kept(lead.join(classes.select("name", "key", "n"), "name"), "leads")
+    salts = F.ceil(F.greatest(F.count("*") / lim.group, F.sum("n") / lim.group_tokens)).cast("int")
+    member = lead.join(lead.groupBy("lead").agg(salts.alias("salts")), "lead").select("name", "key", "lead", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int").alias("salt"), "salts")
+    member = kept(member, "members")
+    texts = docs.select(key.alias("key"), F.col(text).alias("text")).join(member.select("name", "key"), "key").select("name", "text").dropDuplicates(["name"])
+    texts = kept(texts, "texts")
     leads = member.where("name = lead").select("name", "lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = member.where("name <> lead").select("name", "lead", "salt")
-    alone = member.where("name = lead").select("lead")
-    absent = others.join(alone, "lead", "left_anti").select(F.col("lead").alias("name"), "lead", "salt").distinct()
-    rows = others.union(leads).union(absent).distinct().join(texts, "name")
-    links = store(rows.groupBy("lead", "salt").applyInArrow(_group_links(width, num, den), "u long, v long"), "links")
-    parts = connected_components(links)
+    absent = others.join(leads.select("lead"), "lead", "left_anti").select(F.col("lead").alias("name"), "lead", "salt").distinct()
+    rows = others.union(leads).union(absent).join(texts, "name").withColumn("component", F.col("name"))
+    links = kept(rows.groupBy("lead", "salt").applyInArrow(_group_links(width, num, den), "u long, v long"), "links")
+    components = connected_components(links)
 
     def label(df, c, out):
-        return df.join(parts.select(F.col("node").alias(c), F.col("component").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
+        return df.join(components.select(F.col("node").alias(c), F.col("component").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
+
+    def joined(links):
+        """The components with more links, found from those at hand."""
+        return components if links.isEmpty() else connected_components(links.union(components.select("node", "component")))
 
     # Pairs that are left: between groups, and not in one component yet.
     where = member.select("name", F.struct("lead", "salt").alias("group"))
     rest = label(label(pairs, "a", "ca"), "b", "cb").where("ca <> cb")
     rest = rest.join(where.select(F.col("name").alias("a"), F.col("group").alias("ga")), "a").join(where.select(F.col("name").alias("b"), F.col("group").alias("gb")), "b").where("ga <> gb").select("a", "b")
-
-    def more_texts(texts, p):
-        names = p.select(F.col("a").alias("name")).union(p.select("b")).distinct().join(texts, "name", "left_anti")
-        return texts.union(store(texts_of(names), "texts"))
-
-    def compare(p):
-        t = texts.select(F.col("name").alias("a"), F.col("text").alias("text_a"))
-        u = texts.select(F.col("name").alias("b"), F.col("text").alias("text_b"))
-        return p.join(t, "a").join(u, "b").select("a", "b", "text_a", "text_b").mapInArrow(_pair_links(width, num, den), "u long, v long")
-
-    links = store(links.union(compare(rest)), "links")
-
-    # Long lists: what the pivots did not bring together meets other pivots of the list's largest component, round by round.
-    tested, lists = pairs, found.where("kind = 1").select("token", "a", "n", "rest")
-    left = not lists.isEmpty()
-    for turn in range(lim.rounds + 1):
-        if not left:
-            break
-        parts = connected_components(links)
-        lists = label(lists.select("token", "a", "n", "rest"), "a", "component")
-        size = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
-        size = size.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("L")).where("top.m < L")
-        size = size.select("token", F.col("top.component").alias("main"), F.col("top.m").alias("m"), "L")
-        lists = store(lists.join(size, "token"), "lists")
-        left = not lists.isEmpty()
-        if not left or turn == lim.rounds:
-            break
-        order = F.xxhash64("a", F.lit(turn))
-        pivot = lists.where("component = main").groupBy("token", F.pmod(order, F.lit(lim.pivots)).alias("k")).agg(F.min(F.struct(order.alias("o"), F.col("a").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("pr"))).alias("x"))
-        near = lists.where("component <> main").select("token", "a", "n", "rest").join(pivot.select("token", "x.p", "x.pn", "x.pr"), "token").where((F.least("n", "pn") * den >= F.greatest("n", "pn") * num) & (F.least("rest", "pr") * (num + den) >= num * (F.col("n") + F.col("pn"))))
-        near = near.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct()
-        near = store(possible(near.join(tested, ["a", "b"], "left_anti")), "near")
-        if not near.isEmpty():
-            texts = more_texts(texts, near)
-            links = store(links.union(compare(near)), "links")
-            tested = tested.union(near)
-    if left:
-        size = F.ceil(F.col("m") / lim.grid), F.ceil((F.col("L") - F.col("m")) / lim.grid)
-        # Lists with one largest component mostly hold the same sets: they go to one group, which names a pair once. Groups are of a bounded size.
-        slots = lists.groupBy("main").agg(F.ceil(F.count("*") / lim.dealt).alias("slots"))
-        lists = lists.join(slots, "main").withColumn("deal", F.pmod(F.xxhash64("main", F.pmod("token", F.col("slots"))), F.lit(max(1 << 12, total >> 16))))
-        x = lists.withColumns({"P": size[0].cast("int"), "Q": size[1].cast("int")}).join(classes.select(F.col("name").alias("a"), "bits"), "a")
-        # Lists of a block's size are dealt whole, many to a group. In a longer one blocks of the largest component meet all others, those meet all.
-        whole = (F.col("P") + F.col("Q")) <= 2
-        x = x.withColumn("block", F.when(F.col("component") == F.col("main"), F.pmod(F.xxhash64("a"), F.col("P"))).otherwise(F.col("P") + F.pmod(F.xxhash64("a"), F.col("Q"))).cast("int"))
-        meets = F.when(whole, F.array(F.lit(-1))).when(F.col("block") < F.col("P"), F.sequence(F.col("P"), F.col("P") + F.col("Q") - 1)).otherwise(F.sequence(F.lit(0), F.col("P") + F.col("Q") - 1))
-        x = x.withColumns({"with": F.explode(meets), "deal": F.when(whole, F.col("deal")).otherwise(F.col("token"))})
-        x = x.withColumns({"i": F.when(whole, -1).otherwise(F.least("block", "with")), "j": F.when(whole, -1).otherwise(F.greatest("block", "with"))})
-        more = x.select("deal", "i", "j", "token", "a", "n", "rest", "component", "block", "bits").groupBy("deal", "i", "j").applyInArrow(_grid_pairs(num, den), "a long, b long").distinct()
-        more = store(more.join(tested, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            texts = more_texts(texts, more)
-            links = store(links.union(compare(more)), "links")
-    parts = connected_components(links)
+    rest = rest.join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
+    components = joined(kept(rest.select("a", "b", "text_a", "text_b").mapInArrow(_pair_links(width, num, den), "u long, v long"), "links"))
+
+    # Hubs whose members are in several components: blocks outside of the largest one meet all blocks of sizes in reach.
+    spread = label(hubs, "name", "component")
+    tops = spread.groupBy("hub", "component").agg(F.count("*").alias("m")).groupBy("hub").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    # Sizes that can link are at most one band apart.
+    band = F.floor(F.log("n") / float(np.log(max(den / num, 1.1) * 1.01))).cast("long")
+    work = spread.join(tops.select("hub", F.col("top.component").alias("main")), "hub").join(classes.select("name", "n"), "name")
+    work = kept(work.select("hub", "name", "component", "n", band.alias("band"), (F.col("component") != F.col("main")).cast("long").alias("out")), "work")
+    if not work.isEmpty():
+        count = F.ceil(F.greatest(F.count("*") / lim.grid, F.sum("n") / lim.grid_tokens)).cast("long")
+        sizes = kept(work.groupBy("hub", "out", "band").agg(count.alias("count")), "sizes")
+        block = F.shiftleft("band", 33) + F.col("sub") * 2 + F.col("out")
+        blocks = sizes.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).select("hub", "out", "band", block.alias("block"))
+        x, y = blocks.where("out = 1").select("hub", F.col("band").alias("xb"), F.col("block").alias("x")), blocks.select("hub", F.col("out").alias("yo"), F.col("band").alias("yb"), F.col("block").alias("y"))
+        meets = x.join(y, "hub").where("abs(xb - yb) <= 1 and (yo = 0 or x <= y)").select("hub", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+        work = work.join(sizes, ["hub", "out", "band"]).withColumn("sub", F.pmod(F.xxhash64("name"), F.col("count"))).withColumn("block", block)
+        rows = work.select("hub", "block", "name", "component").join(meets, ["hub", "block"]).join(texts, "name")
+        more = rows.select("hub", "x", "y", "name", "text", "component").groupBy("hub", "x", "y").applyInArrow(_group_links(width, num, den), "u long, v long")
+        components = joined(kept(more, "links"))
 
     grouped = label(classes.select("name", "id"), "name", "component")
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     named = grouped.join(least, "component").select("name", "component_id")
     out = nodes.join(named, "name", "left").select(F.col("id").alias(row_id), F.col("n").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = store(out, "components")
+    for df in scratch:
+        drop_stored(df)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,19 +11,28 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (single-machine runs), one under the temp folder."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, one under the temp folder if all runs on this machine; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.gettempdir()}/kinfold-shared"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return f"file://{tempfile.gettempdir()}/kinfold-shared"
+
+
+def _path_of(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives any executor."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives any executor. It goes with the driver's end, if not dropped before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, p = _path_of(spark, path)
+    fs.deleteOnExit(p)
     back = spark.read.schema(df.schema).parquet(path)
     back._kinfold_path = path
     return back
@@ -32,9 +42,8 @@ def drop_stored(df: DataFrame) -> None:
     """Delete a table that store() wrote, once nothing lazy reads it any more."""
     path = getattr(df, "_kinfold_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _path_of(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
