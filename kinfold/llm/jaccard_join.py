@@ -44,7 +44,7 @@ class Limits:
     long: int = 16  # sets of a longer index list meet at a hub
     group: int = 192  # sets to a group around a lead, about
     group_tokens: int = 1 << 20  # and tokens
-    grid: int = 1024  # sets to a block of a hub, about
+    grid: int = 512  # sets to a block of a hub, about
     grid_tokens: int = 1 << 19  # and tokens
     slice: int = 1 << 13  # members of a hub to a row, about
     hot: int = 4  # tokens of so many sets come last in the order, by their number

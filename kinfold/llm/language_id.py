@@ -3,9 +3,10 @@
 For each language a tree of byte contexts up to ORDER bytes deep is frozen after training. A byte's probability in a
 context seen c times with d distinct followers is n / (c + d) if it followed n times, else the escape d / (c + d) times
 its probability in the next shorter context, down to a uniform distribution over bytes. As statistics are frozen, the
-code length of every (context, byte) is fixed, so it is worked out once into arrays: scoring a text is two lookups a byte
-and a sum by language. The tree is variable-order: the deepest contexts are kept only where the training rows hold them.
-Training takes at most SAMPLE rows of each language (the smallest by hash), a documented bound; it reads nothing else.
+code length of every (context, byte) is fixed. A tree holds what its language's rows hold and nothing else: sorted
+arrays of the contexts and of what followed them, at each depth. Texts are scored in groups, each distinct sequence of
+ORDER + 1 bytes once for each language. Training takes at most SAMPLE rows of each language (the smallest by hash), a
+documented bound; it reads nothing else.
 """
 
 from __future__ import annotations
@@ -18,122 +19,113 @@ from pyspark.sql.window import Window
 
 from .textbytes import groups, text_bytes
 
-ORDER, SAMPLE, MAX_LANGS = 3, 400, 64
+ORDER, SAMPLE, PIECE = 3, 400, 1 << 20
 UNKNOWN = "und"
 
 
-class Model:
-    """Code lengths in bits of (context, byte) for all languages: cost[context id, byte class, language].
+class Tree:
+    """One language's contexts. A sequence of bytes is a big-endian integer; 0 bytes stand before a text's start."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        """How often (n) each sequence of ORDER + 1 bytes (gram) was seen."""
+        self.levels = []
+        for depth in range(ORDER, -1, -1):
+            keys, at = np.unique(gram & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)  # context and byte
+            count = np.bincount(at, n, len(keys))
+            contexts, at = np.unique(keys >> 8, return_inverse=True)
+            kinds = np.bincount(at, minlength=len(contexts))
+            whole = np.bincount(at, count, len(contexts)) + kinds
+            self.levels.append((keys, np.log2(whole[at] / count), contexts, np.log2(whole / kinds)))
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code length of each sequence's last byte after the others."""
+        out, left = np.zeros(len(gram)), np.arange(len(gram))
+        for depth, (keys, own, contexts, escape) in zip(range(ORDER, -1, -1), self.levels, strict=True):
+            g = gram[left] & ((1 << 8 * (depth + 1)) - 1)
+            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            seen = keys[at] == g
+            out[left[seen]] += own[at[seen]]
+            left, g = left[~seen], g[~seen] >> 8
+            at = np.minimum(np.searchsorted(contexts, g), len(contexts) - 1)
+            known = contexts[at] == g
+            out[left[known]] += escape[at[known]]
+        out[left] += 8
+        return out
 
-    Bytes that training never saw share class 0. A context of ORDER bytes that no language kept falls back to the last
-    two bytes' context, which always has an id.
-    """
+
+def grams_of(raw: np.ndarray, offs: np.ndarray, start: int, end: int) -> np.ndarray:
+    """For each byte of raw[start:end] its sequence: it and the ORDER bytes before it in its row. offs: where rows begin."""
+    lo = max(start - ORDER, 0)
+    x = np.concatenate([np.zeros(ORDER - (start - lo), np.int64), raw[lo:end].astype(np.int64)])
+    inside = np.arange(start, end) - offs[np.searchsorted(offs, np.arange(start, end), "right") - 1]  # bytes of the row before each
+    gram = np.zeros(end - start, np.int64)
+    for back in range(ORDER, -1, -1):
+        b = x[ORDER - back : ORDER - back + end - start]
+        gram = (gram << 8) | np.where(inside >= back, b, 0)
+    return gram
+
+
+class Model:
+    """The trees of all languages; its size follows the training rows, not the number of languages times their contexts."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        """lang, gram, n: how often each 4-byte sequence (big-endian integer, 0 bytes before a text's start) was seen."""
+        """lang, gram, n: how often each sequence was seen in each language."""
         self.langs = langs
-        b = np.stack([(gram >> s) & 255 for s in (24, 16, 8, 0)], 1).astype(np.int64)
-        seen = np.unique(b[b > 0])
-        self.classes = np.zeros(256, np.int32)
-        self.classes[seen] = np.arange(1, len(seen) + 1)
-        a, L = len(seen) + 1, len(langs)
-        self.alphabet = a
-        c = self.classes[b].astype(np.int64)
-        tri = (c[:, 0] * a + c[:, 1]) * a + c[:, 2]
-        kept = np.unique(tri)
-        # ids: first all pairs of classes (order 2), then the kept contexts of order 3
-        self.context = np.tile(np.arange(a * a, dtype=np.int32), a)  # by (c0, c1, c2): id of (c1, c2)
-        self.context[kept] = a * a + np.arange(len(kept), dtype=np.int32)
-        order0 = np.zeros((L, a))
-        order1, order2 = np.zeros((L, a, a), np.float32), np.zeros((L, a * a, a), np.float32)
-        order3 = np.zeros((L, len(kept), a), np.float32)
-        np.add.at(order0, (lang, c[:, 3]), n)
-        np.add.at(order1, (lang, c[:, 2], c[:, 3]), n)
-        np.add.at(order2, (lang, c[:, 1] * a + c[:, 2], c[:, 3]), n)
-        np.add.at(order3, (lang, np.searchsorted(kept, tri), c[:, 3]), n)
-
-        def deeper(count, shorter):
-            total, kinds = count.sum(-1, keepdims=True), (count > 0).sum(-1, keepdims=True, dtype=np.float32)
-            whole = np.maximum(total + kinds, 1)
-            return np.where(total == 0, shorter, np.where(count > 0, count / whole, kinds / whole * shorter)).astype(np.float32)
-
-        p = np.full((L, a), 1 / 256, np.float32)
-        p = deeper(order0, p)  # (L, a)
-        p = deeper(order1, p[:, None, :])  # (L, a, a)
-        two = deeper(order2, np.tile(p, (1, a, 1)))  # context (c1, c2) falls back to c2
-        three = deeper(order3, two[:, kept % (a * a), :])
-        p = np.concatenate([two, three], 1)
-        self.cost = np.ascontiguousarray(-np.log2(np.maximum(p, 1e-12)).transpose(1, 2, 0)).reshape(-1, L).astype(np.float32)
+        self.trees = [Tree(gram[lang == k], n[lang == k]) for k in range(len(langs))]
 
     def code_lengths(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each row's text in each language (rows x languages)."""
-        out = np.zeros((len(offs) - 1, len(self.langs)))
-        for i, j in groups(offs, 1 << 19):
+        out = np.zeros((len(offs) - 1, len(self.trees)))
+        for i, j in groups(offs, PIECE):
             lo, hi = int(offs[i]), int(offs[j])
-            for start in range(lo, max(hi, lo + 1), 1 << 20):  # a text longer than a piece goes on with its context
-                end = min(hi, start + (1 << 20))
-                before = min(3, start - lo)
-                c = self.classes[raw[start - before : end]].astype(np.int64)
-                pad = np.concatenate([np.zeros(3 - before, np.int64), c])
-                c0, c1, c2, c3 = pad[:-3], pad[1:-2], pad[2:-1], pad[3:]
-                c0, c1, c2 = c0.copy(), c1.copy(), c2.copy()
-                first = offs[i:j][(offs[i:j] >= start) & (offs[i:j] < end)] - start
-                for k in range(3):  # nothing comes before a text's start
-                    at = first + k
-                    at = at[at < len(c3)]
-                    if k < 1:
-                        c2[at] = 0
-                    if k < 2:
-                        c1[at] = 0
-                    c0[at] = 0
-                ids = self.context[(c0 * self.alphabet + c1) * self.alphabet + c2].astype(np.int64)
-                bits = self.cost[ids * self.alphabet + c3]
-                total = np.zeros((len(bits) + 1, bits.shape[1]))
-                np.cumsum(bits, axis=0, dtype=np.float64, out=total[1:])
-                a, b = np.clip(offs[i:j] - start, 0, len(bits)), np.clip(offs[i + 1 : j + 1] - start, 0, len(bits))
-                out[i:j] += total[b] - total[a]
+            for start in range(lo, hi, PIECE):  # a text longer than a piece goes on with its context
+                end = min(hi, start + PIECE)
+                gram, at = np.unique(grams_of(raw, offs, start, end), return_inverse=True)
+                a, b = np.clip(offs[i:j], start, end) - start, np.clip(offs[i + 1 : j + 1], start, end) - start
+                total = np.zeros(end - start + 1)
+                for k, tree in enumerate(self.trees):
+                    np.cumsum(tree.bits(gram)[at], out=total[1:])
+                    out[i:j, k] += total[b] - total[a]
         return out
 
 
 def _grams(batches):
-    """(lang, text) -> counts of 4-byte sequences."""
+    """(lang, text) -> counts of sequences of ORDER + 1 bytes."""
     for batch in batches:
         raw, offs = text_bytes(batch.column(1))
         for i, lang in enumerate(batch.column(0).to_pylist()):
-            for start in range(int(offs[i]), int(offs[i + 1]), 1 << 22):
-                end = min(int(offs[i + 1]), start + (1 << 22))
-                before = min(3, start - int(offs[i]))
-                x = np.concatenate([np.zeros(3 - before, np.uint8), raw[start - before : end]]).astype(np.int64)
-                gram, n = np.unique((x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:], return_counts=True)
+            for start in range(int(offs[i]), int(offs[i + 1]), PIECE):
+                gram, n = np.unique(grams_of(raw, offs, start, min(int(offs[i + 1]), start + PIECE)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model of the values of lang, from at most sample rows of each (those with the smallest hash of row_id).
+    """A model of all values of lang, from at most sample rows of each (those with the smallest hash of row_id and text).
 
-    Rows with null lang or null or empty text teach nothing. There must be some that do, and no more than MAX_LANGS values.
+    Rows with null lang or null or empty text teach nothing, repeated rows (and rows without ids of one text) teach once.
+    Where no row teaches anything the model knows no language. What comes to the driver is the hashes of the sampled rows and
+    the distinct sequences of ORDER + 1 bytes in them, by language.
     """
-    rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(row_id).alias("h"), F.col(text).alias("text"))
+    rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(row_id, text).alias("h"), F.col(text).alias("text"))
     # Top rows by (lang, hash) without their texts, limited before the shuffle; then their texts by a small broadcast.
     top = rows.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample)
-    picked = [tuple(r) for r in top.select("lang", "h").distinct().limit(MAX_LANGS * sample + 1).collect()]
+    picked = [tuple(r) for r in top.select("lang", "h").distinct().collect()]
+    if not picked:
+        return Model([], *np.zeros((3, 0), np.int64))
     langs = sorted({r[0] for r in picked})
-    assert langs, "no labelled text to learn from"
-    assert len(langs) <= MAX_LANGS, f"more than {MAX_LANGS} languages"
     few = docs.sparkSession.createDataFrame(picked, "lang string, h long")
-    grams = rows.join(F.broadcast(few), ["lang", "h"]).select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # At most 256 ** 4 cells, in fact those of SAMPLE texts of each language.
-    got = grams.toArrow()
+    texts = rows.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    got = texts.select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     index = {x: k for k, x in enumerate(langs)}
     ids = np.array([index[x] for x in got.column("lang").to_pylist()], np.int64)
-    order = np.lexsort((got.column("gram").to_numpy(), ids))
-    return Model(langs, ids[order], got.column("gram").to_numpy()[order], got.column("n").to_numpy()[order])
+    return Model(langs, ids, got.column("gram").to_numpy(), got.column("n").to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte"), keep: list[str] | None = None) -> DataFrame:
     """docs with the language whose code for the whole text is shortest, its probability under equal priors, and its bits a byte.
 
-    Null texts and texts without a letter get `und`, score 0 and null bits. Ties go to the first language in order.
+    Null texts and texts without a letter get `und`, score 0 and null bits, as do all texts if the model knows no language.
+    Ties go to the first language in order.
     Row by row, no shuffle; equal texts get equal results; an empty table gives an empty table. All columns of docs (or
     those in keep) are returned; one with the name of an output column is replaced.
     """
@@ -145,10 +137,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: tuple[str,
             k = batch.num_columns - 2
             raw, offs = text_bytes(batch.column(k))
             bits = m.code_lengths(raw, offs)
-            best = bits.argmin(1)
-            top = bits[np.arange(len(bits)), best] if len(bits) else np.zeros(0)
-            score = 1 / np.exp2(np.maximum(top[:, None] - bits, -1000)).sum(1)
             no = ~np.array(batch.column(k + 1).to_pylist(), bool)
+            if m.langs:
+                best = bits.argmin(1)
+                top = bits[np.arange(len(bits)), best]
+                score = 1 / np.exp2(np.maximum(top[:, None] - bits, -1000)).sum(1)
+            else:
+                no[:], best, top, score = True, np.zeros(len(no), int), np.zeros(len(no)), np.zeros(len(no))
             name = [UNKNOWN if n else m.langs[b] for n, b in zip(no, best, strict=True)]
             rate = top / np.maximum(np.diff(offs), 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(name, pa.string()), pa.array(np.where(no, 0.0, score)), pa.array(rate, mask=no)], names=[*batch.schema.names[:k], *out])

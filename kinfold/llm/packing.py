@@ -1,39 +1,56 @@
 """Best-fit packing of token pieces into sequences, by the best-two-fit rule.
 
 The packing depends on lengths alone, and there are at most `size` of them. So the number of pieces of each length (a
-bounded histogram) is all that the driver sees; best-two-fit runs on it and yields patterns (the lengths in one
+bounded histogram) is all that the packing needs; best-two-fit runs on it and yields patterns (the lengths in one
 sequence, in order) with how often each is used. Pieces then find their places by rank: the r-th piece of a length goes to the
-r-th place that the patterns have for that length. Ranks come from counts by (length, salt), so a length that a third
-of all pieces share is ranked by many tasks.
+r-th place that the patterns have for that length. Ranks come from counts by (length, salt) with about SALT_PIECES pieces to
+a salt, so that a length that a third of all pieces share is ranked by many tasks, the more the more there are.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import store
 
-SALTS = 256
+SALT_PIECES = 1 << 16
 _ENCODERS: dict[str, object] = {}
 
 
-def encoder(ranks_file: str):
-    """The byte-level BPE of a file of ranks; gives the ids that the tokenizer of the same vocabulary gives, special strings being ordinary text."""
-    if ranks_file not in _ENCODERS:
+def encoder(file: str):
+    """The byte-level BPE that a tokenizers .json describes, as ranks of byte strings: the same ids in less time.
+
+    As by the library's default, an added token's string inside a text is that token, and all else is split by the fixed pattern.
+    """
+    if file not in _ENCODERS:
         import public_tokenizers
         import tiktoken
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        with open(file, encoding="utf-8") as f:
+            said = json.load(f)
+        pre = said["pre_tokenizer"]
+        if said["model"]["type"] != "BPE" or said["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or any(t[k] for t in said["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{file} is no plain byte-level BPE")
+        # The vocabulary writes each byte as one character: printable ones as themselves, the others from 256 on, in order.
+        own = sorted(ord(c) for c in ByteLevel.alphabet() if ord(c) < 256)
+        byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+        added = {t["content"]: t["id"] for t in said["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in added}
+        _ENCODERS[file] = tiktoken.Encoding(file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return _ENCODERS[file]
 
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[ranks_file] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[ranks_file]
+
+def ids_of(enc, text: str | None) -> np.ndarray:
+    return np.asarray(enc.encode_to_numpy(text or "", allowed_special="all"), "<u4")
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -117,25 +134,27 @@ def places(patterns: list[tuple[int, tuple[int, ...]]], size: int) -> dict[str,
     return {"length": cols[:, 0], "first": cols[:, 1], "seq": cols[:, 2], "offset": cols[:, 3]}
 
 
-def pieces_of(docs: DataFrame, ranks_file: str, size: int, end_id: int, text: str, row_id: str) -> DataFrame:
+def pieces_of(docs: DataFrame, file: str, size: int, end_id: int, text: str, row_id: str) -> DataFrame:
+    """id, piece, start, length, ids_crc32 of each piece, and deal, a number by which a task's pieces of one length spread."""
+
     def run(batches):
-        enc = encoder(ranks_file)
+        enc, deal = encoder(file), (TaskContext.get().partitionId() * 0x9E3779B1) & 0xFFFFFFFF
         for batch in batches:
             at, rows = [], []
             for i, t in enumerate(batch.column(1)):
-                ids = np.append(np.asarray(enc.encode_to_numpy(t.as_py() or "", disallowed_special=()), "<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(ids_of(enc, t.as_py()), np.uint32(end_id)).astype("<u4")
                 for k, (s, n) in enumerate(cut(len(ids), size)):
                     at.append(i)
-                    rows.append((k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
-            cols = np.array(rows, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[:, 0], pa.int32()), *(pa.array(cols[:, k]) for k in (1, 2, 3)), batch.column(2).take(pa.array(at, pa.int64()))], names=["id", "piece", "start", "length", "ids_crc32", "salt"])
+                    rows.append((k, s, n, zlib.crc32(ids[s : s + n].tobytes()), deal))
+                    deal += 1
+            cols = np.array(rows, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[:, 0], pa.int32()), *(pa.array(cols[:, k]) for k in (1, 2, 3, 4))], names=["id", "piece", "start", "length", "ids_crc32", "deal"])
 
     kind = docs.schema[row_id].dataType.simpleString()
-    src = docs.select(F.col(row_id).alias("id"), text, F.pmod(F.xxhash64(row_id, F.substring(text, 1, 64)), F.lit(SALTS)).cast("int").alias("salt"))
-    return src.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, salt int")
+    return docs.select(F.col(row_id).alias("id"), text).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, deal long")
 
 
-def pack(docs: DataFrame, ranks_file: str, size: int = 1024, end_id: int = 2, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Pieces of all docs with the sequence and the place of each: row_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids and end_id, so null and empty texts are one token. Longer ones than size are cut into
@@ -143,26 +162,32 @@ def pack(docs: DataFrame, ranks_file: str, size: int = 1024, end_id: int = 2, te
     gaps and at most size tokens. Repeated rows are documents each (their pieces get places of their own); ids may be
     null; other columns play no part. An empty table gives an empty table.
     """
-    found = store(pieces_of(docs, ranks_file, size, end_id, text, row_id), "pieces")
-    by_salt = found.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    # At most size * SALTS sums, whatever the input.
-    sums = {(r.length, r.salt): r.n for r in by_salt.collect()}
+    spark = docs.sparkSession
+    found = store(pieces_of(docs, file, size, end_id, text, row_id), "pieces")
     counts = np.zeros(size + 1, np.int64)
-    before = np.zeros((size + 1, SALTS), np.int64)
-    for (length, salt), n in sorted(sums.items()):
-        before[length, salt] = counts[length]
-        counts[length] += n
+    for r in found.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most size rows
+        counts[r.length] = r.n
+    salts = np.maximum(1, -(-counts // SALT_PIECES))
+    by_length = spark.createDataFrame([(n, int(salts[n])) for n in np.flatnonzero(counts).tolist()], "length long, salts long")
+    dealt = found.join(F.broadcast(by_length), "length").withColumn("salt", F.pmod("deal", "salts"))
+    # At most size sums and one more for every SALT_PIECES pieces.
+    first = np.concatenate([[0], np.cumsum(salts)])
+    sums = np.zeros(first[-1], np.int64)
+    for r in dealt.groupBy("length", "salt").agg(F.count("*").alias("n")).collect():
+        sums[first[r.length] + r.salt] = r.n
+    before = np.cumsum(sums) - sums
+    before -= np.repeat(before[first[:-1]], salts)
     runs = places(best_two_fit(counts), size)
-    shared = docs.sparkSession.sparkContext.broadcast((runs, before))  # at most size * size runs, in practice a few for each length
-    order = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")
-    ranked = found.withColumn("k", F.row_number().over(order))
+    shared = spark.sparkContext.broadcast((runs, first, before))  # in practice a few runs for each length
+    order = Window.partitionBy("length", "salt").orderBy("deal", "id", "piece")
+    ranked = dealt.withColumn("k", F.row_number().over(order))
 
     def run(batches):
-        runs, before = shared.value
+        runs, first, before = shared.value
         at_length = np.searchsorted(runs["length"], np.arange(size + 2))
         for batch in batches:
             length, salt, k = (batch.column(batch.schema.names.index(x)).to_numpy(zero_copy_only=False) for x in ("length", "salt", "k"))
-            rank = before[length, salt] + k - 1
+            rank = before[first[length] + salt] + k - 1
             r = np.zeros(len(rank), np.int64)
             for n in np.unique(length):
                 here = length == n

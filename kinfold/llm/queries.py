@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, jaccard_join, language_id, line_dedup, packing, progressive_jpeg, sentencepiece_trie, token_counts, topk_search, url_filters
 
-PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
+PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 RULES = [url_filters.Rule.of(v, r) for v, r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
 
 
@@ -65,7 +63,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), 1024, 2)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), 1024, 2)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,10 +150,3 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.a = d.doc_id GROUP BY d.do
 """
 
 ORACLE_SQL = {"op1_topk_search": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL}
-
-
-@functools.cache
-def pipeline_sql() -> str | None:
-    import corpus_pipeline
-
-    return corpus_pipeline.ORACLE_SQL

@@ -1,10 +1,14 @@
 """Exact top-k search by aggregation without random access (NRA).
 
-Vectors become integers. Candidates are dealt into blocks, queries into blocks, and every pair of blocks is one group of
-an equi-join. In a group each component is a list of the candidates sorted by it; a query reads all lists from the end
-that adds most to its score, to the same depth. What it has read of a candidate, with the lists' last values in place
-of the rest, is a lower bound of the score; with the last values read it is an upper bound. Once all but a few
-candidates have an upper bound under the k-th lower bound the reading stops, and the scores of those few are resolved.
+Vectors become integers. Candidates are dealt into blocks, queries into blocks, and a pair of blocks is one group of an
+equi-join. In a group each component is a list of the candidates sorted by it; a query reads every list from the end that
+adds most to its score, onward in STEPS steps. The products of what a step reads are added to what is known of each
+candidate. With the lists' last values in place of what is not read, that is a lower bound of the score; with the last values read, an
+upper bound. A candidate whose upper bound is under the k-th lower bound is out and costs nothing from then on. A query
+stops when no more than a few are left, whose unread components are then added; at the lists' end both bounds are the score.
+
+First each block of queries meets one block of candidates; its k-th scores are floors for the others. A block whose best
+possible score is under a query's floor is skipped, and in the rest outsiders go sooner.
 """
 
 from __future__ import annotations
@@ -15,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK, DEPTHS = 4096, (1 / 16, 1 / 8, 1 / 4, 1 / 2)
+from .shared import store
+
+BLOCK, STEPS, QUERIES = 4096, 8, 512
 
 
 def _kind(q: np.ndarray, c: np.ndarray):
@@ -24,54 +30,63 @@ def _kind(q: np.ndarray, c: np.ndarray):
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
-def nra(q: np.ndarray, own: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, depths=DEPTHS) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (row of q; own: its id) its index, and ids and scores of its k best candidates but itself, ties to smaller ids."""
-    n, kind = len(c), _kind(q, c)
+def _some(q, own, floor, c, rank, lists, ids, k, steps, few):
+    """nra() for a few queries; c, ids in order of ids. Yields (query, ids, scores, depth)."""
+    (n, D), kind = c.shape, c.dtype
+    up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
+    asked, cand = np.arange(len(q)), np.arange(n)  # queries and candidates that are not done
+    known, alive = np.zeros((len(q), n), kind), ids != own[:, None]
+    depths = sorted({-(-n * s // steps) for s in range(1, steps + 1)})
+    for before, d in zip([0, *depths[:-1]], depths, strict=True):
+        r, x, a, b = rank[cand], c[cand], up[asked], down[asked]
+        high, low = r >= n - d, r < d  # read so far, from the lists' high ends and from their low ends
+        known += a @ (x * (high & (r < n - before))).T + b @ (x * (low & (r >= before))).T
+        unread_high, unread_low = (~high).astype(kind).T, (~low).astype(kind).T
+        lower = known + (a * lists[0]) @ unread_high + (b * lists[-1]) @ unread_low
+        upper = known + (a * lists[n - d]) @ unread_high + (b * lists[d - 1]) @ unread_low
+        least = floor[asked]
+        if len(cand) > k:
+            bound = np.where(alive, lower, -np.inf)
+            least = np.maximum(least, np.partition(bound, len(cand) - k, axis=1)[:, len(cand) - k])
+        alive &= upper >= least[:, None]
+        done = np.flatnonzero((alive.sum(1) <= few) | (d == n))
+        for i in done.tolist():
+            left = np.flatnonzero(alive[i])
+            y = x[left]  # what is not read of the few is added; at the lists' end that is nothing
+            s = known[i, left] + (y * ~high[left]) @ a[i] + (y * ~low[left]) @ b[i]
+            best = np.array(sorted(range(len(left)), key=lambda t: (-s[t], ids[cand[left[t]]]))[:k], int)
+            yield int(asked[i]), ids[cand[left[best]]], s[best].astype(np.int64), d / n
+        stay = np.setdiff1d(np.arange(len(asked)), done)
+        if not len(stay):
+            return
+        asked, known, alive = asked[stay], known[stay], alive[stay]
+        live = alive.any(0)
+        if live.mean() < 0.8:
+            cand, known, alive = cand[live], known[:, live], alive[:, live]
+
+
+def nra(q: np.ndarray, own: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None, steps: int = STEPS, few: int | None = None) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
+    """For each query (row of q; own: its id) its index, ids and scores of its k best candidates but itself, ties to smaller ids, and the depth to which it read (0: the block was skipped).
+
+    floor: scores under it are not asked for. few: a query with no more candidates than that left stops.
+    """
+    floor = np.full(len(q), -np.inf) if floor is None else floor
+    kind, few = _kind(q, c), 16 * k if few is None else few
+    if not len(c):
+        return []
     order = np.argsort(ids, kind="stable")
     ids, c = ids[order], c[order]
-    lists = np.sort(c, axis=0)
-    rank = np.empty(c.shape, np.int32)
-    np.put_along_axis(rank, np.argsort(c, axis=0, kind="stable"), np.arange(n, dtype=np.int32)[:, None], 0)
-    c, lists = c.astype(kind), lists.astype(kind)
-    up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-    self_at = np.minimum(np.searchsorted(ids, own), max(n - 1, 0))
-    has_self = ids[self_at] == own if n else np.zeros(len(own), bool)
-    out, left = [], np.arange(len(q))
-
-    def resolve(i, few):
-        s = c[few] @ q[i].astype(kind)
-        best = np.lexsort((ids[few], -s))[:k] if kind is not object else np.array(sorted(range(len(few)), key=lambda x: (-s[x], ids[few[x]]))[:k], int)
-        out.append((int(i), ids[few][best], s[best].astype(np.int64)))
-
-    for depth in depths if n > 64 * k and kind is not object else ():
-        if not len(left):
-            break
-        d = max(1, int(n * depth))
-        high, low = rank >= n - d, rank < d  # read of the lists, from their high ends and from their low ends
-        a, b = up[left], down[left]
-        lower = a @ np.where(high, c, lists[0]).T + b @ np.where(low, c, lists[-1]).T
-        upper = a @ np.where(high, c, lists[n - d]).T + b @ np.where(low, c, lists[d - 1]).T
-        here = np.flatnonzero(has_self[left])
-        lower[here, self_at[left[here]]] = upper[here, self_at[left[here]]] = -np.inf
-        least = np.partition(lower, n - k, axis=1)[:, n - k]
-        open_ = upper >= least[:, None]
-        count = open_.sum(1)
-        for x in np.flatnonzero(count <= 16 * k):
-            resolve(left[x], np.flatnonzero(open_[x]))
-        left = left[count > 16 * k]
-    if len(left):  # lists read to the end: both bounds are the score
-        score = q[left].astype(kind) @ c.T
-        for x, i in enumerate(left):
-            s = score[x]
-            if n > 64 * k and kind is not object:
-                s = s.copy()
-                if has_self[i]:
-                    s[self_at[i]] = -np.inf
-                least = np.partition(s, n - k)[n - k]
-                few = np.flatnonzero(s >= least)
-            else:
-                few = np.flatnonzero(ids != own[i])
-            resolve(i, few)
+    best = (np.maximum(q, 0).astype(kind) * c.max(0) + np.minimum(q, 0).astype(kind) * c.min(0)).sum(1)
+    meets = np.flatnonzero(best >= floor)
+    none = np.zeros(0, np.int64)
+    out = [(i, none, none, 0.0) for i in np.setdiff1d(np.arange(len(q)), meets).tolist()]
+    if len(meets):
+        rank = np.empty(c.shape, np.int32)
+        np.put_along_axis(rank, np.argsort(c, axis=0, kind="stable"), np.arange(len(c), dtype=np.int32)[:, None], 0)
+        c, lists = c.astype(kind), np.sort(c, axis=0).astype(kind)
+        for a in range(0, len(meets), QUERIES):
+            part = meets[a : a + QUERIES]
+            out += [(int(part[i]), *x) for i, *x in _some(q[part], own[part], floor[part], c, rank, lists, ids, k, steps, few)]
     return out
 
 
@@ -90,23 +105,33 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, row_id: str = "vec_id
     n, m = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
     cb, qb = max(1, -(-n // block)), max(1, -(-m // block))
     hashed = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = rows.where(F.col("id") % every == 0).withColumn("qb", hashed(qb)).withColumn("cb", spread(cb))
-    candidates = rows.withColumn("cb", hashed(cb)).withColumn("qb", spread(qb))
+    queries, candidates = rows.where(F.col("id") % every == 0).withColumn("qb", hashed(qb)), rows.withColumn("cb", hashed(cb))
 
     def run(key, left, right):
         dim = key[2].as_py()
         get = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, dim)
-        if not left.num_rows or not right.num_rows:
-            found = []
-        else:
-            own = left.column("id").to_numpy()
-            found = [(own[i], r, i_, s) for i, ids, scores in nra(get(left), own, get(right), right.column("id").to_numpy(), k) for r, (i_, s) in enumerate(zip(ids, scores, strict=True))]
-        cols = np.array([(a, b, c) for a, _, b, c in found], np.int64).reshape(-1, 3)
+        found = []
+        if left.num_rows and right.num_rows:
+            own, floor = left.column("id").to_numpy(), left.column("floor").to_numpy()
+            found = [(own[i], i_, s) for i, ids, scores, _ in nra(get(left), own, get(right), right.column("id").to_numpy(), k, floor) for i_, s in zip(ids, scores, strict=True)]
+        cols = np.array(found, np.int64).reshape(-1, 3)
         return pa.table({"query_id": cols[:, 0], "vec_id": cols[:, 1], "score": cols[:, 2]})
 
-    # A pair of blocks is much work on few bytes, so tasks are not to be merged by size.
-    deal = lambda t: t.repartition(min(qb * cb, 1 << 14), "qb", "cb", "dim").groupBy("qb", "cb", "dim")
-    best = deal(queries).cogroup(deal(candidates)).applyInArrow(run, "query_id long, vec_id long, score long")
+    def meet(queries, candidates, groups):
+        # A pair of blocks is much work on few bytes, so tasks are not to be merged by size.
+        deal = lambda t: t.repartition(max(1, min(groups, 1 << 14)), "qb", "cb", "dim").groupBy("qb", "cb", "dim")
+        queries = queries.toDF(*queries.columns)  # both sides stem from one table
+        return deal(queries).cogroup(deal(candidates)).applyInArrow(run, "query_id long, vec_id long, score long")
+
+    # First block qb of the queries meets block qb mod cb of the candidates, then all others.
+    own_block = F.pmod("qb", F.lit(cb)).cast("int")
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    best = meet(queries.withColumn("cb", own_block).withColumn("floor", F.lit(float("-inf"))), candidates.withColumn("qb", blocks(qb)).where(F.col("cb") == own_block), qb)
+    if cb > 1:
+        best = store(best, "first")
+        floors = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k).select(F.col("query_id").alias("id"), "floor")
+        asked = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        others = F.col("cb") != own_block
+        best = best.union(meet(asked.withColumn("cb", blocks(cb)).where(others), candidates.withColumn("qb", blocks(qb)).where(others), qb * (cb - 1)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
