@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,10 +15,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kinfold.llm import chat_format, jaccard_join, language_id, line_dedup, packing, progressive_jpeg, queries, sentencepiece_trie, token_counts, topk_search, url_filters
-from kinfold.llm.shared import connected_components
+from kinfold.llm.shared import connected_components, shared_dir
 
 SF = "/root/testdata/sf0.001"
-MODEL, RANKS = public_tokenizers.path(queries.PIECES), public_tokenizers.path(queries.RANKS)
+MODEL, BYTES = public_tokenizers.path(queries.PIECES), public_tokenizers.path(queries.BYTES)
 LONG = "ein Wort und noch eins. " * 9000
 TEXTS = [(1, None), (2, ""), (3, "a b c"), (4, "a b c"), (4, "a b c"), (None, "x\ny\nÜber </s> [INST]"), (6, LONG), (7, "\n\n"), (8, "  \t "), (9, "nospace" * 2000)]
 SCHEMA = "doc_id long, text string, n_lines string, n_tokens string, length string, name string, key string"
@@ -75,10 +77,42 @@ def test_topk(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 98304), (0, 2, 2, 98304), (50, 1, 1, -24576), (50, 2, 2, -24576)]
     rng = np.random.default_rng(1)
     c, q = rng.integers(-90, 90, (3000, 16)), rng.integers(-90, 90, (20, 16))
-    for i, ids, scores in topk_search.nra(q, np.arange(20), c, np.arange(3000), 5):
+    for big in (1, 1 << 40):  # exact beyond doubles as well
+        few = c[:300] if big > 1 else c
+        for i, ids, scores, _ in topk_search.nra(q * big, np.arange(20), few, np.arange(len(few)), 5):
+            s = few @ q[i]
+            order = [x for x in np.lexsort((np.arange(len(few)), -s)) if x != i][:5]
+            assert ids.tolist() == order and scores.tolist() == (s[order] * big).tolist()
+
+
+def test_topk_stops_early():
+    """Skewed vectors: few candidates are large, so reading stops long before the lists' end; under a floor a block is skipped unread."""
+    rng = np.random.default_rng(2)
+    c = np.rint(rng.pareto(1.2, (4000, 1)) * rng.integers(1, 60, (4000, 8))).astype(np.int64)
+    q = rng.integers(-5, 90, (30, 8))
+    got = topk_search.nra(q, np.full(30, -1), c, np.arange(4000), 5)
+    for i, ids, scores, depth in got:
         s = c @ q[i]
-        order = [x for x in np.lexsort((np.arange(3000), -s)) if x != i][:5]
-        assert ids.tolist() == order and scores.tolist() == s[order].tolist()
+        order = np.lexsort((np.arange(4000), -s))[:5]
+        assert ids.tolist() == order.tolist() and scores.tolist() == s[order].tolist() and depth <= 0.5
+    floor = np.full(30, float((c @ q.T).max() + 1) * 10)
+    assert all(not len(ids) and depth == 0 for _, ids, _, depth in topk_search.nra(q, np.full(30, -1), c, np.arange(4000), 5, floor))
+
+
+def test_topk_blocks(spark):
+    """Many blocks, ties, repeated ids, and columns with the names of the output: as brute force."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (400, 4)).astype(float)
+    rows = [(i % 390, v[i].tolist(), 1) for i in range(400)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"), k=3, every=20, block=50).collect()
+    least = {}
+    for i, x, _ in rows:
+        least[i] = min(least.get(i, x), x)
+    want = set()
+    for a in range(0, 390, 20):
+        best = sorted((-int(256 * 256 * np.dot(least[a], least[b])), b) for b in least if b != a)[:3]
+        want |= {(a, r + 1, b, -s) for r, (s, b) in enumerate(best)}
+    assert {tuple(r) for r in got} == want
 
 
 def test_line_dedup(spark, docs):
@@ -168,11 +202,52 @@ def test_language_id(spark, docs):
     assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got) and all(0 <= r.score <= 1 for r in got)
     odd = language_id.identify(docs, model).collect()
     assert [r.lang_pred == "und" for r in odd] == [t is None or not re.search(r"[^\W\d_]", t) for _, t in TEXTS]
-    # Brute force: the same probabilities byte by byte.
-    raw = np.frombuffer("Übung.".encode(), np.uint8)
-    one = model.code_lengths(raw, np.array([0, len(raw)]))
-    two = model.code_lengths(np.concatenate([raw, raw]), np.array([0, len(raw), 2 * len(raw)]))
-    assert np.allclose(two, np.concatenate([one, one]))
+    many = spark.createDataFrame([(k, "abc " * (k % 7 + 1) + chr(97 + k % 26) * 20 + str(k) * 10, f"l{k:03}") for k in range(100)], "doc_id long, text string, lang string")
+    wide = language_id.train(many)
+    assert len(wide.langs) == 100 and sum(r.lang == r.lang_pred for r in language_id.identify(many, wide).collect()) >= 95
+    for none in (data.limit(0), data.withColumn("lang", F.lit(None).cast("string"))):
+        assert {(r.lang_pred, r.score, r.bits_per_byte) for r in language_id.identify(data, language_id.train(none)).collect()} == {("und", 0.0, None)}
+    assert language_id.identify(data.limit(0), model).count() == 0
+    clash = language_id.identify(docs.withColumnsRenamed({"n_lines": "score", "n_tokens": "lang_pred"}), model)
+    assert clash.columns == ["doc_id", "text", "length", "name", "key", "lang_pred", "score", "bits_per_byte"] and clash.count() == len(TEXTS)
+
+
+def brute_bits(train, text):
+    """Prediction by partial matching, one byte after the other, from counts in dictionaries."""
+    followers = defaultdict(Counter)
+    for t in train:
+        b = bytes(3) + t
+        for k in range(3, len(b)):
+            for depth in range(4):
+                followers[depth, b[k - depth : k]][b[k]] += 1
+    bits, b = 0.0, bytes(3) + text
+    for k in range(3, len(b)):
+        p = 1.0
+        for depth in (3, 2, 1, 0):
+            seen = followers.get((depth, b[k - depth : k]))
+            if seen is None:
+                continue
+            whole = sum(seen.values()) + len(seen)
+            if b[k] in seen:
+                bits -= math.log2(p * seen[b[k]] / whole)
+                break
+            p *= len(seen) / whole
+        else:
+            bits -= math.log2(p / 256)
+    return bits
+
+
+def test_language_id_code_lengths(spark, monkeypatch):
+    langs = {"x": ["the cat sat on the mat", "Übung macht den Meister"], "y": ["aaaaabaaab", "la vie en rose \U0001f642"]}
+    rows = [(k, t, lang) for lang, ts in langs.items() for k, t in enumerate(ts)]
+    rows += [(0, "the cat sat on the mat", "x")]  # repeated: teaches once
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [t.encode() for t in ("", "the bat", "Über", "zzz \U0001f642\x00", "aab" * 50, "la cat")]
+    raw, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = [[brute_bits([x.encode() for x in langs[lang]], t) for lang in ("x", "y")] for t in texts]
+    assert np.allclose(model.code_lengths(raw, offs), want)
+    monkeypatch.setattr(language_id, "PIECE", 7)  # texts in many pieces
+    assert np.allclose(model.code_lengths(raw, offs), want)
 
 
 def test_jpeg(spark, docs):
@@ -272,11 +347,18 @@ def test_jaccard_splits_every_long_list(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and len(got) == 400
 
 
-def test_packing(spark, docs):
-    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    got = packing.pack(docs, RANKS).collect()
-    want = sum((packing.cut(len(tok.encode(t or "", add_special_tokens=False).ids) + 1, 1024) for _, t in TEXTS), [])
-    assert Counter((r.start, r.length) for r in got) == Counter(want)
+def test_packing(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_PIECES", 2)
+    tok = Tokenizer.from_file(BYTES)
+    own = docs.union(spark.createDataFrame([(20, "a <|endoftext|> b"), (21, "<|endoftext|>" * 700), (22, "<|endof|>")] + [(30, "x")] * 9, "doc_id long, text string").select("*", *(F.lit("q").alias(c) for c in docs.columns[2:])))
+    texts = [(r.doc_id, r.text) for r in own.collect()]
+    got = packing.pack(own, BYTES).collect()
+    want = Counter()
+    for i, t in texts:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        want.update((i, k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 1024)))
+    assert Counter(tuple(r)[:5] for r in got) == want
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
     seqs = defaultdict(list)
     for r in got:
         seqs[r.sequence_id].append((r.offset, r.length))
@@ -286,10 +368,11 @@ def test_packing(spark, docs):
             assert o == at
             at += n
         assert at <= 1024
-    enc, e = packing.encoder(RANKS), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    e.encode_special_tokens = True
-    for r in sf(spark).select("text").collect():
-        assert enc.encode_ordinary(r.text) == e.encode(r.text, add_special_tokens=False).ids
+    enc, rng = packing.encoder(BYTES), random.Random(3)
+    pool = [*"ab  \n\t.'s0123éßあ\U0001f642\u0301\u200d\xa0\x00\ufeff", "<|endoftext|>", "<|endof", "'ll", " the"]
+    texts = [r.text for r in sf(spark).select("text").collect()] + ["".join(rng.choice(pool) for _ in range(30)) for _ in range(2000)]
+    for t in texts:
+        assert packing.ids_of(enc, t).tolist() == tok.encode(t or "", add_special_tokens=False).ids
 
 
 def test_best_two_fit():
@@ -312,7 +395,7 @@ def test_best_two_fit():
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert line_dedup.dedup_lines(none).count() == 0 and token_counts.count_tokens(none, MODEL).count() == 0 and sentencepiece_trie.encode_decode(none, MODEL).count() == 0
-    assert jaccard_join.jaccard_components(none).count() == 0 and packing.pack(none, RANKS).count() == 0 and progressive_jpeg.media_columns(none).count() == 0
+    assert jaccard_join.jaccard_components(none).count() == 0 and packing.pack(none, BYTES).count() == 0 and progressive_jpeg.media_columns(none).count() == 0
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string, html string"), queries.RULES).count() == 0
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
@@ -326,9 +409,45 @@ def test_pipeline(spark):
         before, docs = docs, stage(spark, docs, SF)
         assert docs.columns == corpus_pipeline.COLUMNS, name
         rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
-        got = {r.doc_id for r in docs.select("doc_id").collect()}
+        got = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
         if name == "language_id":
-            assert got == {i for i, t in rows if t and re.search(r"[^\W\d_]", t)}
+            assert got.keys() == {i for i, t in rows if t and re.search(r"[^\W\d_]", t)}
+        if name == "line_dedup":
+            count = Counter(k for _, t in rows for k in {x for x in line_dedup.line_keys(t) if x})
+            assert got == {i: "\n".join(x for x, k in zip(t.split("\n"), line_dedup.line_keys(t), strict=True) if not (k and count[k] >= 10)) for i, t in rows}
         if name == "jaccard_join":
-            assert got == {i for i, _, c in brute_components(rows) if i == c}
+            assert got.keys() == {i for i, n, c in brute_components(rows) if i == c or not n}
     assert corpus_pipeline.run(spark, SF).where(F.col("piece") == 0).count() == docs.count()
+
+
+def test_pipeline_stages_take_anything(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, ties, extra columns, and no rows."""
+    import corpus_pipeline
+
+    rows = [(i, t, lang, None, None, "x") for i, t in TEXTS for lang in (None, "de")] + [(None, "five words of one text here", None, None, None, None)] * 3 + [(None, None, None, None, None, None)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines string")
+    for docs in (some, some.limit(0), some.withColumn("lang", F.lit(None).cast("string"))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF).collect()
+            if name == "line_dedup":
+                assert len(out) == docs.count()
+            if name == "jaccard_join":
+                blank, different = [t for _, t, *_ in rows if not words(t)], {tuple(words(t)) for _, t, *_ in rows if words(t)}
+                assert len(out) == (len(blank) + len(different) if docs.count() else 0)
+                assert {r.doc_id for r in out if r.text == "a b c"} <= {3}
+            if name == "packing":
+                assert {(r.doc_id, r.piece) for r in out} >= {(r.doc_id, 0) for r in docs.collect()}
+
+
+def test_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert shared_dir(Session).startswith("file://")
