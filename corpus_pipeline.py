@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import jaccard_join, language_id, line_dedup, packing
-from kinfold.llm.queries import RANKS, held_out
+from kinfold.llm.queries import BYTES, held_out
 from kinfold.llm.shared import store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,20 +25,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that at least 10 documents hold go; documents left with no letter or digit go with them. n_chars follows the text."""
+    """Lines that at least 10 documents hold go from every document; no document goes. n_chars follows the text, which may be empty then."""
     out = line_dedup.dedup_lines(docs.select(*COLUMNS), min_docs=10, out=("n_lines", "n_dropped", "text", "kept_sha256"), keep=[c for c in COLUMNS if c != "text"])
-    return out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, the one with the smallest id; documents without words stay."""
-    found = jaccard_join.jaccard_components(docs)
-    keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").select(*COLUMNS)
+    """One document of each group of linked ones stays, a row with the smallest id; all documents without words stay.
+
+    Of repeated rows one stays, whichever; a group whose ids are all null keeps one row as well. Rows are told apart by a
+    number of their own, as ids may be null or repeated.
+    """
+    rows = store(docs.select(*COLUMNS).withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("n"))), "rows")
+    found = jaccard_join.jaccard_components(rows.select("__row", "text"), row_id="__row")
+    keep = found.where((F.col("n_shingles") == 0) | (F.col("__row") == F.col("component_id"))).select("__row")
+    return rows.join(keep, "__row", "left_semi").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path(RANKS), 1024, 2)
+    """The pieces of all documents, packed into sequences of at most 1024 tokens; nulls, empty texts and repeated rows as packing.pack has them."""
+    return packing.pack(docs, public_tokenizers.path(BYTES), 1024, 2)
 
 
 STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("jaccard_join", drop_near_copies), ("packing", pack)]
@@ -48,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. An empty table, or one whose documents all go, gives no pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), name)
