@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import connected_components, drop_stored, store
 from .textbytes import U, groups, mix, shingle_sets, text_bytes
 
-BLOCK, FLUSH = 16, 1 << 19
+BLOCK, FLUSH = 16, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class Limits:
     hot: int = 4  # tokens of so many sets come last in the order, by their number
     max_hot: int = 1 << 18  # of such tokens, at most so many (the most frequent) are known to all tasks, 4 MB, and all that are dealt into parts
     hot_part: int = 1 << 16  # postings of one token to a part, at least; at most 2 ** 20 tokens (16 MB) are dealt into parts
-    bucket: int = 1 << 19  # postings to a bucket, about
+    bucket: int = 1 << 18  # postings to a bucket, about
     seen: int = 1 << 16  # names that a task remembers, to leave out copies
     name_bits: int = 64
 
