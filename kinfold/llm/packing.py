@@ -3,8 +3,8 @@
 The packing depends on lengths alone, and there are at most `size` of them. So the number of pieces of each length (a
 bounded histogram) is all that the packing needs; best-two-fit runs on it and yields patterns (the lengths in one
 sequence, in order) with how often each is used. Pieces then find their places by rank: the r-th piece of a length goes to the
-r-th place that the patterns have for that length. Ranks come from counts by (length, salt) with about SALT_PIECES pieces to
-a salt, so that a length that a third of all pieces share is ranked by many tasks, the more the more there are.
+r-th place that the patterns have for that length. Ranks come from counts by (length, salt), at
+most SALTS in all or SALT_PIECES pieces to each, so that a length that a third of all pieces share is ranked by many tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .shared import store
 
-SALT_PIECES = 1 << 16
+SALT_PIECES, SALTS = 1 << 9, 1 << 16
 _ENCODERS: dict[str, object] = {}
 
 
@@ -167,10 +167,10 @@ def pack(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, text: st
     counts = np.zeros(size + 1, np.int64)
     for r in found.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most size rows
         counts[r.length] = r.n
-    salts = np.maximum(1, -(-counts // SALT_PIECES))
+    salts = np.maximum(1, -(-counts // max(SALT_PIECES, int(counts.sum()) // SALTS)))
     by_length = spark.createDataFrame([(n, int(salts[n])) for n in np.flatnonzero(counts).tolist()], "length long, salts long")
     dealt = found.join(F.broadcast(by_length), "length").withColumn("salt", F.pmod("deal", "salts"))
-    # At most size sums and one more for every SALT_PIECES pieces.
+    # At most size + SALTS sums.
     first = np.concatenate([[0], np.cumsum(salts)])
     sums = np.zeros(first[-1], np.int64)
     for r in dealt.groupBy("length", "salt").agg(F.count("*").alias("n")).collect():
