@@ -230,7 +230,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, out: tu
         .groupBy("k1", "k2")
         .agg(F.collect_list("line").alias("__ld_drop"))
     )
-    drops = drops.withColumnsRenamed({"k1": "__ld_k1", "k2": "__ld_k2"})
+    # A table of its own, so that the join below deals texts by key for itself alone and can split a text of very many copies.
+    drops = store(drops, "drops").withColumnsRenamed({"k1": "__ld_k1", "k2": "__ld_k2"})
     kept = [c for c in (keep if keep is not None else docs.columns)]
     both = src.join(drops, ["__ld_k1", "__ld_k2"], "left").select(*kept, F.col(text).alias("__ld_text"), "__ld_drop")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name not in ("__ld_text", "__ld_drop"))
