@@ -31,12 +31,17 @@ ASSISTANT = b"assistant"
 PART = 1 << 20
 
 
+def escape(text: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(text, _ESCAPE, r"\1\\\2\3")
+
+
 def escape_role(role: pa.Array) -> pa.Array:
-    return pc.replace_substring(pc.replace_substring(role, "\\", "\\\\"), "\n", "\\n")
+    """A role stands on one line and, like a text, holds no control string."""
+    return escape(pc.replace_substring(pc.replace_substring(role, "\\", "\\\\"), "\n", "\\n"))
 
 
 def restore_role(role: bytes) -> bytes:
-    return re.sub(rb"\\(.)", lambda m: b"\n" if m[1] == b"n" else m[1], role)
+    return re.sub(rb"\\(.)", lambda m: b"\n" if m[1] == b"n" else m[1], restore(role))
 
 
 def restore(text: bytes) -> bytes:
@@ -52,7 +57,7 @@ def _scatter(out: np.ndarray, raw: np.ndarray, offs: np.ndarray, at: np.ndarray)
 
 def assemble(role: pa.Array, text: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all turns; where each turn begins (and the end); where its text begins, and ends."""
-    role, text = escape_role(role.fill_null("")), pc.replace_substring_regex(text.fill_null(""), _ESCAPE, r"\1\\\2\3")
+    role, text = escape_role(role.fill_null("")), escape(text.fill_null(""))
     (r_raw, r_offs), (t_raw, t_offs) = text_bytes(role), text_bytes(text)
     r_size, t_size, n = np.diff(r_offs), np.diff(t_offs), len(first)
     head = np.where(first, len(BEGIN), 0)

@@ -2,8 +2,9 @@
 
 A cut before a space that follows another character is stable if no piece of the vocabulary holds a space mark after
 another character: then no merge crosses it. `stable_cuts` proves that for the model in hand. Chunks overlap; both
-encodings are compared in the overlap, and the splice is made at the last stable cut at which both have a token
-boundary. Where the overlap has none (a long run without spaces), it is widened, at last to the whole rest.
+encodings must agree, id by id, from the first to the last stable cut of the overlap at which both have a token boundary, and
+the splice is made at the middle one of these. Where there is none (a long run without spaces), or they differ,
+the overlap is widened, at last to the whole rest.
 """
 
 from __future__ import annotations
@@ -80,8 +81,8 @@ class Encoder:
                     new_ids, new_at = self._chunk(text, begin, new_end)
                     both = np.intersect1d(at[at < end], new_at)
                     both = [int(i) for i in both if start < i < end and stable(text, int(i))]
-                    # Boundaries of both; from the first on, the two must agree up to the last but one, else widen.
-                    if both:
+                    part = lambda x, o: x[np.searchsorted(o, both[0], "right") - 1 : np.searchsorted(o, both[-1], "right") - 1]
+                    if both and np.array_equal(part(ids, at), part(new_ids, new_at)):
                         cut = both[(len(both) - 1) // 2]
                 if cut < 0:
                     self.widened += 1

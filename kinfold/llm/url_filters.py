@@ -77,10 +77,11 @@ def identity(url: Column) -> Column:
 
 
 def edges_of(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """Distinct edges (from, to) between URLs: every canonical link and refresh of a page."""
-    pick = lambda p: F.coalesce(*(F.nullif(F.regexp_extract(F.col("html"), p, k), F.lit("")) for k in (1, 2, 3)))
+    """Distinct edges (from, to) between URLs: every canonical link and refresh of a page; `&amp;` in a link is `&`."""
+    target = lambda tag, p: F.coalesce(*(F.nullif(F.regexp_extract(tag, p, k), F.lit("")) for k in (1, 2, 3)))
+    links = lambda p: F.transform(F.regexp_extract_all(F.col("html"), F.lit(p), F.lit(0)), lambda tag: F.regexp_replace(target(tag, p), r"(?i)&(?:amp|#38|#x26);", "&"))
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    rows = rows.select("url", F.explode(F.array(pick(CANONICAL), pick(REFRESH))).alias("link")).where("link is not null")
+    rows = rows.select("url", F.explode(F.concat(links(CANONICAL), links(REFRESH))).alias("link")).where("link is not null")
     return rows.select(identity(F.col("url")).alias("from"), identity(absolute(F.col("url"), F.col("link"))).alias("to")).where("`from` is not null and `to` is not null").distinct()
 
 
@@ -88,21 +89,21 @@ def judge(pages: DataFrame, rules: list[Rule], row_id: str = "page_id", url: str
     """row_id, host, path, rule, verdict of each page; redirects may give more edges (from, to).
 
     A null URL, or one without `://`, has empty host and path: no rule fits and the verdict is allow. Null html has no links.
-    Repeated rows get equal verdicts. Other columns play no part. An empty table gives an empty table. Nodes are 64-bit
-    hashes of URLs (two of N URLs share one with odds N * N / 4e19).
+    Repeated rows get equal verdicts. Other columns play no part. An empty table gives an empty table. Nodes are the URLs
+    themselves, so no two are confused; only URLs of edges are nodes.
     """
     edges = edges_of(pages, url, html)
     if redirects is not None:
         edges = edges.union(redirects.select(identity(F.col("from")), identity(F.col("to")))).where("`from` is not null and `to` is not null").distinct()
     edges = store(edges, "edges")
-    out = pages.select(F.col(row_id), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.xxhash64(identity(F.col(url))).alias("node"))
+    out = pages.select(F.col(row_id), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), identity(F.col(url)).alias("node"))
     out = out.withColumn("match", rule_of(F.col("host"), F.col("path"), rules))
     if edges.isEmpty():  # no page is an alias of another URL
         verdict = F.coalesce("match.verdict", F.lit("allow"))
         return out.select(row_id, "host", "path", F.col("match.rule").alias("rule"), verdict.alias("verdict"))
-    parts = store(connected_components(edges.select(F.xxhash64("from").alias("u"), F.xxhash64("to").alias("v"))), "parts")
+    parts = store(connected_components(edges.select(F.col("from").alias("u"), F.col("to").alias("v"))), "parts")
     urls = edges.select(F.col("from").alias("u")).union(edges.select("to")).distinct()
-    blocked = urls.withColumn("match", rule_of(host_of(F.col("u")), path_of(F.col("u")), rules)).where("match.verdict = 'block'").select(F.xxhash64("u").alias("node"))
+    blocked = urls.withColumn("match", rule_of(host_of(F.col("u")), path_of(F.col("u")), rules)).where("match.verdict = 'block'").select(F.col("u").alias("node"))
     bad = parts.join(parts.join(blocked, "node", "left_semi").select("component").distinct(), "component", "left_semi").select("node").distinct()
     out = out.join(bad.withColumn("alias_blocked", F.lit(True)), "node", "left")
     verdict = F.coalesce("match.verdict", F.when(F.col("alias_blocked"), "block"), F.lit("allow"))

@@ -132,10 +132,12 @@ def test_line_dedup_groups_do_not_grow_with_copies(spark, monkeypatch):
     """Of a text of many copies each dropped line is named once, in a probe's answer and in what is collected."""
     collect = []
     monkeypatch.setattr(line_dedup.F, "collect_list", lambda c, f=F.collect_list: collect.append(c) or f(c))
+    stored, store = {}, line_dedup.store
+    monkeypatch.setattr(line_dedup, "store", lambda df, tag: stored.update({tag: df}) or store(df, tag))
     df = spark.createDataFrame([(k, "one\ntwo\nthree") for k in range(300)] + [(300, "one\nfour")], "doc_id long, text string").repartition(3)
     got = line_dedup.dedup_lines(df)
     assert collect == ["line"]
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    plan = stored["drops"]._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[k1#\d+L, k2#\d+L, line#\d+\], \[k1#\d+L, k2#\d+L, line#\d+\]", plan), plan
     assert Counter((r.n_dropped, r.kept_text) for r in got.collect()) == {(3, ""): 300, (1, "four"): 1}
     hi, lo, n = np.array([5], np.uint64), np.array([6], np.uint64), np.array([40])
@@ -182,7 +184,7 @@ def test_sentencepiece(spark, docs):
 
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", r"<\s> \ <\\|end|> <|end|>", None, "", "a\nb", LONG]
-    rows = [(c, t, "assistant" if t % 2 else "user\\\n", x, "u") for c in (None, 5) for t, x in enumerate(texts * 2)]
+    rows = [(c, t, "assistant" if t % 2 else "user\\\n</s><\\|end|>", x, "u") for c in (None, 5) for t, x in enumerate(texts * 2)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string")
     formatted = chat_format.format_chats(df)
     parts = formatted.collect()
@@ -277,6 +279,37 @@ def test_url_filters(spark):
     assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == {1: (None, "block"), 2: (None, "block"), 3: (None, "block"), 4: ("org/", "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow")}
 
 
+def test_url_aliases_on_random_graphs(spark):
+    """Every page links some others, several times and in entities; verdicts as by union-find over URLs."""
+    rng = random.Random(8)
+    urls = [f"http://{h}.{t}/p?a={k}&b=1" for k in range(60) for h, t in [rng.choice([("a", "net"), ("www.b", "com"), ("c", "org")])]] + ["http://x.com/de/1", "http://y.com/fr/2"]
+    pages, edges = [], []
+    for k, u in enumerate(urls * 2):  # repeated rows
+        to = [rng.choice(urls) for _ in range(rng.choice([0, 0, 1, 2]))]
+        edges += [(u, v) for v in to]
+        tag = lambda v: rng.choice([f'<LINK rel=canonical href="{v}">', f"<link href='{v}#x' rel='canonical'/>", f'<meta http-equiv="refresh" content="0; url={v}">'])
+        pages.append((k, u, "<p>" + "\n".join(tag(v.replace("&", "&amp;")) for v in to)))
+    parent = {u: u for u in urls}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+
+    def rule(u):
+        host, _, path = u.split("://")[1].partition("/")
+        fits = [r for r in queries.RULES if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        return max(fits, key=lambda r: len(r.text), default=None)
+
+    bad = {find(u) for u in urls if rule(u) and rule(u).verdict == "block"}
+    got = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.RULES).collect()
+    assert {(r.page_id, r.rule, r.verdict) for r in got} == {(k, rule(u).text, rule(u).verdict) if rule(u) else (k, None, "block" if find(u) in bad else "allow") for k, u, _ in pages}
+    assert len({r.verdict for r in got if r.rule is None}) == 2 and len(got) == len(pages)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2000 + k) for k in range(50)] + [(None, 1)]
