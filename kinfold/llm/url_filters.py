@@ -79,9 +79,10 @@ def identity(url: Column) -> Column:
 def edges_of(pages: DataFrame, url: str, html: str) -> DataFrame:
     """Distinct edges (from, to) between URLs: every canonical link and refresh of a page; `&amp;` in a link is `&`."""
     target = lambda tag, p: F.coalesce(*(F.nullif(F.regexp_extract(tag, p, k), F.lit("")) for k in (1, 2, 3)))
-    links = lambda p: F.transform(F.regexp_extract_all(F.col("html"), F.lit(p), F.lit(0)), lambda tag: F.regexp_replace(target(tag, p), r"(?i)&(?:amp|#38|#x26);", "&"))
+    tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<(?:link|meta)\b[^>]*"), F.lit(0))
+    links = F.transform(tags, lambda tag: F.regexp_replace(F.coalesce(target(tag, CANONICAL), target(tag, REFRESH)), r"(?i)&(?:amp|#38|#x26);", "&"))
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    rows = rows.select("url", F.explode(F.concat(links(CANONICAL), links(REFRESH))).alias("link")).where("link is not null")
+    rows = rows.select("url", F.explode(links).alias("link")).where("link is not null")
     return rows.select(identity(F.col("url")).alias("from"), identity(absolute(F.col("url"), F.col("link"))).alias("to")).where("`from` is not null and `to` is not null").distinct()
 
 
