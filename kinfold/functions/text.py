@@ -63,20 +63,11 @@ def strip(c: Column) -> Column:
 def phonetic(c: Column) -> Column:
     """Cologne phonetic code of the stripped form: h and doubles go first, then all zeros but a leading one."""
     s = F.regexp_replace(strip(c), "[^a-z]", "")
-
-    def code(i: Column) -> Column:
-        x, before, after = F.substring(s, i, F.lit(1)), F.when(i > 1, F.substring(s, i - 1, F.lit(1))).otherwise(""), F.substring(s, i + 1, F.lit(1))
-        hard = F.when(i == 1, after.isin(*"ahkloqrux")).when(before.isin("s", "z"), False).otherwise(after.isin(*"ahkoqux"))
-        return (
-            F.when(x.isin(*"aeijouy"), "0").when(x == "b", "1").when(x == "p", F.when(after == "h", "3").otherwise("1"))
-            .when(x.isin("d", "t"), F.when(after.isin("c", "s", "z"), "8").otherwise("2")).when(x.isin("f", "v", "w"), "3").when(x.isin("g", "k", "q"), "4")
-            .when(x == "c", F.when(hard, "4").otherwise("8")).when(x == "x", F.when(before.isin("c", "k", "q"), "8").otherwise("48"))
-            .when(x == "l", "5").when(x.isin("m", "n"), "6").when(x == "r", "7").when(x.isin("s", "z"), "8").otherwise("")
-        )
-
-    codes = F.array_join(F.transform(F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>")), code), "")
-    once = F.regexp_replace(codes, r"(.)\1+", "$1")
-    return F.concat(F.substring(once, 1, 1), F.replace(F.substr(once, F.lit(2)), F.lit("0"), F.lit("")))
+    # Letters whose code depends on a neighbour first, while the neighbours are letters still; X is an x after c, k or q.
+    for pattern, code in (("p(?=h)", "3"), ("[dt](?=[csz])", "8"), ("[dt]", "2"), ("(?<=[ckq])x", "X"), ("^c(?=[ahkloqruxX])|(?<!^)(?<![sz])c(?=[ahkoquxX])", "4"), ("[cX]", "8"), ("x", "48")):
+        s = F.regexp_replace(s, pattern, code)
+    once = F.regexp_replace(F.translate(s, "aeijouybpfvwgkqlmnrszh", "000000011333444566788"), r"(.)\1+", "$1")
+    return F.regexp_replace(once, "(?<!^)0", "")
 
 
 def cluster(normal: Column) -> Column:

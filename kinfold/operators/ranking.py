@@ -17,6 +17,16 @@ def band(total: Column) -> Column:
     return out.otherwise("none")
 
 
+def capped_band(total: Column, hard: Column) -> Column:
+    """The band of a total; with a hard conflict possible at most."""
+    return F.when(hard & (total >= BANDS[1][1]), "possible").otherwise(band(total))
+
+
+def reasons(total: Column, hard: Column, ambiguous: Column, gap: int = 10) -> Column:
+    """Why a match is classified as it is."""
+    return F.array_compact(F.array(F.concat(F.lit("score "), total.cast("string")), F.when(hard & (total >= BANDS[1][1]), "capped to possible by a hard conflict"), F.when(ambiguous, f"runner-up within {gap} points")))
+
+
 def classify(scored: DataFrame, notice: str, total: str, hard: str, seq: str, gap: int = 10) -> DataFrame:
     """scored with rank, band, ambiguous, second: one window over each notice's candidates.
 
@@ -26,6 +36,12 @@ def classify(scored: DataFrame, notice: str, total: str, hard: str, seq: str, ga
     out = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc(total), F.asc(seq))))
     out = out.withColumn("best_hard", F.max(F.when(F.col("rank") == 1, F.col(hard))).over(w))
     out = out.withColumns({"best": F.max(F.when(F.col("rank") == 1, F.col(total))).over(w), "second": F.max(F.when((F.col("rank") > 1) & (F.col("best_hard") | ~F.col(hard)), F.col(total))).over(w)})
-    capped = F.when(F.col(hard) & F.col(total).__ge__(BANDS[1][1]), "possible").otherwise(band(F.col(total)))
     unsure = F.coalesce((F.col("best") >= 55) & (F.col("best") - F.col("second") < gap), F.lit(False))
-    return out.withColumns({"band": capped, "ambiguous": unsure & (F.col("rank") == 1)}).drop("best_hard", "best")
+    return out.withColumns({"band": capped_band(F.col(total), F.col(hard)), "ambiguous": unsure & (F.col("rank") == 1)}).drop("best_hard", "best")
+
+
+def runner_up(ranked: DataFrame, notice: str, person: Column) -> DataFrame:
+    """Of classify()'s rows the best of each notice with the struct person of its runner-up (rank 2), or null."""
+    second = F.max_by(F.when(F.col("rank") == 2, person), F.when(F.col("rank") == 2, 1))
+    best = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c)
+    return ranked.groupBy(notice).agg(*(best(c) for c in ("total", "band", "ambiguous")), second.alias("runner_up"))

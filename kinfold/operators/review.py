@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from ..functions import urls as U
 from .stores import TERMINAL
 
+#: A job id that may name a file.
 SAFE_JOB_ID = r"^[A-Za-z0-9_-]{1,64}\z"
 STALE_AFTER = 3_600
 
@@ -74,14 +76,47 @@ def revert_verdict(written: Column, existing: Column, force: Column | bool = Fal
     return F.when((missing == 0) | force, "reverted").otherwise("facts_missing")
 
 
-def death_facts(iso_death: Column, place: Column, cemetery: Column, disposition: Column, url: Column) -> Column:
-    """The facts that a confirmation writes, as GEDCOM text: a death, and a burial or cremation where there is a cemetery. Null without an exact date."""
-    safe = lambda c: F.replace(F.regexp_replace(c, r"[\x00-\x1F\x7F]+", " "), F.lit("@"), F.lit("@@"))
-    line = lambda tag, c: F.when(F.coalesce(T.trim(c), F.lit("")) != "", F.concat(F.lit(f"\n{tag} "), safe(T.trim(c)))).otherwise("")
-    death = F.concat(F.lit("1 DEAT\n2 DATE "), D.iso_to_gedcom(iso_death), line("2 PLAC", place), line("2 WWW", url))
-    rest = F.concat(F.when(disposition == "cremation", "1 CREM").otherwise("1 BURI"), line("2 PLAC", cemetery))
-    facts = F.array(death, F.when(F.coalesce(T.trim(cemetery), F.lit("")) != "", rest))
-    return F.when(exact_iso(iso_death), F.array_compact(facts))
+def write_back(iso_death: Column, cemetery: Column, iso_funeral: Column, url: Column, cremation: Column, source: Column, tree_has_death: Column, has_event: Column, iso_today: Column) -> Column:
+    """What a confirmation writes: struct reason, death, event (GEDCOM text), death_id, buri_id, crem_id (their MD5).
+
+    reason is why nothing is written, the first that holds; null if it is. A burial needs a cemetery, a cremation does not; neither is
+    written if the record has one already. A funeral date counts only with an event. Null flags are false.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    clean = lambda c: F.nullif(T.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    control = lambda c: yes(c.rlike(r"[\x00-\x1F\x7F]"))
+    grave, funeral, burnt = clean(cemetery), clean(iso_funeral), yes(cremation)
+    dated = funeral.isNotNull() & (burnt | grave.isNotNull())
+    reason = (
+        F.when(~yes(url.rlike(r"^(?i)https?://")) | control(url), "url_not_clean").when(U.canonical_host(url).isNull(), "no_host").when(~exact_iso(iso_death), "no_exact_death_date")
+        .when(control(grave), "cemetery_not_clean").when(dated & ~exact_iso(funeral), "no_exact_funeral_date").when(yes(tree_has_death), "death_date_present")
+    )
+    at = lambda c: F.replace(c, F.lit("@"), F.lit("@@"))
+    cited = F.concat(F.lit("\n2 SOUR @"), source, F.lit("@\n3 PAGE "), at(url), F.lit("\n3 DATA\n4 DATE "), D.iso_to_gedcom(iso_today))
+    line = lambda tag, c: F.coalesce(F.concat(F.lit(f"\n2 {tag} "), c), F.lit(""))
+    death = F.concat(F.lit("1 DEAT\n2 DATE "), D.iso_to_gedcom(iso_death), cited)
+    event = F.concat(F.when(burnt, "1 CREM").otherwise("1 BURI"), line("DATE", F.when(dated, D.iso_to_gedcom(funeral))), line("PLAC", at(grave)), cited)
+    return D.bind(reason, lambda r: D.bind(
+        F.struct(r.alias("reason"), F.when(r.isNull(), death).alias("death"), F.when(r.isNull() & (burnt | grave.isNotNull()) & ~yes(has_event), event).alias("event")),
+        lambda w: F.struct(w["reason"].alias("reason"), w["death"].alias("death"), w["event"].alias("event"), F.md5(w["death"]).alias("death_id"), F.when(~burnt, F.md5(w["event"])).alias("buri_id"), F.when(burnt, F.md5(w["event"])).alias("crem_id")),
+    ))
+
+
+def revert_outcome(written: Column, existing: Column, force: Column) -> Column:
+    """Struct outcome, deleted, target of taking back a confirmation's facts (written: array of ids, null where what was written is not known).
+
+    Facts that are there still are deleted; without force all must be. The match goes back to pending if all were
+    deleted, or with force none; else it is partial.
+    """
+    none = F.array().cast("array<string>")
+    there = F.size(F.array_intersect(written, F.coalesce(existing, none)))
+    target, force = F.size(F.array_distinct(written)), F.coalesce(force, F.lit(False))
+    outcome = (
+        F.when(written.isNull() | (target < 1), "invalid_write_back").when((there < target) & ~force, "refused_edited")
+        .when((there == target) | (there == 0), "reverted").otherwise("partial")
+    )
+    deleted = F.when(outcome.isin("reverted", "partial"), there).otherwise(0)
+    return F.struct(outcome.alias("outcome"), deleted.alias("deleted"), F.when(written.isNotNull(), target).otherwise(0).alias("target"))
 
 
 def search_signature(given: Column, surname: Column, birth_surname: Column, birth_year: Column, places: Column, region: Column) -> Column:

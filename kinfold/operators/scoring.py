@@ -95,20 +95,37 @@ def birth_score(cfg: ScoreConfig, a: Column, b: Column) -> Column:
     return signal(score.otherwise(0), cfg.birth, reason)
 
 
-def place_score(cfg: ScoreConfig, places: Column, birth_place: Column, notice_place: Column) -> Column:
-    """places: array of struct name, region, aliases."""
-    needle = T.normalize(notice_place["name"])
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def place_keys(places: Column, birth_place: Column) -> dict[str, Column]:
+    """Normalised parts of a person's places (array of struct name, region, aliases) and birth place, worked out once a person."""
+    none = F.array().cast("array<string>")
+    parts = lambda p: T.segments(p["name"])
+    named = lambda p: F.transform(F.concat(parts(p), F.coalesce(p["aliases"], none)), T.normalize)
+    every = lambda f: F.flatten(F.transform(F.coalesce(places, F.array().cast("array<struct<name:string,region:string,aliases:array<string>>>")), f))
+    regions = F.transform(F.coalesce(places["region"], none), T.normalize)
+    long = lambda xs: F.transform(F.filter(xs, lambda x: F.length(x) >= 4), _words)
+    return {
+        "homes": every(named), "regions": regions, "born_at": F.coalesce(named(birth_place), none),
+        "home_words": long(every(lambda p: F.transform(parts(p), T.normalize))), "region_words": long(regions),
+    }
 
-    def named(p: Column) -> Column:
-        return F.exists(F.concat(T.segments(p["name"]), F.coalesce(p["aliases"], F.array().cast("array<string>"))), lambda x: T.normalize(x) == needle)
 
-    home = F.exists(places, named)
-    region = F.exists(places, lambda p: T.normalize(p["region"]) == needle)
-    born = F.coalesce(named(birth_place), F.lit(False))
-    points = F.when(F.coalesce(needle, F.lit("")) == "", 0).when(home, 12).when(region, 8).when(born, 5).otherwise(0)
+def place_points(cfg: ScoreConfig, homes: Column, regions: Column, born_at: Column, needle: Column) -> Column:
+    """The place signal from place_keys() and a notice's normalised place."""
+    has = lambda xs: F.coalesce(F.array_contains(xs, needle), F.lit(False))
+    points = F.when(F.coalesce(needle, F.lit("")) == "", 0).when(has(homes), 12).when(has(regions), 8).when(has(born_at), 5).otherwise(0)
     return signal(points, cfg.place, F.when(points == 12, "residence matches").when(points == 8, "region matches").when(points == 5, "birth place matches"))
 
 
+def place_score(cfg: ScoreConfig, places: Column, birth_place: Column, notice_place: Column) -> Column:
+    """places: array of struct name, region, aliases."""
+    keys = place_keys(places, birth_place)
+    return place_points(cfg, keys["homes"], keys["regions"], keys["born_at"], T.normalize(notice_place["name"]))
+
+
 def plausibility_score(cfg: ScoreConfig, gender: Column, birth: Column, tree_death: Column, death: Column) -> Column:
     low, high = D.first_year(death) - D.last_year(birth), D.first_year(death) - D.first_year(birth)
     age = F.coalesce((low >= cfg.min_age) & (high <= cfg.max_age), F.lit(False))
@@ -146,24 +163,37 @@ def relative_score(cfg: ScoreConfig, spouses: Column, children: Column, relative
     return F.struct(points.alias("score"), F.lit(cfg.relatives).alias("max"), F.when(points > 0, done["reasons"]).otherwise(F.array().cast("array<string>")).alias("reasons"))
 
 
-def cemetery_score(cfg: ScoreConfig, places: Column, cemetery: Column) -> Column:
-    tokens = F.filter(F.split(T.normalize(cemetery["name"]), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    within = lambda x: (F.length(x) >= 4) & (F.size(F.array_except(F.filter(F.split(x, r"[^\p{L}\p{N}]+"), lambda w: w != ""), tokens)) == 0)
-    home = F.exists(places, lambda p: F.exists(T.segments(p["name"]), lambda s: within(T.normalize(s))))
-    region = F.exists(places, lambda p: within(T.normalize(p["region"])))
-    points = F.when(F.size(tokens) <= 0, 0).when(home, 10).when(region, 6).otherwise(0)
+def cemetery_points(cfg: ScoreConfig, home_words: Column, region_words: Column, tokens: Column) -> Column:
+    """The cemetery signal from place_keys() and the words of a notice's normalised cemetery."""
+    within = lambda xs: F.exists(xs, lambda words: F.size(F.array_except(words, tokens)) == 0)
+    points = F.when(F.size(tokens) <= 0, 0).when(within(home_words), 10).when(within(region_words), 6).otherwise(0)
     return signal(points, cfg.cemetery, F.when(points == 10, "cemetery at residence").when(points == 6, "cemetery in region"))
 
 
+def cemetery_score(cfg: ScoreConfig, places: Column, cemetery: Column) -> Column:
+    keys = place_keys(places, F.lit(None).cast("struct<name:string,region:string,aliases:array<string>>"))
+    return cemetery_points(cfg, keys["home_words"], keys["region_words"], _words(T.normalize(cemetery["name"])))
+
+
+def words_of(c: Column) -> Column:
+    """The words of a normalised name."""
+    return _words(T.normalize(c))
+
+
 def conflicts(cfg: ScoreConfig, birth: Column, death: Column, notice_birth: Column, notice_death: Column) -> Column:
     """Struct penalty, hard, reasons: what speaks against the pair."""
     apart = lambda a, b: D.known(a) & D.known(b) & ~D.overlaps(a, b)
     young = F.coalesce(D.first_year(notice_death) - D.last_year(birth) < cfg.min_age, F.lit(False))
     old = F.coalesce(D.last_year(notice_death) - D.first_year(birth) > cfg.max_age, F.lit(False))
     odd = lambda a, b: F.coalesce((a["status"] == "invalid") | (b["status"] == "invalid"), F.lit(False))
-    row = lambda when, field, a, b, hard: F.when(when, F.struct(F.lit(field).alias("field"), D.shown(a).alias("tree"), D.shown(b).alias("notice"), F.lit("hard" if hard else "soft").alias("severity")))
-    hard = [(apart(birth, notice_birth), "birth", birth, notice_birth, 30), (apart(death, notice_death), "death", death, notice_death, 30), (young, "age", birth, notice_death, 20), (old, "age", birth, notice_death, 20)]
-    soft = [(odd(birth, notice_birth), "birth", birth, notice_birth, 0), (odd(death, notice_death), "death", death, notice_death, 0)]
+    year = lambda y: F.coalesce(y.cast("string"), F.lit(""))
+    row = lambda when, field, tree, notice, hard: F.when(when, F.struct(F.lit(field).alias("field"), tree.alias("tree"), notice.alias("notice"), F.lit("hard" if hard else "soft").alias("severity")))
+    births, deaths = (D.shown(birth), D.shown(notice_birth)), (D.shown(death), D.shown(notice_death))
+    hard = [
+        (apart(birth, notice_birth), "birth date", *births, 30), (apart(death, notice_death), "death date", *deaths, 30),
+        (young, "age", year(D.last_year(birth)), year(D.first_year(notice_death)), 20), (old, "age", year(D.first_year(birth)), year(D.last_year(notice_death)), 20),
+    ]
+    soft = [(odd(birth, notice_birth), "birth date", *births, 0), (odd(death, notice_death), "death date", *deaths, 0)]
     total = sum((F.when(w, p).otherwise(0) for w, *_, p in hard), F.lit(0))
     any_hard = F.lit(False)
     for w, *_ in hard:
@@ -176,13 +206,13 @@ def total(signals: list[Column], conflict: Column) -> Column:
 
 
 def score_pairs(pairs: DataFrame, cfg: ScoreConfig) -> DataFrame:
-    """pairs (of with_keys() columns c_*, n_*, and birth, tree_death, gender, places, birth_place, spouses, children of the person; n_birth, n_death, n_place, n_age, n_cemetery, n_relatives of the notice) with signals, conflicts, total."""
+    """pairs (of with_keys() columns c_*, n_*, of place_keys() columns c_*, and birth, tree_death, gender, spouses, children of the person; n_birth, n_death, n_age, n_relatives, n_needle (normalised place), n_grave (words of the cemetery) of the notice) with signals, conflicts, total."""
     c = F.col
     parts = {
-        "name": name_score(cfg), "birth": birth_score(cfg, c("birth"), c("n_birth")), "place": place_score(cfg, c("places"), c("birth_place"), c("n_place")),
+        "name": name_score(cfg), "birth": birth_score(cfg, c("birth"), c("n_birth")), "place": place_points(cfg, c("c_homes"), c("c_regions"), c("c_born_at"), c("n_needle")),
         "plausibility": plausibility_score(cfg, c("gender"), c("birth"), c("tree_death"), c("n_death")),
     }
     if cfg.relatives or cfg.age or cfg.cemetery:
-        parts |= {"relatives": relative_score(cfg, c("spouses"), c("children"), c("n_relatives")), "age": age_score(cfg, c("birth"), c("n_age"), c("n_death")), "cemetery": cemetery_score(cfg, c("places"), c("n_cemetery"))}
+        parts |= {"relatives": relative_score(cfg, c("spouses"), c("children"), c("n_relatives")), "age": age_score(cfg, c("birth"), c("n_age"), c("n_death")), "cemetery": cemetery_points(cfg, c("c_home_words"), c("c_region_words"), c("n_grave"))}
     out = pairs.withColumns({f"s_{k}": v for k, v in parts.items()} | {"conflicts": conflicts(cfg, c("birth"), c("tree_death"), c("n_birth"), c("n_death"))})
     return out.withColumn("total", total([c(f"s_{k}") for k in parts], c("conflicts")))

@@ -83,3 +83,38 @@ def select_candidates(people: DataFrame, deaths: DataFrame, births: DataFrame, k
     """people without any death who have a birth of a year up to ref_year - min_age."""
     old = births.where((F.col(born) > 0) & (F.col(born) <= ref_year - min_age))
     return people.join(deaths.select(key), key, "left_anti").join(old.select(key), key, "left_semi")
+
+
+_STATE = "struct<status:string,reason:string,write_back:string,outcomes:array<string>>"
+
+
+def decide(stored: DataFrame, events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """stored (key, status, reason, write_back and more) after events (key, event, reason, write_back) in order, with outcomes, one for each event.
+
+    upsert: stored (pending, without reason and write-back), or kept where the row is decided. reject: rejected, a row being made if
+    there is none; unchanged for the same reason; refused if confirmed. uncertain: uncertain; missing; unchanged; refused
+    if decided. confirm: confirmed, its reason staying; missing; unchanged; refused if rejected. revert: pending,
+    without reason and write-back; refused if not confirmed. Keys without a row that no event makes have a null status.
+    Columns of stored that are not named here stay. A key's events are an array, its history.
+    """
+    null = F.lit(None).cast("string")
+    listed = events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, "event", F.col("reason").alias("why"), F.col("write_back").alias("wb")))).alias("__events"))
+
+    def step(s: Column, e: Column) -> Column:
+        row, kind = s["status"], e["event"]
+        decided, same = row.isin(*TERMINAL), s["reason"].eqNullSafe(e["why"])
+        outcome = (
+            F.when(kind == "upsert", F.when(F.coalesce(decided, F.lit(False)), "kept").otherwise("stored"))
+            .when(kind == "reject", F.when(row == "confirmed", "refused").when((row == "rejected") & same, "unchanged").otherwise("rejected"))
+            .when(kind == "uncertain", F.when(row.isNull(), "missing").when(decided, "refused").when((row == "uncertain") & same, "unchanged").otherwise("uncertain"))
+            .when(kind == "confirm", F.when(row.isNull(), "missing").when(row == "confirmed", "unchanged").when(row == "rejected", "refused").otherwise("confirmed"))
+            .when(kind == "revert", F.when(row == "confirmed", "reverted").otherwise("refused")).otherwise("unknown")
+        )
+        status = F.when(outcome.isin("stored", "reverted"), "pending").when(outcome.isin("rejected", "uncertain", "confirmed"), outcome).otherwise(row)
+        reason = F.when(outcome.isin("stored", "reverted"), null).when(outcome.isin("rejected", "uncertain"), e["why"]).otherwise(s["reason"])
+        written = F.when(outcome.isin("stored", "reverted"), null).when(outcome == "confirmed", e["wb"]).otherwise(s["write_back"])
+        return F.struct(status.alias("status"), reason.alias("reason"), written.alias("write_back"), F.concat(s["outcomes"], F.array(outcome)).alias("outcomes")).cast(_STATE)
+
+    start = F.struct("status", "reason", "write_back", F.array().cast("array<string>").alias("outcomes")).cast(_STATE)
+    rows = stored.join(listed, key, "full_outer").withColumn("__state", F.aggregate(F.coalesce("__events", F.array().cast(listed.schema["__events"].dataType)), start, step))
+    return rows.select(*key, *(F.col(c) for c in stored.columns if c not in (*key, "status", "reason", "write_back")), "__state.*")

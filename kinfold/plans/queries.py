@@ -305,14 +305,15 @@ SRT_PAGE_SQL = f"WITH m AS (SELECT CAST(o_custkey AS VARCHAR) AS person_id, o_or
 
 def snk_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Stored matches merged with new ones: terminal rows stay."""
-    old = _matches(spark, d).where("o_orderkey % 2 = 0")
-    new = _matches(spark, d).where("o_orderkey % 3 = 0").withColumn("score", F.col("score") + 1)
+    old = _matches(spark, d)
+    new = old.select((F.col("o_orderkey") + 1).alias("o_orderkey"), "person_id", "status", (F.col("score") + 1).alias("score"))
     return stores.upsert_pending(old, new, ["o_orderkey"])
 
 
-SNK_UPSERT_SQL = f"""WITH m AS (SELECT CAST(o_custkey AS VARCHAR) AS person_id, o_orderkey, {_STATUS_SQL} AS status, CAST(floor(o_totalprice / 5000) AS INT) AS score FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)
- SELECT o_orderkey, person_id, CASE WHEN o_orderkey % 3 <> 0 THEN status WHEN o_orderkey % 2 <> 0 OR status NOT IN ('confirmed', 'rejected') THEN 'pending' ELSE status END AS status,
- CAST(CASE WHEN o_orderkey % 3 <> 0 THEN score WHEN o_orderkey % 2 <> 0 OR status NOT IN ('confirmed', 'rejected') THEN score + 1 ELSE score END AS INT) AS score FROM m"""
+_KEPT = "(coalesce(o.status IN ('confirmed', 'rejected'), false) OR n.o_orderkey IS NULL)"
+SNK_UPSERT_SQL = f"""WITH m AS (SELECT CAST(o_custkey AS VARCHAR) AS person_id, o_orderkey, {_STATUS_SQL} AS status, CAST(floor(o_totalprice / 5000) AS INT) AS score FROM orders)
+ SELECT coalesce(o.o_orderkey, n.o_orderkey + 1) AS o_orderkey, CASE WHEN {_KEPT} THEN o.person_id ELSE n.person_id END AS person_id, CASE WHEN {_KEPT} THEN o.status ELSE 'pending' END AS status, CASE WHEN {_KEPT} THEN o.score ELSE n.score + 1 END AS score
+ FROM m o FULL JOIN m n ON o.o_orderkey = n.o_orderkey + 1"""
 
 
 def str_query_hints(spark: SparkSession, d: str) -> DataFrame:

@@ -18,7 +18,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # ---- responses: one is derived from each event, with every kind of fault ----
 _BODY = """concat('{"schemaVersion":', CASE WHEN event_id % 11 = 0 THEN '"1"' ELSE '1' END, ',"jobId":"', CASE WHEN event_id % 13 = 0 THEN 'x' ELSE CAST(event_id AS STRING) END,
  '","state":"', CASE event_id % 17 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' WHEN 2 THEN 'lost' ELSE 'done' END, '","results":', CASE WHEN event_id % 23 = 0 THEN '[1]' ELSE concat('{"', CASE WHEN event_id % 5 = 0 THEN '9' ELSE '1' END,
- '":{"notices":[{"name":"', CASE WHEN event_id % 3 = 0 THEN ' ' ELSE 'Anna Alt' END, '","age":', CASE WHEN event_id % 2 = 0 THEN '86' ELSE '"86"' END, ',"url":"', CASE WHEN event_id % 7 = 0 THEN 'ftp' ELSE 'https' END, '://a.de/', CAST(event_id AS STRING),
+ '":{"notices":[{"name":"', CASE WHEN event_id % 3 = 0 THEN ' ' ELSE 'Anna Alt' END, '","noticeType":"', CASE event_id % 7 WHEN 1 THEN 'obituary' WHEN 2 THEN 'death_notice' WHEN 3 THEN 'funeral_notice' WHEN 4 THEN 'grave_memorial' WHEN 5 THEN 'cemetery_record' ELSE 'memorial' END, '","age":', CASE WHEN event_id % 2 = 0 THEN '86' ELSE '"86"' END, ',"url":"', CASE WHEN event_id % 7 = 0 THEN 'ftp' ELSE 'https' END, '://a.de/', CAST(event_id AS STRING),
  '","fetchedAt":"2024-', CASE WHEN event_id % 29 = 0 THEN '02-30' ELSE '03-12' END, 'T10:00:00Z"}],"coverage":[{"portal":"p","status":"ok","noticeCount":', CASE WHEN event_id % 19 = 0 THEN '-1' ELSE '1' END, '}]}}') END, '}')"""
 
 
@@ -39,27 +39,23 @@ VAL_RESPONSES_SQL = f"WITH r AS (SELECT event_id, {_REASON} AS reason FROM event
 
 def val_notices(spark: SparkSession, d: str) -> DataFrame:
     """Notices of the accepted responses; those without a name are gone."""
-    return _responses(spark, d).notices.select(F.col("job_id").cast("long").alias("event_id"), "name", "age", "row_key", "disposition", F.col("parsed_name.surname").alias("surname"))
+    return _responses(spark, d).notices.select(F.col("job_id").cast("long").alias("event_id"), "name", "notice_type", "age", "row_key", "disposition", F.col("parsed_name.surname").alias("surname"))
 
 
-VAL_NOTICES_SQL = f"SELECT event_id, 'Anna Alt' AS name, CASE WHEN event_id % 2 = 0 THEN CAST(86 AS BIGINT) END AS age, sha256('https://a.de/' || event_id) AS row_key, 'burial' AS disposition, 'Alt' AS surname FROM events WHERE ({_REASON}) IS NULL AND event_id % 3 <> 0"
+VAL_NOTICES_SQL = f"SELECT event_id, 'Anna Alt' AS name, CASE event_id % 7 WHEN 2 THEN 'death_notice' WHEN 3 THEN 'funeral_notice' WHEN 4 THEN 'grave_memorial' WHEN 5 THEN 'cemetery_record' ELSE 'obituary' END AS notice_type, CASE WHEN event_id % 2 = 0 THEN CAST(86 AS BIGINT) END AS age, sha256('https://a.de/' || event_id) AS row_key, 'burial' AS disposition, 'Alt' AS surname FROM events WHERE ({_REASON}) IS NULL AND event_id % 3 <> 0"
 
 
 # ---- gate, write-back, revert ----
 _ISO = "CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN concat(CAST(year(o_orderdate) AS STRING), '-02-30') END"
-_GRAVE = "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'Alt@Nord' END"
 
 
 def flt_confirm_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each match may be confirmed, and the text that a confirmation writes."""
-    rows = table(spark, d, "orders").selectExpr("o_orderkey", f"{_ISO} AS iso", f"{_GRAVE} AS grave", "CASE WHEN o_orderkey % 8 < 4 THEN 'cremation' ELSE 'burial' END AS kind")
+    """Whether each match may be confirmed, and if not, why."""
     gate = review.confirm_gate(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") % 7 == 0, F.col("iso"))
-    return rows.select("o_orderkey", gate.alias("reason"), F.array_join(review.death_facts(F.col("iso"), F.lit("Bonn"), F.col("grave"), F.col("kind"), F.lit("https://a.de/1")), "\n").alias("facts"))
+    return table(spark, d, "orders").selectExpr("o_orderkey", f"{_ISO} AS iso").select("o_orderkey", gate.alias("reason"))
 
 
-FLT_CONFIRM_GATE_SQL = rf"""WITH o AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS exact, day(o_orderdate) || ' ' || ['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC'][month(o_orderdate)] || ' ' || year(o_orderdate) AS g FROM orders)
- SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'hard_conflict' WHEN o_orderkey % 7 = 0 THEN 'tree_already_has_death_date' WHEN NOT exact THEN 'no_exact_death_date' END AS reason,
- CASE WHEN exact THEN '1 DEAT' || chr(10) || '2 DATE ' || g || chr(10) || '2 PLAC Bonn' || chr(10) || '2 WWW https://a.de/1' || CASE WHEN o_orderkey % 4 IN (2, 3) THEN chr(10) || CASE WHEN o_orderkey % 8 < 4 THEN '1 CREM' ELSE '1 BURI' END || chr(10) || '2 PLAC Alt@@Nord' ELSE '' END END AS facts FROM o"""
+FLT_CONFIRM_GATE_SQL = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'hard_conflict' WHEN o_orderkey % 7 = 0 THEN 'tree_already_has_death_date' WHEN o_orderkey % 3 > 0 THEN 'no_exact_death_date' END AS reason FROM orders"
 
 
 def snk_revert(spark: SparkSession, d: str) -> DataFrame:

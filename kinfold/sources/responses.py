@@ -21,7 +21,7 @@ SCHEMA_VERSION = 1
 BODY_CAP, MESSAGE_CAP = 5_242_880, 1_000
 STATES = ["queued", "running", "done", "failed"]
 COVERAGE_STATUSES = ["ok", "failed", "skipped"]
-NOTICE_TYPES = ["obituary", "memorial", "acknowledgement", "unknown"]
+NOTICE_TYPES = ["obituary", "death_notice", "funeral_notice", "grave_memorial", "cemetery_record"]
 DISPOSITIONS = ["burial", "cremation"]
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}(?::?\d{2})?)?\z"
 
@@ -67,9 +67,10 @@ def is_kind(v: Column, name: str) -> Column:
 
 
 def valid_timestamp(s: Column) -> Column:
-    """Whether a whole ISO date-time of a day that exists; null is not."""
-    day = F.substring(s, 1, 10)
-    return F.coalesce(s.rlike(TIMESTAMP) & F.try_to_date(day, "yyyy-MM-dd").isNotNull() & (F.substring(s, 12, 2) <= "24") & (F.substring(s, 15, 2) <= "59") & (F.substring(s, 18, 2) <= "60"), F.lit(False))
+    """Whether a whole ISO date-time of a day that exists and that its time does not leave (no hour 24, no leap second at the day's end); null is not."""
+    day, hour, minute, second = F.substring(s, 1, 10), F.substring(s, 12, 2), F.substring(s, 15, 2), F.substring(s, 18, 2)
+    inside = (hour <= "23") & (minute <= "59") & (second <= "60") & (F.substring(s, 12, 8) != "23:59:60")
+    return F.coalesce(s.rlike(TIMESTAMP) & F.try_to_date(day, "yyyy-MM-dd").isNotNull() & inside, F.lit(False))
 
 
 def notice_fault(n: Column) -> Column:

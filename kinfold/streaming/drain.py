@@ -12,16 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import stores
+from ..operators import enqueue, ingest, stores
 from ..sources.responses import validate
 
 RESPONSES = "job_id string, tree_id int, requested_person_ids array<string>, signature string, finder_id string, received_at long, body string"
 
 
-def drain_tables(responses: DataFrame) -> dict[str, DataFrame]:
+STORED = "person_id string, row_key string, url string, status string, reason string, match string, write_back string, origin string"
+
+
+def drain_tables(responses: DataFrame, people: DataFrame | None = None, stored: DataFrame | None = None, memory: DataFrame | None = None) -> dict[str, DataFrame]:
     """What a batch of responses adds: jobs and their routes, notices (the last of a person's URL wins), coverage by portal, outcomes, memory of searches without a find, and a summary.
 
-    A failed or unfinished job adds nothing but its route. No group is larger than a person's notices.
+    With people (see ingest.ingest(); and signature, the search signature of each) notices are scored, too: matches are
+    stored (STORED) with the new ones, warnings and counters as ingest() has them, and a search in vain is remembered only of someone
+    held. With memory (person_id, finder_id, signature, recorded_at) what is remembered is all of it, less everything of people whom
+    this batch has found. A failed or unfinished job adds nothing but its route. No group is larger than a person's notices.
     """
     v = validate(responses)
     notices = stores.last_wins(v.notices, ["person_id", "row_key"], "seq")
@@ -29,16 +35,28 @@ def drain_tables(responses: DataFrame) -> dict[str, DataFrame]:
     coverage = v.coverage.join(job, "job_id")
     merged = stores.merge_coverage(coverage, ["person_id"])
     outcome = stores.search_outcome(coverage, ["person_id", "finder_id", "signature", "received_at"])
-    memory = outcome.where("outcome = 'no_notices'").select("person_id", "finder_id", "signature", F.col("received_at").alias("recorded_at"))
+    vain = outcome.where("outcome = 'no_notices'").select("person_id", "finder_id", "signature", F.col("received_at").alias("recorded_at"))
+    if people is not None:
+        vain = vain.drop("signature").join(people.select("person_id", "signature"), "person_id").select("person_id", "finder_id", "signature", "recorded_at")
+    if memory is not None:
+        vain = stores.last_wins(enqueue.forget_found(memory.unionByName(vain), outcome), ["person_id", "finder_id"], "recorded_at")
     summary = v.jobs.agg(F.count("*").alias("jobs"), *(F.count_if(F.col("route") == r).alias(r) for r in ("completed", "failed", "retry")))
-    return {"jobs": v.jobs, "notices": notices, "coverage": merged, "outcomes": outcome, "memory": memory, "summary": summary}
+    out = {"jobs": v.jobs, "notices": notices, "coverage": merged, "outcomes": outcome, "memory": vain, "summary": summary}
+    if people is not None:
+        stored = stored if stored is not None else responses.sparkSession.createDataFrame([], STORED)
+        got = ingest.ingest(v.notices, v.coverage, people, stored)
+        out |= {"matches": got.matches, "warnings": got.warnings, "counters": got.counters}
+    return out
 
 
-def write_batch(out: str) -> Callable[[DataFrame, int], None]:
+def write_batch(out: str, people: str | None = None) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch, spark = batch.persist(), batch.sparkSession
+        # The matches of a batch are all that are stored then: the batch before it is what they are merged into.
+        known = spark.read.parquet(people) if people else None
+        stored = spark.read.schema(STORED).parquet(f"{out}/matches/batch={batch_id - 1}") if people and batch_id else None
         try:
-            for name, df in drain_tables(batch).items():
+            for name, df in drain_tables(batch, known, stored).items():
                 df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
         finally:
             batch.unpersist()
@@ -46,7 +64,10 @@ def write_batch(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def drain(spark: SparkSession, landing: str, out: str, checkpoint: str, files_per_batch: int = 1_000) -> StreamingQuery:
-    """Start a drain of JSON lines (RESPONSES) that land in a folder; it ends when all files that are there have been taken."""
+def drain(spark: SparkSession, landing: str, out: str, checkpoint: str, files_per_batch: int = 1_000, people: str | None = None) -> StreamingQuery:
+    """Start a drain of JSON lines (RESPONSES) that land in a folder; it ends when all files that are there have been taken.
+
+    people: a Parquet folder of those who may be asked for; with it the matches are scored and kept.
+    """
     rows = spark.readStream.schema(RESPONSES).option("maxFilesPerTrigger", files_per_batch).json(landing)
-    return rows.writeStream.foreachBatch(write_batch(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(write_batch(out, people)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
