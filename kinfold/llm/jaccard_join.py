@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, drop_stored, store
+from .shared import connected_components, drop_stored, small, store
 from .textbytes import U, groups, mix, shingle_sets, text_bytes
 
 BLOCK, FLUSH = 16, 1 << 18
@@ -53,6 +53,7 @@ class Limits:
     bucket: int = 1 << 18  # postings to a bucket, about
     seen: int = 1 << 16  # names that a task remembers, to leave out copies
     name_bits: int = 64
+    broadcast: int = 1 << 20  # sets of candidates, 16 bytes each, that are sent to all tasks to pick their texts; more are joined by a shuffle
 
 
 def name_of(tokens: np.ndarray, bits: int = 64) -> int:
@@ -520,7 +521,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     salts = F.ceil(F.greatest(F.count("*") / lim.group, F.sum("n") / lim.group_tokens)).cast("int")
     member = lead.join(lead.groupBy("lead").agg(salts.alias("salts")), "lead").select("name", "key", "lead", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int").alias("salt"), "salts")
     member = kept(member, "members")
-    texts = docs.select(key.alias("key"), F.col(text).alias("text")).join(member.select("name", "key"), "key").select("name", "text").dropDuplicates(["name"])
+    texts = docs.select(key.alias("key"), F.col(text).alias("text")).join(small(member.select("name", "key"), lim.broadcast), "key").select("name", "text").dropDuplicates(["name"])
     texts = kept(texts, "texts")
     leads = member.where("name = lead").select("name", "lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = member.where("name <> lead").select("name", "lead", "salt")

@@ -38,6 +38,11 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast in a join if it has no more than so many rows, else left to a shuffle. df should be a stored table, as its rows are counted."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table that store() wrote, once nothing lazy reads it any more."""
     path = getattr(df, "_kinfold_path", None)

@@ -341,7 +341,7 @@ def test_jaccard(spark, docs, small):
         near.append((1000 + k, " ".join(w)))
     rows = [(r.doc_id, r.text) for r in sf(spark).select("doc_id", "text").collect()] + TEXTS + near
     df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, name string")
-    lim = jaccard_join.Limits(long=3, group=4, group_tokens=400, grid=4, grid_tokens=400, slice=4, hot=3, bucket=1 << 12, hot_part=8, name_bits=9) if small else None
+    lim = jaccard_join.Limits(long=3, group=4, group_tokens=400, grid=4, grid_tokens=400, slice=4, broadcast=9, hot=3, bucket=1 << 12, hot_part=8, name_bits=9) if small else None
     got = jaccard_join.jaccard_components(df, lim=lim).collect()
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
