@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import jaccard_join, language_id, line_dedup, packing
 from kinfold.llm.queries import BYTES, held_out
-from kinfold.llm.shared import store
+from kinfold.llm.shared import small, store
 
+#: Row numbers (8 bytes each) that are sent to all tasks; beyond that rows are dropped by a shuffle.
+MOST_BROADCAST = 1 << 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -38,8 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = store(docs.select(*COLUMNS).withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("n"))), "rows")
     found = jaccard_join.jaccard_components(rows.select("__row", "text"), row_id="__row")
-    keep = found.where((F.col("n_shingles") == 0) | (F.col("__row") == F.col("component_id"))).select("__row")
-    return rows.join(keep, "__row", "left_semi").select(*COLUMNS)
+    gone = found.where((F.col("n_shingles") > 0) & (F.col("__row") != F.col("component_id"))).select(F.col("__row.n").alias("__n"))
+    return rows.withColumn("__n", F.col("__row.n")).join(small(gone, MOST_BROADCAST), "__n", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
