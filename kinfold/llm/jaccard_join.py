@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected_components, drop_stored, small, store
-from .textbytes import U, groups, mix, shingle_sets, text_bytes
+from .textbytes import U, frugal, groups, mix, shingle_sets, text_bytes
 
 BLOCK, FLUSH = 16, 1 << 18
 
@@ -462,7 +462,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
         scratch.append(store(df, tag))
         return scratch[-1]
 
-    nodes = kept(docs.select(F.col(row_id).alias("id"), key.alias("key"), text).mapInArrow(_describe(width, lim.name_bits), f"id {kind}, key long, n long, name long, check long, bits binary"), "sets")
+    nodes = kept(docs.select(F.col(row_id).alias("id"), key.alias("key"), text).mapInArrow(frugal(_describe(width, lim.name_bits)), f"id {kind}, key long, n long, name long, check long, bits binary"), "sets")
 
     def classes_of(nodes):
         named = nodes.where("name is not null").groupBy("name").agg(F.min(F.struct("key", "n", "bits")).alias("x"), F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high"))
@@ -481,7 +481,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
 
     # Which tokens are frequent decides on order and speed, never on results.
     bits = min(30, power(total / (2 * lim.bucket)))
-    frequent = docs.select(text).mapInArrow(_count_blobs(width, bits), "bucket int, tokens binary").groupBy("bucket").applyInArrow(_frequent(lim.hot), "token long, n long")
+    frequent = docs.select(text).mapInArrow(frugal(_count_blobs(width, bits)), "bucket int, tokens binary").groupBy("bucket").applyInArrow(_frequent(lim.hot), "token long, n long")
     frequent = kept(frequent.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "frequent")
     # Those dealt into parts are always known: at most total / (2 * hot_part), whatever max_hot.
     hot_part = max(lim.hot_part, total >> 21)
@@ -496,14 +496,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     shared = spark.sparkContext.broadcast((hot.column("token").to_numpy()[order], hot.column("n").to_numpy()[order]))
 
     hot_bits, bits = bits, min(30, power(total * (den - num) / den / lim.bucket))
-    post = docs.select(text).mapInArrow(_postings(width, hot_bits, bits, shared, num, den, hot_part, namer(lim.name_bits, clashes), lim.seen), "bucket int, part int, token binary, name binary, n binary, rest binary")
+    post = docs.select(text).mapInArrow(frugal(_postings(width, hot_bits, bits, shared, num, den, hot_part, namer(lim.name_bits, clashes), lim.seen)), "bucket int, part int, token binary, name binary, n binary, rest binary")
     found = kept(post.groupBy("bucket", "part").applyInArrow(_lists(num, den, lim), _FOUND), "found")
 
     def side(c):
         return classes.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
     pairs = found.where("kind = 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    pairs = kept(pairs.mapInArrow(_may_link(num, den), "a long, b long"), "pairs")
+    pairs = kept(pairs.mapInArrow(frugal(_may_link(num, den)), "a long, b long"), "pairs")
 
     # Split lists take the first of all their parts' sets as hub.
     parts = found.where("kind = 2")
@@ -542,7 +542,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     rest = label(label(pairs, "a", "ca"), "b", "cb").where("ca <> cb")
     rest = rest.join(where.select(F.col("name").alias("a"), F.col("group").alias("ga")), "a").join(where.select(F.col("name").alias("b"), F.col("group").alias("gb")), "b").where("ga <> gb").select("a", "b")
     rest = rest.join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
-    components = joined(kept(rest.select("a", "b", "text_a", "text_b").mapInArrow(_pair_links(width, num, den), "u long, v long"), "links"))
+    components = joined(kept(rest.select("a", "b", "text_a", "text_b").mapInArrow(frugal(_pair_links(width, num, den)), "u long, v long"), "links"))
 
     # Hubs whose members are in several components: blocks outside of the largest one meet all blocks of sizes in reach.
     spread = label(hubs, "name", "component")

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textbytes import groups, text_bytes
+from .textbytes import frugal, groups, text_bytes
 
-ORDER, SAMPLE, PIECE = 3, 400, 1 << 20
+ORDER, SAMPLE, PIECE = 3, 400, 1 << 18
 UNKNOWN = "und"
 
 
@@ -115,7 +115,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str =
     langs = sorted({r[0] for r in picked})
     few = docs.sparkSession.createDataFrame(picked, "lang string, h long")
     texts = rows.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    got = texts.select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.select("lang", "text").mapInArrow(frugal(_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     index = {x: k for k, x in enumerate(langs)}
     ids = np.array([index[x] for x in got.column("lang").to_pylist()], np.int64)
     return Model(langs, ids, got.column("gram").to_numpy(), got.column("n").to_numpy())
@@ -151,4 +151,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: tuple[str,
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in out]
     src = docs.select(*kept, F.col(text).alias("__li_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__li_letter"))
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema if not f.name.startswith("__li_"))
-    return src.mapInArrow(run, f"{types}{out[0]} string, {out[1]} double, {out[2]} double")
+    return src.mapInArrow(frugal(run), f"{types}{out[0]} string, {out[1]} double, {out[2]} double")

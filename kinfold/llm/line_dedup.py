@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import store
-from .textbytes import LOWER_TABLE, SPACE, U, mix
+from .textbytes import LOWER_TABLE, SPACE, U, frugal, mix
 
 SHARD_KEYS, SALTS, GAMMA, FLUSH = 1 << 16, 8, 2.0, 1 << 18
 
@@ -213,19 +213,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, out: tu
     An empty table gives an empty table. texts=False leaves the kept text null.
     """
     src = docs.withColumns({"__ld_k1": F.xxhash64(F.lit(1), text), "__ld_k2": F.xxhash64(F.lit(2), F.reverse(F.coalesce(F.col(text), F.lit(""))), F.length(text))})
-    counted = docs.select(text).mapInArrow(_count_lines, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(frugal(_count_lines), "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
     counted = store(counted, "lines")
     shards = max(16, -(-counted.count() // SHARD_KEYS))
     # The shard is the unsigned remainder of hi, as in _probes.
     unsigned = F.col("hi").cast("decimal(20,0)") + F.when(F.col("hi") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
     tables = counted.withColumn("shard", (unsigned % F.lit(shards).cast("decimal(20,0)")).cast("long")).groupBy("shard").applyInArrow(_build_shard, "shard long, sizes binary, bits binary, prints binary, counts binary")
     tables = tables.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    probes = src.select("__ld_k1", "__ld_k2", text).mapInArrow(_probes(shards), "shard long, salt int, k1 binary, k2 binary, line binary, hi binary, lo binary")
+    probes = src.select("__ld_k1", "__ld_k2", text).mapInArrow(frugal(_probes(shards)), "shard long, salt int, k1 binary, k2 binary, line binary, hi binary, lo binary")
     drops = (
         tables.unionByName(probes, allowMissingColumns=True)
         .repartition("shard", "salt")
         .sortWithinPartitions("shard", "salt", F.col("sizes").isNull())
-        .mapInArrow(_probe(min_docs), "k1 long, k2 long, line int")
+        .mapInArrow(frugal(_probe(min_docs)), "k1 long, k2 long, line int")
         .distinct()  # a text's group has its own lines, however many copies there are
         .groupBy("k1", "k2")
         .agg(F.collect_list("line").alias("__ld_drop"))
@@ -235,5 +235,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, out: tu
     kept = [c for c in (keep if keep is not None else docs.columns)]
     both = src.join(drops, ["__ld_k1", "__ld_k2"], "left").select(*kept, F.col(text).alias("__ld_text"), "__ld_drop")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name not in ("__ld_text", "__ld_drop"))
-    done = both.mapInArrow(lambda batches: _rebuild(batches, texts), f"{types + ', ' if types else ''}__ld_lines long, __ld_dropped long, __ld_kept string, __ld_sha string")
+    done = both.mapInArrow(frugal(lambda batches: _rebuild(batches, texts)), f"{types + ', ' if types else ''}__ld_lines long, __ld_dropped long, __ld_kept string, __ld_sha string")
     return done.drop(*(c for c in out if c in kept)).withColumnsRenamed(dict(zip([f[0] for f in _KEPT], out, strict=True)))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import store
+from .textbytes import frugal
 
 SALT_PIECES, SALTS = 1 << 9, 1 << 16
 _ENCODERS: dict[str, object] = {}
@@ -151,7 +152,7 @@ def pieces_of(docs: DataFrame, file: str, size: int, end_id: int, text: str, row
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[:, 0], pa.int32()), *(pa.array(cols[:, k]) for k in (1, 2, 3, 4))], names=["id", "piece", "start", "length", "ids_crc32", "deal"])
 
     kind = docs.schema[row_id].dataType.simpleString()
-    return docs.select(F.col(row_id).alias("id"), text).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, deal long")
+    return docs.select(F.col(row_id).alias("id"), text).mapInArrow(frugal(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, deal long")
 
 
 def pack(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -197,4 +198,4 @@ def pack(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, text: st
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(seq), pa.array(runs["offset"][r])], names=[row_id, *batch.schema.names[1:5], "sequence_id", "offset"])
 
     kind = docs.schema[row_id].dataType.simpleString()
-    return ranked.select("id", "piece", "start", "length", "ids_crc32", "salt", "k").mapInArrow(run, f"`{row_id}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("id", "piece", "start", "length", "ids_crc32", "salt", "k").mapInArrow(frugal(run), f"`{row_id}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
