@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, language_id, line_dedup, packing, progressive_jpeg, sentencepiece_trie, token_counts, topk_search, url_filters
+from . import chat_format, jaccard_join, language_id, line_dedup, packing, progressive_jpeg, sentencepiece_trie, simhash, token_counts, topk_search, url_filters, whitening
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 RULES = [url_filters.Rule.of(v, r) for v, r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
@@ -66,6 +66,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), 1024, 2)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=16)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,6 +91,8 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
     "pipeline": pipeline,
 }
 
