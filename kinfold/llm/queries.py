@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, language_id, line_dedup, packing, progressive_jpeg, sentencepiece_trie, simhash, token_counts, topk_search, url_filters, whitening
+from . import alignment, chat_format, jaccard_join, language_id, line_dedup, packing, progressive_jpeg, sentencepiece_trie, simhash, token_counts, topk_search, url_filters, whitening
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 RULES = [url_filters.Rule.of(v, r) for v, r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
@@ -74,6 +74,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_whitening": op11_whitening,
     "op12_simhash": op12_simhash,
+    "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 

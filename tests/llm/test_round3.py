@@ -1,15 +1,20 @@
 """Whitening, SimHash and cross-tokenizer alignment against brute force."""
 
+import hashlib
 import hashlib
 import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 import xxhash
 from test_operators import SCHEMA, SF, TEXTS, words
 
-from kinfold.llm import queries, simhash, whitening
+from tokenizers import Tokenizer
+
+from kinfold.llm import alignment, queries, simhash, whitening
 
 # ---- whitening ----
 
@@ -208,3 +213,93 @@ def test_split_blocks(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert Counter(tuple(r) for r in got.collect()) == brute_links([(i, brute_fingerprint(t)) for i, t in rows])
+
+
+# ---- alignment ----
+
+BYTES, PIECES = public_tokenizers.path(queries.BYTES), public_tokenizers.path(queries.PIECES)
+
+
+def brute_alignment(rows):
+    a_tok, b_tok = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    a_tok.encode_special_tokens = True
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    own = sorted(ord(c) for c in ByteLevel.alphabet() if ord(c) < 256)
+    byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+    a_of = lambda i: bytes(byte[c] for c in a_tok.id_to_token(i))
+    b_of = lambda i: bytes([int(b_tok.id_to_piece(i)[3:5], 16)]) if b_tok.is_byte(i) else b_tok.id_to_piece(i).replace("\u2581", " ").encode()
+    found, count = [], Counter()
+    for i, t in rows:
+        links, groups, a, b = [], [], [], []
+        if t:
+            a, b = a_tok.encode(" " + t, add_special_tokens=False).ids, b_tok.encode(t)
+            if b"".join(map(a_of, a)) != (" " + t).encode() or b"".join(map(b_of, b)) != (" " + t).encode():
+                a, b = [], []
+        x = y = 0
+        ga, gb, ea, eb = [], [], 0, 0
+        while x < len(a):
+            if not ga:
+                ga, gb, ea, eb = [a[x]], [b[y]], ea + len(a_of(a[x])), eb + len(b_of(b[y]))
+            links.append((a[x], b[y]))
+            if ea == eb:
+                groups.append(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)))
+                ga, gb, x, y = [], [], x + 1, y + 1
+            elif ea < eb:
+                x += 1
+                ga.append(a[x])
+                ea += len(a_of(a[x]))
+            else:
+                y += 1
+                gb.append(b[y])
+                eb += len(b_of(b[y]))
+        count.update(links)
+        found.append((i, len(a), len(b), groups, links))
+    most = defaultdict(int)
+    for (_, y), n in count.items():
+        most[y] = max(most[y], n)
+    return Counter((i, na, nb, len(g), len(ln), sum(count[p] == most[p[1]] for p in ln), sum(count[p] for p in ln), hashlib.sha256(";".join(g).encode()).hexdigest() if g else "") for i, na, nb, g, ln in found)
+
+
+ODD = ["\u2581 x", "</s> <s> <unk> <|endoftext|> <0x41>", " lead", "tail ", "\n\n  a\tb", "Ü𝔘 ﬁ \u0301 e\u0301", "\x00\x01", "\u3000全角", "don't 12345"]
+
+
+def test_alignment_of_the_table(spark, monkeypatch):
+    """Many chunks, flushes, spans and salts; odd texts and clashing columns: as brute force."""
+    monkeypatch.setattr(alignment, "LINKS", 5000)
+    monkeypatch.setattr(alignment, "DOCS", 60)
+    monkeypatch.setattr(alignment, "SALT_ROWS", 3)
+    monkeypatch.setattr(alignment, "SALT_LINKS", 4000)
+    monkeypatch.setattr(alignment, "SPAN", 9000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("length(text) < 20000")
+    odd = spark.createDataFrame([(i, t, "p", "q", "r", "s", "t") for i, t in TEXTS + list(enumerate(ODD, 100))], SCHEMA).withColumnsRenamed({"name": "sha", "key": "stripe"})
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + TEXTS + list(enumerate(ODD, 100))
+    got = alignment.align_tokens(docs.unionByName(odd, allowMissingColumns=True), BYTES, PIECES)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert Counter(tuple(r) for r in got.collect()) == brute_alignment(rows)
+    assert alignment.align_tokens(docs.limit(0), BYTES, PIECES).collect() == []
+
+
+def test_spans_are_cut_at_common_ends_only():
+    pair = alignment.Pair.of(BYTES, PIECES)
+    docs = [pair.tokens(t) for t in ["Donaudampfschifffahrt " * 40, "", "a", "x" * 300]]
+    whole, parts = list(alignment.align(pair, docs)), list(alignment.align(pair, docs, span=3))
+    assert len(whole) == 1 and len(parts) > 20
+    for k in (0, 1, 2):
+        assert np.array_equal(whole[0][k], np.concatenate([p[k] for p in parts]))
+    assert np.array_equal(whole[0][3], sum(p[3] for p in parts))
+    digests = [alignment.Digest() for _ in docs]
+    for p in parts:
+        for d, s in p[4]:
+            digests[d].add(s)
+    want = [alignment.Digest() for _ in docs]
+    for d, s in whole[0][4]:
+        want[d].add(s)
+    assert [d.text() for d in digests] == [d.text() for d in want] and digests[1].text() == ""
+
+
+def test_packed_links_keep_large_numbers():
+    keys = np.repeat((np.array([5, 200, 201]) << 20 | np.array([7, 7, 9])) << 20 | np.array([3, 3, 4]), [600, 255, 1])
+    rows = list(alignment.pack_links(keys, "<u2"))
+    assert [(r[0], r[1]) for r in rows] == [(0, 600), (1, 256)]
+    assert np.frombuffer(rows[0][7], "u1").tolist() == [255, 255, 90] and np.frombuffer(rows[1][4], "<u4").tolist() == [1, 1]
