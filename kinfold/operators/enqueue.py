@@ -86,7 +86,8 @@ def hint_entries(hints: Column) -> Column:
 
 def requests(eligible: DataFrame, matches: DataFrame) -> DataFrame:
     """person_id, request (JSON), n_hosts of each eligible person (with name, hints); hosts are left out where there are none."""
-    rows = eligible.join(open_hosts(matches), "person_id", "left")
+    theirs = matches.join(eligible.select("person_id"), "person_id", "left_semi")  # hosts are worked out of their matches alone
+    rows = eligible.join(open_hosts(theirs), "person_id", "left")
     hosts = F.when(F.size("excluded_hosts") > 0, F.col("excluded_hosts"))
     body = F.struct(F.col("person_id").alias("personId"), name_entries(F.col("name")).alias("names"), hint_entries(F.col("hints")).alias("queryHints"), hosts.alias("excludedHosts"))
     return rows.select("person_id", F.to_json(body).alias("request"), F.coalesce("n_hosts", F.lit(0)).alias("n_hosts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -56,47 +57,53 @@ def explanation(signals: list[str]) -> Column:
     )
 
 
-def score(notices: DataFrame, candidates: DataFrame, cfg: scoring.ScoreConfig) -> DataFrame:
-    """Every notice with its own person, scored and classified on its own; an equi-join by person_id, so that each pair is one row.
+def score(notices: DataFrame, candidates: DataFrame, cfg: scoring.ScoreConfig, key: Sequence[str] = ("person_id",)) -> DataFrame:
+    """Every notice with its own person, scored and classified on its own; an equi-join by key, so that each pair is one row.
 
     notices: of notice_keys(); candidates: of candidate_keys(). There being no other candidate, none is ambiguous and there is no runner-up.
     """
-    rows = scoring.score_pairs(notices.join(candidates, "person_id"), cfg)
+    rows = scoring.score_pairs(notices.join(candidates, list(key)), cfg)
     facts = harvest(F.col("n_death"), F.col("cemetery"), F.col("funeral_date"), F.col("disposition"))
     return rows.withColumns({"facts": facts, "band": ranking.capped_band(F.col("total"), F.col("conflicts.hard")), "ambiguous": F.lit(False), "runner_up": F.lit(None).cast("string")})
 
 
 @dataclass(frozen=True)
 class Ingested:
-    """scored: a row a notice. matches: the stored matches with the new ones. warnings: person_id, kind, portal, n. counters: one row."""
+    """scored: a row a notice. matches: the stored matches with the new ones. warnings: key, kind, portal, n. counters: one row. stored_keys: key, row_key of each match that was stored, not being decided."""
 
     scored: DataFrame
     matches: DataFrame
     warnings: DataFrame
     counters: DataFrame
+    stored_keys: DataFrame
 
 
-def ingest(notices: DataFrame, coverage: DataFrame, people: DataFrame, stored: DataFrame, cfg: scoring.ScoreConfig | None = None, origin: Column | None = None) -> Ingested:
-    """Score notices against the people they are of and merge the matches into stored (person_id, row_key, url, status, reason, match, write_back, origin).
+def ingest(
+    notices: DataFrame, coverage: DataFrame, people: DataFrame, stored: DataFrame, cfg: scoring.ScoreConfig | None = None, origin: Column | None = None, key: Sequence[str] = ("person_id",), order: Sequence[str] = ("seq",)
+) -> Ingested:
+    """Score notices against the people they are of and merge the matches into stored (key, row_key, url, status, reason, match, write_back, origin).
 
-    Of a person's notices of one URL the last (by seq) is kept; the match counts once. Rows that are decided stay. A person with
+    key: what tells people apart; where there are several trees, (tree_id, person_id). Of a person's notices of one URL the
+    last by order is kept; the match counts once. Rows that are decided stay. A person with
     notices who is not among people gives a warning, as does a failed portal of one who is: its silence is not a
     miss. No shuffle but by person, and by match for the merge. Empty tables give empty ones and zeros.
     """
-    cfg = cfg or scoring.ScoreConfig.enriched()
-    held = people.select("person_id").distinct()
-    last = stores.last_wins(notices, ["person_id", "row_key"], "seq")
-    scored = score(notice_keys(last), candidate_keys(people), cfg)
+    cfg, key = cfg or scoring.ScoreConfig.enriched(), list(key)
+    held = people.select(*key).distinct()
+    last = stores.last_wins(notices, [*key, "row_key"], list(order))
+    scored = score(notice_keys(last), candidate_keys(people), cfg, key)
     signals = [k for k in SIGNALS if f"s_{k}" in scored.columns]
     none = F.lit(None).cast("string")
-    new = scored.select("person_id", "row_key", "url", F.lit("pending").alias("status"), none.alias("reason"), F.to_json(explanation(signals), {"ignoreNullFields": "false"}).alias("match"), none.alias("write_back"), (none if origin is None else origin).alias("origin"))
-    matches = stores.upsert_pending(stored, new, ["person_id", "row_key"])
-    missing = notices.join(held, "person_id", "left_anti").groupBy("person_id").agg(F.count("*").alias("n")).select("person_id", F.lit("no_candidate").alias("kind"), none.alias("portal"), "n")
-    failed = coverage.where("status = 'failed'").join(held, "person_id", "left_semi").select("person_id", F.lit("portal_failed").alias("kind"), "portal", F.lit(1).cast("long").alias("n"))
+    account = F.to_json(explanation(signals), {"ignoreNullFields": "false"})
+    new = scored.select(*key, "row_key", "url", F.lit("pending").alias("status"), none.alias("reason"), account.alias("match"), none.alias("write_back"), (none if origin is None else origin).alias("origin"))
+    matches = stores.upsert_pending(stored, new, [*key, "row_key"])
+    missing = notices.join(held, key, "left_anti").groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.lit("no_candidate").alias("kind"), none.alias("portal"), "n")
+    failed = coverage.where("status = 'failed'").join(held, key, "left_semi").select(*key, F.lit("portal_failed").alias("kind"), "portal", F.lit(1).cast("long").alias("n"))
     warnings = missing.union(failed)
-    decided = stored.where(F.col("status").isin(*stores.TERMINAL)).select("person_id", "row_key")
+    decided = stored.where(F.col("status").isin(*stores.TERMINAL)).select(*key, "row_key")
+    stored_keys = last.select(*key, "row_key").join(held, key, "left_semi").join(decided, [*key, "row_key"], "left_anti")
     count = lambda df, name: df.agg(F.count("*").alias(name))
     counters = count(notices, "notices_read")
-    for df, name in ((held, "candidates_found"), (new.select("person_id", "row_key").join(decided, ["person_id", "row_key"], "left_anti"), "matches_stored"), (warnings, "warnings")):
+    for df, name in ((held, "candidates_found"), (stored_keys, "matches_stored"), (warnings, "warnings")):
         counters = counters.crossJoin(count(df, name))  # one row each
-    return Ingested(scored, matches, warnings, counters)
+    return Ingested(scored, matches, warnings, counters, stored_keys)

@@ -61,11 +61,11 @@ def entries(queued: DataFrame, claimed: DataFrame) -> DataFrame:
     return rows.where(F.col("job_id").rlike(SAFE_JOB_ID))
 
 
-def take(ledger: DataFrame, fetched: DataFrame, now: int, limit: int, known_trees: DataFrame, only_tree: int | None = None) -> DataFrame:
+def take(ledger: DataFrame, fetched: DataFrame, now: int, limit: int | None, known_trees: DataFrame, only_tree: int | None = None) -> DataFrame:
     """The jobs a drain deals with, and how: ledger (job_id, tree_id, claimed_at) met by fetched (job_id, route: completed, failed, retry).
 
     Queued jobs and those with a stale claim are up, by id. The limit counts each that has an answer, good or bad; below 1
-    none is taken. Jobs without an answer, or one that is not done (retry), stay and are not counted. action: failed (a bad answer),
+    none is taken, without one all are. Jobs without an answer, or one that is not done (retry), stay and are not counted. action: failed (a bad answer),
     unknown_tree, release (another tree than the drain's: back to the others), else ingest.
     """
     columns = ["job_id", "tree_id", "action"]
@@ -75,7 +75,8 @@ def take(ledger: DataFrame, fetched: DataFrame, now: int, limit: int, known_tree
     rows = free.join(answered, "job_id").join(trees, "tree_id", "left")
     foreign = F.lit(False) if only_tree is None else F.col("tree_id") != only_tree
     action = F.when(F.col("route") == "failed", "failed").when(F.col("__known").isNull(), "unknown_tree").when(foreign, "release").otherwise("ingest")
-    return rows.withColumn("action", action).select(*columns).orderBy("job_id").limit(max(0, limit))
+    rows = rows.withColumn("action", action).select(*columns)
+    return rows if limit is None else rows.orderBy("job_id").limit(max(0, limit))
 
 
 def summary(taken: DataFrame, ledger: DataFrame, now: int) -> DataFrame:

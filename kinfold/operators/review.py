@@ -32,10 +32,10 @@ def in_age_window(latest_birth_year: Column, ref_year: int, min_age: int, max_ag
 
 
 def searchable(name: Column) -> Column:
-    """Whether any part of a name struct is not blank."""
+    """Whether any part of a name struct is not blank: given names, surname, birth surname, married surnames or aliases."""
     full = lambda c: F.coalesce(T.trim(c) != "", F.lit(False))
     many = lambda c: F.coalesce(F.exists(c, full), F.lit(False))
-    return many(name["given_names"]) | full(name["surname"]) | full(name["birth_surname"]) | many(name["married_surnames"])
+    return many(name["given_names"]) | full(name["surname"]) | full(name["birth_surname"]) | many(name["married_surnames"]) | many(name["aliases"])
 
 
 def strict_int(c: Column, low: int, high: int, default: int) -> Column:

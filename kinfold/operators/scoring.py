@@ -41,8 +41,9 @@ def signal(score: Column, most: int, *reasons: Column) -> Column:
 def name_keys(name: Column) -> dict[str, Column]:
     """Normalised parts of a name struct given_names, surname, birth_surname, married_surnames."""
     norm = lambda a: F.filter(F.transform(a, T.normalize), lambda x: x != "")
+    given = F.transform(F.coalesce(name["given_names"], F.array().cast("array<string>")), T.normalize)
     return {
-        "given": F.transform(F.coalesce(name["given_names"], F.array().cast("array<string>")), T.normalize),
+        "given": given,
         "surname": T.normalize(name["surname"]),
         "born": T.normalize(name["birth_surname"]),
         "married": norm(F.coalesce(name["married_surnames"], F.array().cast("array<string>"))),
@@ -54,13 +55,14 @@ def with_keys(df: DataFrame, name: str, prefix: str) -> DataFrame:
     df = df.withColumns({f"{prefix}_{k}": c for k, c in name_keys(F.col(name)).items()})
     own = F.when(F.col(f"{prefix}_born") != "", F.col(f"{prefix}_born")).otherwise(F.col(f"{prefix}_surname"))
     df = df.withColumn(f"{prefix}_birth_name", own)
+    df = df.withColumn(f"{prefix}_clusters", F.array_compact(F.transform(F.col(f"{prefix}_given"), T.cluster)))
     return df.withColumns({f"{prefix}_code": T.phonetic(F.col(f"{prefix}_surname")), f"{prefix}_birth_code": T.phonetic(F.col(f"{prefix}_birth_name"))})
 
 
 def name_score(cfg: ScoreConfig, c: str = "c", n: str = "n") -> Column:
     col = lambda side, k: F.col(f"{side}_{k}")
     exact = F.exists(col(c, "given"), lambda x: (x != "") & F.array_contains(col(n, "given"), x))
-    variant = F.exists(col(c, "given"), lambda x: F.exists(col(n, "given"), lambda y: T.related(x, y)))
+    variant = F.arrays_overlap(col(c, "clusters"), col(n, "clusters"))  # equal names are exact
     given = F.when(exact, 10).when(variant, 8).otherwise(0)
     birth, born, surname = col(c, "birth_name"), col(n, "born"), col(n, "surname")
     by_born = (born != "") & (born == birth)
@@ -180,25 +182,33 @@ def words_of(c: Column) -> Column:
     return _words(T.normalize(c))
 
 
-def conflicts(cfg: ScoreConfig, birth: Column, death: Column, notice_birth: Column, notice_death: Column) -> Column:
-    """Struct penalty, hard, reasons: what speaks against the pair."""
-    apart = lambda a, b: D.known(a) & D.known(b) & ~D.overlaps(a, b)
-    young = F.coalesce(D.first_year(notice_death) - D.last_year(birth) < cfg.min_age, F.lit(False))
-    old = F.coalesce(D.last_year(notice_death) - D.first_year(birth) > cfg.max_age, F.lit(False))
+def conflict_tests(cfg: ScoreConfig, birth: Column, death: Column, notice_birth: Column, notice_death: Column) -> dict[str, Column]:
+    """What conflicts() asks of a pair; as columns of a stage of their own each is worked out once."""
+    apart = lambda a, b: F.coalesce(D.known(a) & D.known(b) & ~D.overlaps(a, b), F.lit(False))
     odd = lambda a, b: F.coalesce((a["status"] == "invalid") | (b["status"] == "invalid"), F.lit(False))
+    return {
+        "births_apart": apart(birth, notice_birth), "deaths_apart": apart(death, notice_death),
+        "too_young": F.coalesce(D.first_year(notice_death) - D.last_year(birth) < cfg.min_age, F.lit(False)), "too_old": F.coalesce(D.last_year(notice_death) - D.first_year(birth) > cfg.max_age, F.lit(False)),
+        "odd_birth": odd(birth, notice_birth), "odd_death": odd(death, notice_death),
+    }
+
+
+def conflicts(cfg: ScoreConfig, birth: Column, death: Column, notice_birth: Column, notice_death: Column, tests: dict[str, Column] | None = None) -> Column:
+    """Struct penalty, hard, n, reasons: what speaks against the pair. tests: of conflict_tests(), where they are columns already."""
+    t = tests or conflict_tests(cfg, birth, death, notice_birth, notice_death)
     year = lambda y: F.coalesce(y.cast("string"), F.lit(""))
-    row = lambda when, field, tree, notice, hard: F.when(when, F.struct(F.lit(field).alias("field"), tree.alias("tree"), notice.alias("notice"), F.lit("hard" if hard else "soft").alias("severity")))
     births, deaths = (D.shown(birth), D.shown(notice_birth)), (D.shown(death), D.shown(notice_death))
-    hard = [
-        (apart(birth, notice_birth), "birth date", *births, 30), (apart(death, notice_death), "death date", *deaths, 30),
-        (young, "age", year(D.last_year(birth)), year(D.first_year(notice_death)), 20), (old, "age", year(D.first_year(birth)), year(D.last_year(notice_death)), 20),
+    rules = [
+        ("births_apart", "birth date", *births, 30), ("deaths_apart", "death date", *deaths, 30),
+        ("too_young", "age", year(D.last_year(birth)), year(D.first_year(notice_death)), 20), ("too_old", "age", year(D.first_year(birth)), year(D.last_year(notice_death)), 20),
+        ("odd_birth", "birth date", *births, 0), ("odd_death", "death date", *deaths, 0),
     ]
-    soft = [(odd(birth, notice_birth), "birth date", *births, 0), (odd(death, notice_death), "death date", *deaths, 0)]
-    total = sum((F.when(w, p).otherwise(0) for w, *_, p in hard), F.lit(0))
-    any_hard = F.lit(False)
-    for w, *_ in hard:
-        any_hard = any_hard | w
-    return F.struct(F.least(total, F.lit(cfg.max_penalty)).alias("penalty"), any_hard.alias("hard"), F.array_compact(F.array(*(row(w, f, a, b, True) for w, f, a, b, _ in hard), *(row(w, f, a, b, False) for w, f, a, b, _ in soft))).alias("reasons"))
+    penalty, hard, n, reasons = F.lit(0), F.lit(False), F.lit(0), []
+    for test, field, tree, notice, points in rules:
+        penalty, n = penalty + F.when(t[test], points).otherwise(0), n + t[test].cast("int")
+        hard = hard | t[test] if points else hard
+        reasons.append(F.when(t[test], F.struct(F.lit(field).alias("field"), tree.alias("tree"), notice.alias("notice"), F.lit("hard" if points else "soft").alias("severity"))))
+    return F.struct(F.least(penalty, F.lit(cfg.max_penalty)).alias("penalty"), hard.alias("hard"), n.alias("n"), F.array_compact(F.array(*reasons)).alias("reasons"))
 
 
 def total(signals: list[Column], conflict: Column) -> Column:
@@ -214,5 +224,8 @@ def score_pairs(pairs: DataFrame, cfg: ScoreConfig) -> DataFrame:
     }
     if cfg.relatives or cfg.age or cfg.cemetery:
         parts |= {"relatives": relative_score(cfg, c("spouses"), c("children"), c("n_relatives")), "age": age_score(cfg, c("birth"), c("n_age"), c("n_death")), "cemetery": cemetery_points(cfg, c("c_home_words"), c("c_region_words"), c("n_grave"))}
-    out = pairs.withColumns({f"s_{k}": v for k, v in parts.items()} | {"conflicts": conflicts(cfg, c("birth"), c("tree_death"), c("n_birth"), c("n_death"))})
+    dates = c("birth"), c("tree_death"), c("n_birth"), c("n_death")
+    tests = conflict_tests(cfg, *dates)
+    staged = pairs.withColumns({f"__{k}": v for k, v in tests.items()})
+    out = staged.withColumns({f"s_{k}": v for k, v in parts.items()} | {"conflicts": conflicts(cfg, *dates, {k: c(f"__{k}") for k in tests})}).drop(*(f"__{k}" for k in tests))
     return out.withColumn("total", total([c(f"s_{k}") for k in parts], c("conflicts")))

@@ -40,10 +40,11 @@ def upsert_pending(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFra
     return both.select(*key, *(F.when(F.coalesce(keep, F.lit(False)), F.col(f"o.{c}")).otherwise(F.lit("pending") if c == "status" else F.col(f"n.{c}")).alias(c) for c in columns))
 
 
-def last_wins(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
-    """One row a key, that of the highest seq; aggregated before the shuffle."""
+def last_wins(rows: DataFrame, key: list[str], seq: str | list[str]) -> DataFrame:
+    """One row a key, that of the highest seq (of several columns: the first that differs decides); aggregated before the shuffle."""
     rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), seq).alias("__last")).select(*key, "__last.*")
+    by = F.col(seq) if isinstance(seq, str) else F.struct(*seq)
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("__last")).select(*key, "__last.*")
 
 
 def search_outcome(coverage: DataFrame, key: list[str], status: str = "status", count: str = "notice_count") -> DataFrame:

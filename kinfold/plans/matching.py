@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators import enqueue, ingest, ranking, scoring, stores, worklist
 from . import queries as Q
 from .queries import FAMILY, GIVEN, pick, table
 
-_fix = lambda e: __import__("re").sub(r"// (\d+)", r"div \1", e)
+_fix = lambda e: re.sub(r"// (\d+)", r"div \1", e)
 
 # ---- people and notices ----
 _G1, _F1, _B1, _M1 = pick(GIVEN, "c_custkey"), pick(FAMILY, "c_custkey"), pick([*FAMILY, None], "c_custkey // 2"), pick([None, *FAMILY], "c_custkey // 6")
@@ -21,10 +23,10 @@ _PLACE = "CASE o_orderkey % 4 WHEN 0 THEN 'Town' || o_custkey % 25 WHEN 1 THEN '
 _CEMETERY = "CASE o_orderkey % 5 WHEN 0 THEN 'Friedhof Town' || o_custkey % 25 || ' Nord' WHEN 1 THEN 'Friedhof-Region' || o_custkey % 5 WHEN 2 THEN ' ' END"
 
 
-def _people(spark: SparkSession, d: str) -> DataFrame:
-    """Some customers (those without a remainder of 8) are not held."""
+def people(spark: SparkSession, d: str) -> DataFrame:
+    """All customers."""
     exprs = [e for e in Q.PAIR if e.rsplit(" AS ")[-1] in ("clo", "chi", "cp", "cs", "gender", "dead")]
-    rows = table(spark, d, "customer").where("c_custkey % 8 > 0").selectExpr("c_custkey", *(_fix(e) for e in (*exprs, f"{_G1} AS g1", f"{_F1} AS f1", f"{_B1} AS b1", f"{_M1} AS m1")))
+    rows = table(spark, d, "customer").selectExpr("c_custkey", *(_fix(e) for e in (*exprs, f"{_G1} AS g1", f"{_F1} AS f1", f"{_B1} AS b1", f"{_M1} AS m1")))
     none, int_ = F.array().cast("array<string>"), F.lit(None).cast("int")
     place = lambda name, region: F.struct(name.alias("name"), region.alias("region"), none.alias("aliases"))
     key = lambda p, n: F.concat(F.lit(p), (F.col("c_custkey") % n).cast("string"))
@@ -36,9 +38,14 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    """Those held: customers without a remainder of 8 are not."""
+    return people(spark, d).where("CAST(person_id AS INT) % 8 > 0")
+
+
 def _notices(spark: SparkSession, d: str) -> DataFrame:
     exprs = [e.replace("c_custkey", "o_custkey") for e in Q.PAIR if e.rsplit(" AS ")[-1] in ("nlo", "nhi", "np", "ns", "dy", "age")]
-    rows = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", *(_fix(e) for e in (*exprs, f"{_G2} AS g2", f"{_F2} AS f2", f"{_B2} AS b2", f"{_PLACE} AS place", f"{_CEMETERY} AS cemetery")))
+    rows = Q.spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey").selectExpr("o_orderkey", "o_custkey", *(_fix(e) for e in (*exprs, f"{_G2} AS g2", f"{_F2} AS f2", f"{_B2} AS b2", f"{_PLACE} AS place", f"{_CEMETERY} AS cemetery")))
     one = lambda n, c: F.struct(F.lit(n).alias("name"), F.lit("x").alias("relation_guess"), F.lit(c).alias("confidence"))
     some = F.when(F.col("o_orderkey") % 3 == 1, F.array(one("Karl Muster", 0.5))).when(F.col("o_orderkey") % 3 == 2, F.array(one("Karl Muster", 1.0), one("Eva Muster", 0.9))).otherwise(F.array().cast("array<struct<name:string,relation_guess:string,confidence:double>>"))
     url, none = F.concat(F.lit("https://a.de/"), (F.col("o_orderkey") % 3).cast("string")), F.lit(None).cast("int")
@@ -51,7 +58,8 @@ def _notices(spark: SparkSession, d: str) -> DataFrame:
 
 
 _norm, _map = Q._sql_norm, Q._sql_map
-_SCORED_SQL = f"""p AS (SELECT {", ".join(Q.PAIR)}, {_G1} AS g1, {_F1} AS f1, {_B1} AS b1, {_M1} AS m1, {_G2} AS g2, {_F2} AS f2, {_B2} AS b2, {_CEMETERY} AS cemetery FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 8 > 0),
+_HELD_SQL = "c_custkey % 8 > 0"
+_SCORED_SQL = f"""p AS (SELECT {", ".join(Q.PAIR)}, {_G1} AS g1, {_F1} AS f1, {_B1} AS b1, {_M1} AS m1, {_G2} AS g2, {_F2} AS f2, {_B2} AS b2, {_CEMETERY} AS cemetery FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_HELD_SQL}),
  k AS (SELECT * REPLACE ({", ".join(f"{_norm(x)} AS {x}" for x in ("g1", "g2", "f1", "f2", "b1", "b2", "m1"))}) FROM p),
  n AS (SELECT *, CASE WHEN b1 <> '' THEN b1 ELSE f1 END AS own FROM k),
  c AS (SELECT *, g1 = g2 AS exact, coalesce({_map("g1", Q._CLUSTER)} = {_map("g2", Q._CLUSTER)}, false) AS variant, b2 <> '' AND b2 = own AS born, m1 <> '' AND f2 = m1 AS married,
@@ -67,14 +75,14 @@ _BAND_SQL = "CASE WHEN total >= 70 AND hard THEN 'possible' WHEN total >= 85 THE
 
 def scr_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every notice against its person by both configurations: the signals of the full one, and both totals."""
-    notices, people = ingest.notice_keys(_notices(spark, d)), ingest.candidate_keys(_people(spark, d))
-    full = ingest.score(notices, people, scoring.ScoreConfig.enriched())
+    notices, held = ingest.notice_keys(_notices(spark, d)), ingest.candidate_keys(people(spark, d))
+    full = ingest.score(notices, held, scoring.ScoreConfig.enriched())
     cfg, c = scoring.ScoreConfig(), F.col
     base = {"name": scoring.name_score(cfg), "birth": scoring.birth_score(cfg, c("birth"), c("n_birth")), "place": scoring.place_points(cfg, c("c_homes"), c("c_regions"), c("c_born_at"), c("n_needle")), "plausibility": c("s_plausibility")}
     return full.select("seq", *(c(f"s_{k}.score").alias(f"s_{k}") for k in ingest.SIGNALS), scoring.total(list(base.values()), c("conflicts")).alias("base"), "total", "band")
 
 
-SCR_PAIRS_SQL = f"""WITH {_SCORED_SQL} SELECT o_orderkey AS seq, CAST(least(35, by_name) AS INT) AS s_name, CAST(least(25, by_birth) AS INT) AS s_birth, CAST(least(10, by_place) AS INT) AS s_place, CAST(by_plausible AS INT) AS s_plausibility,
+SCR_PAIRS_SQL = f"""WITH {_SCORED_SQL.replace(_HELD_SQL, "true")} SELECT o_orderkey AS seq, CAST(least(35, by_name) AS INT) AS s_name, CAST(least(25, by_birth) AS INT) AS s_birth, CAST(least(10, by_place) AS INT) AS s_place, CAST(by_plausible AS INT) AS s_plausibility,
  CAST(by_kin AS INT) AS s_relatives, CAST(by_age AS INT) AS s_age, CAST(by_grave AS INT) AS s_cemetery, base, total, {_BAND_SQL} AS band FROM t"""
 
 
@@ -114,9 +122,9 @@ def _ingested(spark: SparkSession, d: str) -> ingest.Ingested:
 
 def ing_matches(spark: SparkSession, d: str) -> DataFrame:
     """The stored matches after an ingest, with what their accounts say."""
-    get = lambda p: F.get_json_object("match", p)
-    m = _ingested(spark, d).matches
-    return m.select("person_id", "url", "status", "reason", "origin", get("$.score").cast("int").alias("score"), get("$.classification").alias("band"), get("$.hardConflict").alias("hard"), get("$.signals.conflicts.score").cast("int").alias("conflict_score"), get("$.extractedFacts").alias("facts"))
+    said = F.from_json("match", "score int, classification string, hardConflict string, signals struct<conflicts:struct<score:int>>, extractedFacts string")
+    m = _ingested(spark, d).matches.withColumn("m", said)
+    return m.select("person_id", "url", "status", "reason", "origin", "m.score", F.col("m.classification").alias("band"), F.col("m.hardConflict").alias("hard"), F.col("m.signals.conflicts.score").alias("conflict_score"), F.col("m.extractedFacts").alias("facts"))
 
 
 ING_MATCHES_SQL = f"""WITH {_SCORED_SQL},
@@ -157,12 +165,19 @@ WIN_RUNNER_UP_SQL = f"""WITH a AS ({Q.WIN_CLASSIFY_SQL}) SELECT x.c_custkey, x.t
 
 
 # ---- decisions ----
-_EVENTS = "CAST(user_id AS STRING) AS person_id, CAST(event_id % 5 AS STRING) AS row_key, event_id, CASE event_type WHEN 'signup' THEN 'upsert' WHEN 'view' THEN 'uncertain' WHEN 'click' THEN 'confirm' WHEN 'error' THEN 'reject' ELSE 'revert' END AS event, CASE WHEN event_id % 3 > 0 THEN 'r' || event_id % 2 END AS reason, 'w' || event_id AS write_back"
+_EVENTS = [
+    "CAST(user_id AS STRING) AS person_id",
+    "CAST(event_id % 5 AS STRING) AS row_key",
+    "event_id",
+    "CASE event_type WHEN 'signup' THEN 'upsert' WHEN 'view' THEN 'uncertain' WHEN 'click' THEN 'confirm' WHEN 'error' THEN 'reject' ELSE 'revert' END AS event",
+    "CASE WHEN event_id % 3 > 0 THEN 'r' || event_id % 2 END AS reason",
+    "'w' || event_id AS write_back",
+]
 
 
 def snk_decide(spark: SparkSession, d: str) -> DataFrame:
     """Matches after a series of decisions, and how many of these were refused, and how many changed nothing."""
-    events = table(spark, d, "events").selectExpr(*(x.strip() for x in __import__("re").split(r", (?=CA|event_id,|'w)", _EVENTS)))
+    events = table(spark, d, "events").selectExpr(*_EVENTS)
     none = F.lit(None).cast("string")
     stored = events.select("person_id", "row_key").distinct().where("row_key in ('0', '1')").select("person_id", "row_key", F.lit("pending").alias("status"), none.alias("reason"), none.alias("write_back"))
     rows = stores.decide(stored, events, ["person_id", "row_key"], ["event_id"])
@@ -174,7 +189,7 @@ _FOLD = """CASE event WHEN 'upsert' THEN CASE WHEN status IN ('confirmed', 'reje
   WHEN 'uncertain' THEN CASE WHEN status IS NULL THEN 'missing' WHEN status IN ('confirmed', 'rejected') THEN 'refused' WHEN status = 'uncertain' AND why IS NOT DISTINCT FROM reason THEN 'unchanged' ELSE 'uncertain' END
   WHEN 'confirm' THEN CASE WHEN status IS NULL THEN 'missing' WHEN status = 'confirmed' THEN 'unchanged' WHEN status = 'rejected' THEN 'refused' ELSE 'confirmed' END
   ELSE CASE WHEN status = 'confirmed' THEN 'reverted' ELSE 'refused' END END"""
-SNK_DECIDE_SQL = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY person_id, row_key ORDER BY event_id) AS i FROM (SELECT {_EVENTS.replace("STRING", "VARCHAR").replace("AS reason", "AS why").replace("AS write_back", "AS wb")} FROM events)),
+SNK_DECIDE_SQL = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY person_id, row_key ORDER BY event_id) AS i FROM (SELECT {", ".join(_EVENTS).replace("STRING", "VARCHAR").replace("AS reason", "AS why").replace("AS write_back", "AS wb")} FROM events)),
  r AS (SELECT DISTINCT person_id, row_key, 0 AS i, CASE WHEN row_key IN ('0', '1') THEN 'pending' END AS status, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS write_back, '' AS outcomes FROM e
   UNION ALL SELECT person_id, row_key, i, CASE WHEN o IN ('stored', 'reverted') THEN 'pending' WHEN o IN ('rejected', 'uncertain', 'confirmed') THEN o ELSE status END, CASE WHEN o IN ('stored', 'reverted') THEN NULL WHEN o IN ('rejected', 'uncertain') THEN why ELSE reason END,
    CASE WHEN o IN ('stored', 'reverted') THEN NULL WHEN o = 'confirmed' THEN wb ELSE write_back END, outcomes || CASE WHEN outcomes = '' THEN '' ELSE ',' END || o
@@ -191,16 +206,18 @@ SNK_REPLAY_SQL = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION
 
 # ---- enqueue ----
 _NOW, _TTL, _LIMIT = 1_000_000, 500_000, 100
-_NAMELESS = "c_custkey % 13 = 0"
+_BLANK = "c_custkey % 13 = 0"
+_NAMELESS = "c_custkey % 26 = 0"  # the other blank ones have an alias
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").selectExpr("c_custkey", *(_fix(e) for e in (f"{_G1} AS g1", f"{_F1} AS f1", f"{_M1} AS m1")))
     none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
     name = F.struct(F.array("g1").alias("given_names"), F.col("f1").alias("surname"), null.alias("birth_surname"), F.array_compact(F.array("m1")).alias("married_surnames"), none.alias("aliases"))
-    blank = F.struct(F.array(F.lit(" ")).alias("given_names"), F.lit("").alias("surname"), null.alias("birth_surname"), none.alias("married_surnames"), none.alias("aliases"))
+    alias = F.when(F.expr(_NAMELESS), none).otherwise(F.array(F.lit(" "), F.lit("Lisl")))
+    blank = F.struct(F.array(F.lit(" ")).alias("given_names"), F.lit("").alias("surname"), null.alias("birth_surname"), none.alias("married_surnames"), alias.alias("aliases"))
     hints = F.array(F.struct(F.concat(F.lit(" q"), F.col("c_custkey").cast("string")).alias("query"), F.lit(0).alias("priority"), F.lit("k").alias("key")), F.struct(F.lit(" ").alias("query"), F.lit(2).alias("priority"), F.lit("k").alias("key")))
-    return rows.select(F.col("c_custkey").cast("string").alias("person_id"), F.when(F.expr(_NAMELESS), blank).otherwise(name).alias("name"), F.concat(F.lit("s"), (F.col("c_custkey") % 3).cast("string")).alias("signature"), hints.alias("hints"))
+    return rows.select(F.col("c_custkey").cast("string").alias("person_id"), F.when(F.expr(_BLANK), blank).otherwise(name).alias("name"), F.concat(F.lit("s"), (F.col("c_custkey") % 3).cast("string")).alias("signature"), hints.alias("hints"))
 
 
 def _memory(spark: SparkSession, d: str) -> DataFrame:
@@ -229,18 +246,18 @@ _STATE_SQL = f"""j AS (SELECT DISTINCT unnest([c_custkey, c_custkey + 7]) AS k F
  f AS (SELECT * FROM a WHERE state = 'eligible' ORDER BY person_id LIMIT {_LIMIT})"""
 ENQ_COUNTS_SQL = f"WITH {_STATE_SQL}, z AS (SELECT CASE WHEN count(*) = {_LIMIT} THEN max(person_id) END AS last FROM f) SELECT count(*) FILTER (state = 'eligible') AS eligible, count(*) FILTER (state = 'skipped') AS skipped, count(*) FILTER (state = 'suppressed') AS suppressed FROM a, z WHERE last IS NULL OR person_id <= last"
 ENQ_REQUESTS_SQL = f"""WITH {_STATE_SQL}, h AS (SELECT o_custkey, list_sort(list(DISTINCT 'h' || o_orderkey % 4 || '.de')) AS hosts FROM orders WHERE {Q._STATUS_SQL.replace("STRING", "VARCHAR")} IN ('pending', 'uncertain') GROUP BY o_custkey)
- SELECT person_id, '{{"personId":"' || person_id || '","names":[{{"kind":"primary","given":"' || g1 || '","surname":"' || f1 || '"}}' || CASE WHEN m1 IS NULL THEN '' ELSE ',{{"kind":"married","surname":"' || m1 || '"}}' END || '],"queryHints":[{{"query":"q' || person_id || '","dedupKey":"k","priority":1}}]'
+ SELECT person_id, '{{"personId":"' || person_id || '","names":[' || CASE WHEN {_BLANK} THEN '{{"kind":"alias","full":"Lisl"}}' ELSE '{{"kind":"primary","given":"' || g1 || '","surname":"' || f1 || '"}}' || CASE WHEN m1 IS NULL THEN '' ELSE ',{{"kind":"married","surname":"' || m1 || '"}}' END END || '],"queryHints":[{{"query":"q' || person_id || '","dedupKey":"k","priority":1}}]'
  || CASE WHEN hosts IS NULL THEN '' ELSE ',"excludedHosts":["' || array_to_string(hosts, '","') || '"]' END || '}}' AS request, CAST(coalesce(len(hosts), 0) AS INT) AS n_hosts FROM f LEFT JOIN h ON o_custkey = c_custkey"""
 
 
 def mem_after(spark: SparkSession, d: str) -> DataFrame:
     """What is remembered of searches in vain once the finds of all finders are known: by person and finder the last."""
-    outcomes = stores.search_outcome(Q._coverage(spark, d).where("portal = 'view'"), ["user_id"]).selectExpr("CAST(user_id AS STRING) AS person_id", "outcome")
+    outcomes = stores.search_outcome(Q._coverage(spark, d), ["user_id"]).selectExpr("CAST(user_id AS STRING) AS person_id", "outcome")
     left = enqueue.forget_found(_memory(spark, d), outcomes)
     return stores.last_wins(left, ["person_id", "finder_id"], "recorded_at")
 
 
-MEM_AFTER_SQL = f"""WITH c AS (SELECT {Q._COVERAGE} FROM events), o AS (SELECT user_id FROM c WHERE portal = 'view' GROUP BY user_id HAVING coalesce(sum(notice_count) FILTER (status = 'ok'), 0) > 0)
+MEM_AFTER_SQL = f"""WITH c AS (SELECT {", ".join(Q._COVERAGE)} FROM events), o AS (SELECT user_id FROM c GROUP BY user_id HAVING coalesce(sum(notice_count) FILTER (status = 'ok'), 0) > 0)
  SELECT CAST(user_id AS VARCHAR) AS person_id, event_type AS finder_id, arg_max('s' || event_id % 3, event_id) AS signature, max(event_id) * 100 AS recorded_at FROM events WHERE user_id NOT IN (SELECT user_id FROM o) GROUP BY ALL"""
 
 

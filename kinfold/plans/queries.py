@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """df dealt by key to as many tasks as a shuffle has: what follows costs far more a row than its move, and a small file would be one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def pick(values: list[str | None], index: str) -> str:
     """SQL for the index-th of values, modulo their number."""
     arms = " ".join(f"WHEN {k} THEN {'NULL' if v is None else repr(v)}" for k, v in enumerate(values))
@@ -52,7 +59,7 @@ PAIR = [
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with date ranges; the join is by key, sides pruned to it."""
-    both = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    both = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey").join(table(spark, d, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     rows = both.selectExpr(*(e.replace(" // 7", " div 7").replace(" // 11", " div 11") for e in PAIR))
     none = F.lit(None).cast("int")
     death = D.date_range(F.col("dy") * 10000 + 601, F.col("dy") * 10000 + 601, "exact", "known")
@@ -79,11 +86,13 @@ def scr_dates(spark: SparkSession, d: str) -> DataFrame:
     """Birth, age and plausibility scores and the conflict penalty of every pair."""
     c = F.col
     wide = scoring.ScoreConfig(age=20)
-    rows = pairs(spark, d).select(
+    dates = c("birth"), c("tree_death"), c("n_birth"), c("n_death")
+    tests = scoring.conflict_tests(wide, *dates)
+    rows = pairs(spark, d).withColumns(tests).select(
         "o_orderkey", "c_custkey", scoring.birth_score(wide, c("birth"), c("n_birth"))["score"].alias("birth_score"), scoring.age_score(wide, c("birth"), c("age"), c("n_death"))["score"].alias("age_score"),
-        scoring.plausibility_score(wide, c("gender"), c("birth"), c("tree_death"), c("n_death"))["score"].alias("plausibility_score"), scoring.conflicts(wide, c("birth"), c("tree_death"), c("n_birth"), c("n_death")).alias("x"),
+        scoring.plausibility_score(wide, c("gender"), c("birth"), c("tree_death"), c("n_death"))["score"].alias("plausibility_score"), scoring.conflicts(wide, *dates, {k: c(k) for k in tests}).alias("x"),
     )
-    return rows.select("o_orderkey", "c_custkey", "birth_score", "age_score", "plausibility_score", F.col("x.penalty").alias("penalty"), F.col("x.hard").alias("hard"), F.size("x.reasons").alias("n_reasons"))
+    return rows.select("o_orderkey", "c_custkey", "birth_score", "age_score", "plausibility_score", F.col("x.penalty").alias("penalty"), F.col("x.hard").alias("hard"), F.col("x.n").alias("n_reasons"))
 
 
 SCR_DATES_SQL = f"""WITH {_PAIR_SQL} SELECT o_orderkey, c_custkey, CAST({_BIRTH} AS INT) AS birth_score, CAST({_AGE} AS INT) AS age_score, CAST({_PLAUSIBLE} AS INT) AS plausibility_score,
@@ -113,7 +122,7 @@ _PEOPLE = [
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
-    fix = lambda e: __import__("re").sub(r"// (\d+)", r"div \1", e)
+    fix = lambda e: re.sub(r"// (\d+)", r"div \1", e)
     return table(spark, d, "part").selectExpr(*(fix(e) for e in _PEOPLE))
 
 
@@ -158,12 +167,14 @@ def str_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOKENS_SQL = "t AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n]+')) AS token FROM documents) WHERE token <> '' GROUP BY token)"
-_WORDS = ", ".join(repr(w) for w in T.TITLES + T.AFFIXES)
-_DOTTED = "|".join(w[:-1] for w in T.TITLES + T.AFFIXES if w.endswith("."))
+# Written out here, not read from the functions under test.
+_WORDS = "'dr.', 'dr', 'prof.', 'prof', 'ing.', 'ing', 'pfarrer', 'dipl.', 'dipl', 'geb.', 'geb', 'geborene', 'gebuertige', 'geburtige', 'verw.', 'verw', 'verh.', 'verh', 'genannt', 'gen.', 'gen'"
+_DOTTED = "dr|prof|ing|dipl|geb|verw|verh|gen"
+_ACCENTED, _PLAIN = "áàâãåÁÀÂÃÅéèêëÉÈÊËíìîïÍÌÎÏóòôõÓÒÔÕúùûÚÙÛçÇñÑ", "aaaaaaaaaaeeeeeeeeiiiiiiiioooooooouuuuuuccnn"
 
 
 def _sql_tidy(c: str, umlauts: dict[str, str]) -> str:
-    c = f"translate({c}, '{''.join(T.ACCENTS.values())}', '{''.join(k * len(v) for k, v in T.ACCENTS.items())}')"
+    c = f"translate({c}, '{_ACCENTED}', '{_PLAIN}')"
     for a, b in umlauts.items():
         c = f"replace({c}, '{a}', '{b}')"
     return f"CASE WHEN lower({c}) IN ({_WORDS}) THEN '' ELSE regexp_replace(lower({c}), '^(?:{_DOTTED})\\.(.)', '\\1') END"
@@ -230,25 +241,32 @@ PRS_DATES_SQL = """WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS k, CAST(year(
 
 
 # ---- coverage, memory, states, candidates ----
-_COVERAGE = "user_id, event_type AS portal, CASE WHEN value < 20 THEN 'skipped' WHEN value < 40 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN value > 90 THEN CAST(floor(value) AS INT) END AS notice_count, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS message, event_id AS seq"
+_COVERAGE = [
+    "user_id",
+    "event_type AS portal",
+    "CASE WHEN value < 20 THEN 'skipped' WHEN value < 40 THEN 'failed' ELSE 'ok' END AS status",
+    "CASE WHEN value > 90 THEN CAST(floor(value) AS INT) END AS notice_count",
+    "CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS message",
+    "event_id AS seq",
+]
 
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").selectExpr(*(x.strip() for x in __import__("re").split(r",(?![^(]*\))", _COVERAGE)))
+    return table(spark, d, "events").selectExpr(*_COVERAGE)
 
 
 def agg_outcome(spark: SparkSession, d: str) -> DataFrame:
     return stores.search_outcome(_coverage(spark, d), ["user_id"])
 
 
-AGG_OUTCOME_SQL = f"WITH c AS (SELECT {_COVERAGE} FROM events) SELECT user_id, CASE WHEN coalesce(sum(notice_count) FILTER (status = 'ok'), 0) > 0 THEN 'found' WHEN bool_or(status = 'failed') THEN 'portal_failed' WHEN bool_or(status = 'ok') THEN 'no_notices' ELSE 'skipped' END AS outcome FROM c GROUP BY user_id"
+AGG_OUTCOME_SQL = f"WITH c AS (SELECT {", ".join(_COVERAGE)} FROM events) SELECT user_id, CASE WHEN coalesce(sum(notice_count) FILTER (status = 'ok'), 0) > 0 THEN 'found' WHEN bool_or(status = 'failed') THEN 'portal_failed' WHEN bool_or(status = 'ok') THEN 'no_notices' ELSE 'skipped' END AS outcome FROM c GROUP BY user_id"
 
 
 def agg_coverage(spark: SparkSession, d: str) -> DataFrame:
     return stores.merge_coverage(_coverage(spark, d), ["user_id"])
 
 
-AGG_COVERAGE_SQL = f"""WITH c AS (SELECT {_COVERAGE} FROM events), g AS (SELECT user_id, portal, bool_or(status = 'ok') AS ok, bool_or(status = 'failed') AS failed, max(notice_count) FILTER (status = 'ok') AS n,
+AGG_COVERAGE_SQL = f"""WITH c AS (SELECT {", ".join(_COVERAGE)} FROM events), g AS (SELECT user_id, portal, bool_or(status = 'ok') AS ok, bool_or(status = 'failed') AS failed, max(notice_count) FILTER (status = 'ok') AS n,
  arg_min(message, seq) FILTER (status = 'failed' AND message IS NOT NULL) AS m FROM c GROUP BY ALL)
  SELECT user_id, portal, CASE WHEN ok THEN 'ok' WHEN failed THEN 'failed' ELSE 'skipped' END AS status, CASE WHEN ok THEN n END AS notice_count, CASE WHEN NOT ok AND failed THEN m END AS message FROM g"""
 
@@ -294,10 +312,13 @@ def agg_worklist_counts(spark: SparkSession, d: str) -> DataFrame:
 AGG_COUNTS_SQL = f"WITH m AS (SELECT {_STATUS_SQL} AS s FROM orders) SELECT count(*) AS total, count(*) FILTER (s IN ('pending', 'uncertain')) AS open, count(*) FILTER (s = 'confirmed') AS confirmed, count(*) FILTER (s = 'rejected') AS rejected, count(*) FILTER (s = 'uncertain') AS uncertain FROM m"
 
 
+def open_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).where("status in ('pending', 'uncertain')")
+
+
 def srt_worklist_page(spark: SparkSession, d: str) -> DataFrame:
     """The second page of open matches, best score first, ties by person and key."""
-    rows = _matches(spark, d).where("status in ('pending', 'uncertain')")
-    return stores.page(rows, [F.desc("score"), F.asc("person_id"), F.asc("o_orderkey")], 2)
+    return stores.page(open_matches(spark, d), [F.desc("score"), F.asc("person_id"), F.asc("o_orderkey")], 2)
 
 
 SRT_PAGE_SQL = f"WITH m AS (SELECT CAST(o_custkey AS VARCHAR) AS person_id, o_orderkey, {_STATUS_SQL} AS status, CAST(floor(o_totalprice / 5000) AS INT) AS score FROM orders) SELECT * FROM m WHERE status IN ('pending', 'uncertain') ORDER BY score DESC, person_id, o_orderkey LIMIT 50 OFFSET 50"

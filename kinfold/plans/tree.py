@@ -25,13 +25,19 @@ def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     return people, names, facts, links
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of two customers of three: one has its call name on a second line, the other none."""
+    record = "concat('0 @I', c_custkey, '@ INDI\\n1 NAME Anna /Alt/\\n', CASE WHEN c_custkey % 3 = 0 THEN concat('2 _RUFNAME  Eva', c_custkey % 4, ' \\n2 _RUFNAME No') ELSE '1 NOTE _RUFNAME no' END) AS record"
+    return table(spark, d, "customer").where("c_custkey % 3 < 2").selectExpr("CAST(c_custkey AS STRING) AS person_id", record)
+
+
 def tree_people(spark: SparkSession, d: str) -> DataFrame:
     """The visible people with names, places and the number of their visible spouses and children."""
-    rows = tree.hydrate(*_tree(spark, d))
+    rows = tree.hydrate(*_tree(spark, d), records=_records(spark, d))
     joined = lambda c: F.array_join(c, ",")
     n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     return rows.select(
-        "person_id", "gender", joined("name.given_names").alias("given"), F.col("name.surname").alias("surname"), F.col("name.birth_surname").alias("born"), joined("name.married_surnames").alias("married"), joined("name.aliases").alias("aliases"),
+        "person_id", "gender", joined("name.given_names").alias("given"), F.col("name.call_name").alias("called"), F.col("name.surname").alias("surname"), F.col("name.birth_surname").alias("born"), joined("name.married_surnames").alias("married"), joined("name.aliases").alias("aliases"),
         F.coalesce(joined(F.col("places.name")), F.lit("")).alias("places"), F.col("birth_place.name").alias("birth_place"), n("spouses").alias("n_spouses"), n("children").alias("n_children"),
     )
 
@@ -42,7 +48,7 @@ _KIN_SQL = """l AS (SELECT c_custkey AS f, unnest([c_custkey, c_custkey + 1, c_c
  q AS (SELECT k.* FROM k JOIN customer ON m = c_custkey WHERE n = 1 AND m % 10 > 0)"""
 TREE_PEOPLE_SQL = f"""WITH {_KIN_SQL}, g AS (SELECT o_custkey, list('P' || o_orderkey % 4 ORDER BY o_orderkey) AS ps FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 4 > 0 GROUP BY o_custkey),
  z AS (SELECT p, count(*) FILTER (r = 'spouse') AS sp, count(*) FILTER (r = 'child') AS ch FROM q GROUP BY p)
- SELECT CAST(c_custkey AS VARCHAR) AS person_id, CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unknown' END AS gender, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'Anna,Eva' || c_custkey % 4 END AS given,
+ SELECT CAST(c_custkey AS VARCHAR) AS person_id, CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unknown' END AS gender, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'Anna,Eva' || c_custkey % 4 END AS given, CASE WHEN c_custkey % 3 = 0 THEN 'Eva' || c_custkey % 4 END AS called,
  CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'Alt' || c_custkey % 9 END AS surname, CASE WHEN c_custkey % 7 > 0 THEN 'Alt' || c_custkey % 9 END AS born, 'Neu,Mehr' || c_custkey % 2 AS married, 'Nele' AS aliases,
  coalesce(array_to_string(ps, ','), '') AS places, ps[1] AS birth_place, CAST(coalesce(sp, 0) AS INT) AS n_spouses, CAST(coalesce(ch, 0) AS INT) AS n_children FROM customer LEFT JOIN g ON o_custkey = c_custkey LEFT JOIN z ON p = c_custkey WHERE c_custkey % 10 > 0"""
 
@@ -92,7 +98,7 @@ TREE_SOURCES_SQL = r"""WITH p AS (SELECT 'S' || lpad(CAST(s_suppkey * CASE WHEN
  SELECT 'h' || n_nationkey AS host, source, CASE WHEN source IS NULL THEN '0 @@ SOUR' || chr(10) || '1 TITL Death notice: h' || n_nationkey || chr(10) || '1 PUBL h' || n_nationkey || chr(10) || '1 REFN portal:h' || n_nationkey END AS new FROM nation LEFT JOIN x ON host = 'h' || n_nationkey"""
 
 # ---- settings and documents ----
-_MORE = """CASE WHEN c_custkey % 5 = 0 THEN 'nonsense' ELSE concat('[{"active":true,"baseUrl":"https://b', c_custkey % 2, '.de/","token":"t"},{"active":"yes","baseUrl":"https://c.de"},7,{"active":true,"baseUrl":"https://a.de//","token":5},{"active":true,"baseUrl":"ftp://d.de"},{"active":true,"baseUrl":"http://u:p@e.de"}]') END"""
+_MORE = """CASE WHEN c_custkey % 5 = 0 THEN 'nonsense' ELSE concat('[{"active":true,"baseUrl":"https://b', c_custkey % 2, '.de/","token":"t"},{"active":"yes","baseUrl":"https://c.de"},7,{"active":true,"baseUrl":"https://a.de//","token":5},{"active":true,"baseUrl":"ftp://d.de"},{"active":true,"baseUrl":"http://u:p@e.de"},{"active":true,"baseUrl":"https://[::1]:8080/x/"},{"active":true,"baseUrl":"https://g.de:99999"},{"active":true,"baseUrl":"https://h.de:65535"}]') END"""
 
 
 def cfg_finders(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +107,8 @@ def cfg_finders(spark: SparkSession, d: str) -> DataFrame:
 
 
 CFG_FINDERS_SQL = """SELECT c_custkey AS owner, 0 AS seq, 'https://a.de' AS key, CAST(NULL AS VARCHAR) AS token FROM customer WHERE c_custkey % 4 > 0
- UNION ALL SELECT c_custkey, 1, 'https://b' || c_custkey % 2 || '.de', 't' FROM customer WHERE c_custkey % 5 > 0 UNION ALL SELECT c_custkey, 4, 'https://a.de', NULL FROM customer WHERE c_custkey % 5 > 0 AND c_custkey % 4 = 0"""
+ UNION ALL SELECT c_custkey, 1, 'https://b' || c_custkey % 2 || '.de', 't' FROM customer WHERE c_custkey % 5 > 0 UNION ALL SELECT c_custkey, 4, 'https://a.de', NULL FROM customer WHERE c_custkey % 5 > 0 AND c_custkey % 4 = 0
+ UNION ALL SELECT c_custkey, 7, 'https://[::1]:8080/x', NULL FROM customer WHERE c_custkey % 5 > 0 UNION ALL SELECT c_custkey, 9, 'https://h.de:65535', NULL FROM customer WHERE c_custkey % 5 > 0"""
 
 _DOC = """concat('{"finderId":', CASE WHEN o_orderkey % 11 = 0 THEN '""' ELSE '"f"' END, ',"retentionSeconds":', CASE WHEN o_orderkey % 13 = 0 THEN '31536001' ELSE '60' END, ',"schemaVersions":', CASE WHEN o_orderkey % 7 = 0 THEN '["1",0]' ELSE '[1,1,2,"3",1001]' END,
  ',"portals":[{"id":"', CASE WHEN o_orderkey % 5 = 0 THEN 'UP' ELSE 'p.1' END, '","country":"', CASE WHEN o_orderkey % 2 = 0 THEN 'DE' ELSE 'de' END, '","regions":["r",1]},7],"finderVersion":5,"features":{"x":true,"y":1}', CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ',"noticeFields":["age","odd","birth"]' ELSE CASE WHEN o_orderkey % 17 = 0 THEN ',"noticeFields":[1]' ELSE ',"noticeFields":[]' END END, '}')"""

@@ -7,6 +7,7 @@ take a default. Bodies are parsed to VARIANT, as a typed reader would turn a num
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,9 +130,12 @@ def _parsed_name(n: Column) -> Column:
     return F.when(is_kind(p, "object") & ((surname != "") | (F.size(given) > 0)), own).otherwise(parsed)
 
 
-def validate(responses: DataFrame, job: str = "job_id", requested: str = "requested_person_ids", body: str = "body") -> Validated:
+def validate(responses: DataFrame, job: str = "job_id", requested: str = "requested_person_ids", body: str = "body", carry: tuple[str, ...] = (), stage: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Validated:
     """Validate one response a row.
 
+    carry: columns of the response that its notices and coverage have, too. stage: what is done with the parsed rows before
+    they are taken apart three ways, such as to persist them.
+
     route is completed; retry (the job is queued or running); or failed, with a reason. A null or unreadable body, one
     that is not an object, and one over the cap fail. A person who was not asked for fails the response. Row by row up to the
     lists, which are exploded after their response is accepted: no shuffle. Null job ids match nothing and fail; repeated
@@ -155,18 +159,18 @@ def validate(responses: DataFrame, job: str = "job_id", requested: str = "reques
     rows = responses.withColumn("__v", F.try_parse_json(F.when(F.octet_length(body) <= BODY_CAP, F.col(body))))
     rows = rows.withColumn("__r", F.coalesce(F.map_entries(results), F.array().cast("array<struct<key:string,value:variant>>"))).withColumn("reason", fault)
     route = F.when(F.col("reason").isNull(), "completed").when(F.col("reason") == "not_done", "retry").otherwise("failed")
-    rows = rows.withColumn("route", route)
-    jobs = rows.drop("__v", "__r", body)
-    held = rows.where("route = 'completed'").select(F.col(job).alias("job_id"), F.explode("__r").alias("e")).select("job_id", F.col("e.key").alias("person_id"), F.col("e.value").alias("r"))
-    listed = held.select("job_id", "person_id", F.posexplode(items(F.col("r"), "notices")).alias("seq", "n")).where(notice_kept(F.col("n")))
+    rows = stage(rows.withColumn("route", route).drop("__v", body))
+    jobs = rows.drop("__r")
+    held = rows.where("route = 'completed'").select(F.col(job).alias("job_id"), *carry, F.explode("__r").alias("e")).select("job_id", *carry, F.col("e.key").alias("person_id"), F.col("e.value").alias("r"))
+    listed = held.select("job_id", *carry, "person_id", F.posexplode(items(F.col("r"), "notices")).alias("seq", "n")).where(notice_kept(F.col("n")))
     n = F.col("n")
     type_ = F.when(string(n, "noticeType").isin(NOTICE_TYPES), string(n, "noticeType")).otherwise("obituary")
     place = lambda name: F.when(T.trim(string(n, name)) != "", string(n, name))
     notices = listed.select(
-        "job_id", "person_id", "seq", type_.alias("notice_type"), string(n, "name").alias("name"), _parsed_name(n).alias("parsed_name"), *(D.parse_date(string(n, f)).alias(c) for f, c in (("birth", "birth"), ("death", "death"), ("funeralDate", "funeral_date"))),
+        "job_id", *carry, "person_id", "seq", type_.alias("notice_type"), string(n, "name").alias("name"), _parsed_name(n).alias("parsed_name"), *(D.parse_date(string(n, f)).alias(c) for f, c in (("birth", "birth"), ("death", "death"), ("funeralDate", "funeral_date"))),
         place("place").alias("place"), place("cemetery").alias("cemetery"), integer(n, "age").alias("age"), _relatives(n).alias("relatives"), string(n, "url").alias("url"), U.row_key(string(n, "url")).alias("row_key"),
         F.coalesce(string(n, "source"), F.lit("")).alias("source"), string(n, "fetchedAt").alias("fetched_at"), F.coalesce(string(n, "disposition"), F.lit("burial")).alias("disposition"),
     )
     e = F.col("c")
-    coverage = held.select("job_id", "person_id", F.posexplode(items(F.col("r"), "coverage")).alias("seq", "c")).select("job_id", "person_id", "seq", string(e, "portal").alias("portal"), string(e, "status").alias("status"), integer(e, "noticeCount").alias("notice_count"), string(e, "message").alias("message"))
+    coverage = held.select("job_id", *carry, "person_id", F.posexplode(items(F.col("r"), "coverage")).alias("seq", "c")).select("job_id", *carry, "person_id", "seq", string(e, "portal").alias("portal"), string(e, "status").alias("status"), integer(e, "noticeCount").alias("notice_count"), string(e, "message").alias("message"))
     return Validated(jobs, notices, coverage)

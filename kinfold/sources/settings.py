@@ -31,9 +31,12 @@ def base_key(url: Column) -> Column:
 
 
 def connectable(url: Column, token: Column) -> Column:
-    """Whether a finder may be reached so: an http or https URL with a host, no credentials and, like the token, no control character."""
+    """Whether a finder may be reached so: an http or https URL with a host (an IPv6 address in brackets), a port up to 65535 if any, no credentials and, like the token, no control character."""
     control = lambda c: F.coalesce(c.rlike(r"[\x00-\x1F\x7F]"), F.lit(False))
-    return F.coalesce(url.rlike(r"^(?i)https?://[^/?#@\s:]+(:\d*)?([/?#]\S*)?\z"), F.lit(False)) & ~control(url) & ~control(token)
+    host = r"^(?i)https?://(?:\[[0-9a-f:.]+\]|[^/?#@\s:\[\]]+)"
+    whole = url.rlike(host + r"(:\d{0,5})?([/?#]\S*)?\z")
+    port = F.coalesce(F.regexp_extract(url, host + r":(\d{1,5})(?:[/?#]|\z)", 1).try_cast("int"), F.lit(0))
+    return F.coalesce(whole & (port <= 65_535), F.lit(False)) & ~control(url) & ~control(token)
 
 
 def finders(config: DataFrame, owner: str = "owner", base: str = "base_url", token: str = "token", more: str = "additional") -> DataFrame:

@@ -41,15 +41,27 @@ def tree_date(raw: Column, ok: Column, y1: Column, m1: Column, d1: Column, y2: C
     )
 
 
-def names(rows: DataFrame) -> DataFrame:
-    """person_id, name of rows person_id, seq, main, type, givn, surn: one main name; _MARNM surnames; given names of other NAMEs as aliases."""
+def names(rows: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """person_id, name of rows person_id, seq, main, type, givn, surn: one main name; _MARNM surnames; given names of other NAMEs as aliases.
+
+    records (person_id, record), if given, say what a person is called; one without any name has that alone.
+    """
     own = lambda c: D.bind(T.trim(F.coalesce(F.col(c), F.lit(""))), lambda x: F.when(x.isin(*UNKNOWN_NAMES), "").otherwise(x))
     rows = rows.select("person_id", "seq", "main", "type", own("givn").alias("givn"), own("surn").alias("surn"))
     inside = lambda when, c: F.transform(F.array_sort(F.collect_list(F.when(when & (F.col(c) != "") & ~F.col("main"), F.struct("seq", c)))), lambda x: x[c])
     main = F.max_by(F.struct("givn", "surn"), F.when(F.col("main"), -F.col("seq")))
     got = rows.groupBy("person_id").agg(main.alias("m"), inside(F.col("type") == "_MARNM", "surn").alias("married_surnames"), inside(F.col("type") == "NAME", "givn").alias("aliases"))
     given = F.filter(F.split(F.coalesce("m.givn", F.lit("")), r"\s+"), lambda g: g != "")
-    return got.select("person_id", F.struct(given.alias("given_names"), F.coalesce("m.surn", F.lit("")).alias("surname"), F.nullif(F.col("m.surn"), F.lit("")).alias("birth_surname"), "married_surnames", "aliases").alias("name"))
+    called = F.lit(None).cast("string")
+    if records is not None:
+        got = got.join(records.select("person_id", call_name(F.col("record")).alias("call_name")).where("call_name is not null"), "person_id", "full_outer")
+        called = F.col("call_name")
+    none = F.array().cast("array<string>")
+    name = F.struct(
+        given.alias("given_names"), called.alias("call_name"), F.coalesce("m.surn", F.lit("")).alias("surname"), F.nullif(F.col("m.surn"), F.lit("")).alias("birth_surname"),
+        F.coalesce("married_surnames", none).alias("married_surnames"), F.coalesce("aliases", none).alias("aliases"),
+    )
+    return got.select("person_id", name.alias("name"))
 
 
 def places(facts: DataFrame) -> DataFrame:
@@ -76,19 +88,27 @@ def relatives(links: DataFrame, people: DataFrame) -> DataFrame:
     return best.join(people.where("visible").select(F.col("person_id").alias("member")), "member").select("person_id", "member", "relation", "seq")
 
 
-def hydrate(people: DataFrame, name_rows: DataFrame, facts: DataFrame, links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def hydrate(people: DataFrame, name_rows: DataFrame, facts: DataFrame, links: DataFrame, ids: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
     """The visible people (person_id, sex, visible, birth, death) as scoring takes them; ids, if given, says whose.
 
-    A person without names has an empty one. Spouses and children carry their own names. All joins are by person.
+    records (person_id, record) say what people are called. A person without names has an empty one. Spouses and children
+    carry their own names. All joins are by person; with ids only the rows of those people and their families are put together.
     """
-    wanted = people if ids is None else people.join(ids.select("person_id").distinct(), "person_id", "left_semi")
+    if ids is not None:
+        ids = ids.select("person_id").distinct()
+        families = links.join(ids, "person_id", "left_semi").select("family_id").distinct()
+        links = links.join(families, "family_id", "left_semi")
+        facts = facts.join(ids, "person_id", "left_semi")
+    wanted = people if ids is None else people.join(ids, "person_id", "left_semi")
     gender = F.when(F.col("sex") == "M", "male").when(F.col("sex") == "F", "female").otherwise("unknown")
-    named = names(name_rows)
+    named = names(name_rows, records)
+    null, none = F.lit("").cast("string"), F.array().cast("array<string>")
+    nobody = F.struct(none.alias("given_names"), F.lit(None).cast("string").alias("call_name"), null.alias("surname"), F.lit(None).cast("string").alias("birth_surname"), none.alias("married_surnames"), none.alias("aliases"))
     kin = relatives(links, people).where("relation <> 'parent'").join(named.withColumnsRenamed({"person_id": "member", "name": "member_name"}), "member", "left")
     member = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col("relation") == r, F.struct("seq", F.col("member").alias("id"), F.col("member_name").alias("name"))))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
     kin = kin.groupBy("person_id").agg(member("spouse").alias("spouses"), member("child").alias("children"))
     rows = wanted.where("visible").select("person_id", gender.alias("gender"), "birth", F.col("death").alias("tree_death"))
-    return rows.join(named, "person_id", "left").join(places(facts), "person_id", "left").join(kin, "person_id", "left")
+    return rows.join(named, "person_id", "left").withColumn("name", F.coalesce("name", nobody)).join(places(facts), "person_id", "left").join(kin, "person_id", "left")
 
 
 def portal_sources(accepted: DataFrame, pending: DataFrame, hosts: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from kinfold.operators import review
 from kinfold.plans import review as plans
 from kinfold.sources.responses import read_bodies, validate
-from kinfold.streaming.drain import drain
 
 SF = "/root/testdata/sf0.001"
 NOTICE = {"name": "Anna Schmidt geb. Becker", "url": "https://a.de/1", "fetchedAt": "2024-03-12T10:00:00Z", "death": "12.03.2024", "age": 86, "relatives": [{"name": "Karl", "relationGuess": "spouse", "confidence": 0.9}, {"name": 3}]}
@@ -58,29 +57,6 @@ def test_bodies(spark, tmp_path):
     assert [r.body for r in read_bodies(spark, str(tmp_path)).collect()] == ['{\n"a": 1}']
 
 
-def test_drain_takes_each_file_once(spark, tmp_path):
-    landing, out = tmp_path / "in", str(tmp_path / "out")
-    landing.mkdir()
-
-    def land(name, rows):
-        (landing / name).write_text("\n".join(json.dumps({"job_id": "j", "tree_id": 1, "requested_person_ids": ["1"], "signature": "s", "finder_id": "f", "received_at": 5, "body": b}) for b in rows))
-
-    def run():
-        drain(spark, str(landing), out, str(tmp_path / "cp")).awaitTermination(60)
-        return {t: spark.read.parquet(f"{out}/{t}") for t in ("jobs", "notices", "memory", "summary")}
-
-    twice = body(results={"1": {"notices": [NOTICE, NOTICE | {"url": "https://a.de/1?utm_source=x", "name": "Last"}], "coverage": [PORTAL]}})
-    land("a.json", [twice, body(state="running"), "["])
-    got = run()
-    assert [(r.name, r.seq) for r in got["notices"].collect()] == [("Last", 1)] and got["memory"].count() == 0
-    assert {r.route for r in got["jobs"].collect()} == {"completed", "retry", "failed"}
-    land("b.json", [one(None, {"noticeCount": 0})])
-    got = run()
-    assert [(r.person_id, r.recorded_at) for r in got["memory"].collect()] == [("1", 5)]
-    assert got["summary"].agg(F.sum("jobs")).first()[0] == 4
-    assert run()["summary"].count() == 2
-
-
 def test_gate_and_signature(spark):
     rows = spark.createDataFrame([(True, True, None, 0), (None, True, "x", 1), (None, None, "2024-02-30", 2), (False, False, "2024-03-12", 3)], "h boolean, t boolean, d string, i int")
     got = rows.orderBy("i").select(review.confirm_gate(F.col("h"), F.col("t"), F.col("d")).alias("g")).collect()
@@ -89,7 +65,7 @@ def test_gate_and_signature(spark):
     s = lambda *p: review.search_signature(F.array(F.lit("Käthe")), F.lit("Weiß"), none.cast("string"), none, F.array(*map(F.lit, p)), none.cast("string"))
     r = spark.range(1).select(s("Bonn", "Köln").alias("a"), s("koeln", "bonn", "Bonn").alias("b"), s("Bonn").alias("c"), review.search_signature(none.cast("array<string>"), F.lit(""), F.lit(""), none, none.cast("array<string>"), F.lit("")).alias("e")).first()
     assert r.a == r.b != r.c and len(r.e) == 64
-    name = F.struct(F.array(F.lit(" ")).alias("given_names"), F.lit("").alias("surname"), none.cast("string").alias("birth_surname"), none.cast("array<string>").alias("married_surnames"))
+    name = F.struct(F.array(F.lit(" ")).alias("given_names"), F.lit("").alias("surname"), none.cast("string").alias("birth_surname"), none.cast("array<string>").alias("married_surnames"), F.array(F.lit(" "), none).alias("aliases"))
     assert spark.range(1).select(review.searchable(name).alias("x")).first().x is False
 
 
