@@ -322,18 +322,27 @@ class Picture:
         block |= bits.reshape(n, 64)  # the first bit of a block is the code, 0
         return True
 
-    def rgb(self) -> np.ndarray:
-        """The full-resolution picture, height x width x 3. Fixed-point throughout: equal coefficients give equal bytes."""
+    def planes(self) -> list[np.ndarray]:
+        """The samples of each component at full resolution. Fixed-point throughout: equal coefficients give equal samples."""
         planes = []
         for c, (h, v, q) in self.comps.items():
             rows, cols, _ = self.coef[c].shape
-            x = np.empty((rows * cols, 64), np.float32)
-            x[:, ZIGZAG] = self.coef[c].reshape(-1, 64) if (self.quant[q] == 1).all() else np.clip(self.coef[c].reshape(-1, 64) * self.quant[q], -32768, 32767)
-            # Sums of integers under 2 ** 24 for coefficients under 512, so their order does not matter.
-            x = np.floor((x.reshape(-1, 8) @ _BASIS + 8) / 16).reshape(-1, 8, 8).transpose(0, 2, 1)
-            x = np.floor((x.reshape(-1, 8) @ _BASIS + 512) / 1024).reshape(rows, cols, 8, 8)
-            x = np.clip(x + 128, 0, 255).astype(np.int32).transpose(0, 3, 1, 2).reshape(rows * 8, cols * 8)
+            plane = np.empty((rows * cols, 8, 8), np.uint8)
+            coef, quant = self.coef[c].reshape(-1, 64), self.quant[q]
+            for k in range(0, len(coef), BLOCKS):
+                x = np.empty((len(coef[k : k + BLOCKS]), 64))
+                x[:, ZIGZAG] = np.clip(coef[k : k + BLOCKS] * quant, -32768, 32767)
+                # Integers throughout, whose sums stay under 2 ** 53: exact, so their order does not matter. Nothing is rounded before the end.
+                x = (x.reshape(-1, 8) @ _BASIS).reshape(-1, 8, 8).transpose(0, 2, 1)
+                x = (x.reshape(-1, 8) @ _BASIS).reshape(-1, 8, 8)
+                plane[k : k + BLOCKS] = np.clip(np.floor(x * _DOWN + (128 + 0.5)), 0, 255).transpose(0, 2, 1)
+            x = plane.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8).astype(np.int32)
             planes.append(x.repeat(self.v // v, 0).repeat(self.h // h, 1)[: self.height, : self.width])
+        return planes
+
+    def rgb(self) -> np.ndarray:
+        """The full-resolution picture, height x width x 3."""
+        planes = self.planes()
         if len(planes) == 1:
             return np.repeat(planes[0][:, :, None], 3, 2).astype(np.uint8)
         y, cb, cr = planes[0] * 65536 + 32768, planes[1] - 128, planes[2] - 128
@@ -349,7 +358,11 @@ class Picture:
         return x[: len(x) // UNIT * UNIT]
 
 
-_BASIS = np.array([[round(128 * (np.sqrt(0.5) if u == 0 else 1.0) / 2 * np.cos((2 * x + 1) * u * np.pi / 16)) for x in range(8)] for u in range(8)], np.float32)
+#: Rows are frequencies, columns samples: the transform's cosines times 2 ** 15, rounded.
+_BASIS = np.array([[round((1 << 15) * (np.sqrt(0.5) if u == 0 else 1.0) / 2 * np.cos((2 * x + 1) * u * np.pi / 16)) for x in range(8)] for u in range(8)], float)
+_DOWN = 2.0**-30
+#: Blocks that are transformed at once.
+BLOCKS = 1 << 13
 
 
 def pad(data: bytes) -> np.ndarray:

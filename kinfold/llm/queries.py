@@ -51,7 +51,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progressive_jpeg.media_columns(table(spark, sf_dir, "documents"), keep=["doc_id"], tensors=False)
+    # The tensors are computed, stored in their columns and left out of the result alone.
+    return progressive_jpeg.media_columns(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("media", "height", "rgb")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
