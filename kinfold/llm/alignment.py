@@ -25,7 +25,7 @@ from .token_counts import MARK, Encoder
 #: B ids of a stripe (at most 256); links that are packed at once; documents of a chunk (at most 65,536); bytes that are aligned at once.
 STRIPE, LINKS, DOCS, SPAN = 128, 1 << 21, 1 << 15, 1 << 20
 #: Packed rows of a stripe that one task adds up, and links that one task scores.
-SALT_ROWS, SALT_LINKS = 1 << 12, 1 << 23
+SALT_ROWS, SALT_LINKS = 1 << 12, 1 << 20
 _A_BITS = _DOC_BITS = 20
 _PAIRS: dict[tuple[str, str], Pair] = {}
 
@@ -39,6 +39,7 @@ class Pair:
         by_id = {i: t for t, i in self.a._mergeable_ranks.items()} | {i: t.encode() for t, i in self.a._special_tokens.items()}
         self.a_bytes = [by_id.get(i, b"") for i in range(self.a.n_vocab)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(map(sp.id_to_piece, range(sp.vocab_size())))]
+        self.a_table, self.b_table = (np.array([*x, None], object)[:-1] for x in (self.a_bytes, self.b_bytes))
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         # What a token adds to the text of groups: its number and what follows it.
         self.names = np.array([f"{i}{end}".encode() for size, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(size) for end in ends], object)
@@ -57,7 +58,7 @@ class Pair:
         a = self.a.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
         b = self.b.encode(text).astype(np.int64)
         want = b" " + text.encode()
-        same = all(b"".join(map(x.__getitem__, ids.tolist())) == want for x, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        same = all(b"".join(x[ids].tolist()) == want for x, ids in ((self.a_table, a), (self.b_table, b)))
         return (a, b) if same else (none, none)
 
 
@@ -311,7 +312,9 @@ def align_tokens(docs: DataFrame, a_file: str, b_file: str, text: str = "text",
     cells = "stripe int, a binary, b binary, total binary"
     adders = salted.withColumn("salt", salt("adders")).select("stripe", "salt", "a", "b", "total").repartition("stripe", "salt").sortWithinPartitions("stripe").drop("salt")
     some = adders.mapInArrow(frugal(_count(width, types)), cells)
-    counts = some.repartition("stripe").sortWithinPartitions("stripe").mapInArrow(frugal(_count(width, types | {"total": "<i8"})), cells)
+    # A block is much work on few bytes, so tasks are not to be merged by size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = some.repartition(tasks, "stripe").sortWithinPartitions("stripe").mapInArrow(frugal(_count(width, types | {"total": "<i8"})), cells)
     counts = store(counts, "counts")
     copies = counts.join(by_stripe, "stripe").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("stripe", "salt", "a", "b", "total")
     asked = salted.withColumn("salt", salt("salts")).select("chunk", "stripe", "salt", "a", "b", "runs", "docs", "times")
