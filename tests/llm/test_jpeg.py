@@ -175,9 +175,9 @@ def test_reads_all_of_a_progressive_scan(sampling, restart):
 
 
 def assert_transform(p):
-    """Samples within one level of the definition (nearly all equal: halves may round either way), colours within one of their formula."""
+    """Samples are the definition's, rounded (a half may go either way, as the basis has 15 bits), colours within one level of their formula."""
     for got, want in zip(p.planes(), by_definition(p), strict=True):
-        assert np.abs(got - want).max() <= 1 and (got != want).mean() < 0.01
+        assert np.abs(got - want).max() <= 0.5 + 0.01
     planes = [x.astype(float) for x in p.planes()]
     if len(planes) == 1:
         assert (p.rgb() == planes[0][:, :, None]).all()
@@ -196,7 +196,7 @@ def by_definition(p):
         s = np.zeros((rows, cols, 64))
         s[..., pic.ZIGZAG] = p.coef[c] * p.quant[q]
         y = np.einsum("rcvu,vy,ux->rycx", s.reshape(rows, cols, 8, 8), basis, basis).reshape(rows * 8, cols * 8)
-        y = np.clip(np.floor(y + 128.5), 0, 255)
+        y = np.clip(y + 128, 0, 255)
         planes.append(y.repeat(p.v // v, 0).repeat(p.h // h, 1)[: p.height, : p.width])
     return planes
 
