@@ -175,9 +175,10 @@ def test_reads_all_of_a_progressive_scan(sampling, restart):
 
 
 def assert_transform(p):
-    """Samples are the definition's, rounded (a half may go either way, as the basis has 15 bits), colours within one level of their formula."""
-    for got, want in zip(p.planes(), by_definition(p), strict=True):
-        assert np.abs(got - want).max() <= 0.5 + 0.01
+    """Samples are the definition's, rounded, but for what a basis of 15 bits may be off (2 ** -16 of the coefficients' sum); colours within one level of their formula."""
+    for (c, (_, _, q)), got, want in zip(p.comps.items(), p.planes(), by_definition(p), strict=True):
+        off = np.abs(p.coef[c] * p.quant[q]).sum(-1).max() * 2.0**-16
+        assert off < 0.5 and np.abs(got - want).max() <= 0.5 + off
     planes = [x.astype(float) for x in p.planes()]
     if len(planes) == 1:
         assert (p.rgb() == planes[0][:, :, None]).all()
