@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import store
+from .shared import small, store
 
 BLOCK, STEPS, QUERIES = 4096, 8, 512
 
@@ -90,6 +90,28 @@ def nra(q: np.ndarray, own: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int,
     return out
 
 
+#: Bands of a vector's length: four to a doubling of its square.
+BANDS = 4
+#: Pairs of blocks that are sent to all tasks; beyond that they are joined by a shuffle.
+MOST_PAIRS = 1 << 18
+
+
+def ranges_of(counts: dict[int, int], block: int) -> list[tuple[int, int, int, int, float]]:
+    """Ranges of bands, longest vectors first: least band, greatest band, first block, number of blocks, and what no vector of it is longer than.
+
+    Bands of few vectors make a range together, until it has half a block.
+    """
+    out, held, first = [], [], 0
+    for band in sorted(counts, reverse=True):
+        held.append(band)
+        n = sum(counts[b] for b in held)
+        if 2 * n >= block or band == min(counts):
+            blocks = max(1, -(-n // block))
+            out.append((held[-1], held[0], first, blocks, 2.0 ** ((held[0] + 1) / (2 * BANDS)) * (1 + 1e-9)))
+            first, held = first + blocks, []
+    return out
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, row_id: str = "vec_id", vector: str = "embedding", scale: int = 256, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest integer inner product for each row whose id every divides.
 
@@ -97,15 +119,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, row_id: str = "vec_id
     component take no part. Of rows with one id the least vector counts. Only vectors of one length are compared.
     Ties go to smaller ids; where fewer than k rows are there, all are returned; a query with none has no rows. Other
     columns play no part. An empty table gives an empty table.
+
+    Candidates are dealt to blocks by their norm. Queries meet a block of the longest ones first; its k-th scores are floors, and
+    a block goes only to queries whose own norm times its greatest one reaches their floor.
     """
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull() & ~bad)
     rows = rows.select(F.col(row_id).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
     rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    n, m = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
-    cb, qb = max(1, -(-n // block)), max(1, -(-m // block))
-    hashed = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    queries, candidates = rows.where(F.col("id") % every == 0).withColumn("qb", hashed(qb)), rows.withColumn("cb", hashed(cb))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    rows = rows.withColumn("square", square).withColumn("band", F.floor(F.log2(F.greatest("square", F.lit(1.0))) * BANDS).cast("int"))
+    rows = store(rows, "vectors")
+    found = rows.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("m")).collect()  # a row for each fourth of a doubling
+    spans = ranges_of({r.band: r.n for r in found}, block)
+    qb = max(1, -(-sum(r.m for r in found) // block))
+    own_blocks = spans[0][3] if spans else 1
+    hashed = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
+    place = [x for low, high, first, blocks, _ in spans for b in range(low, high + 1) for x in (F.lit(b), F.struct(F.lit(first).alias("first"), F.lit(blocks).alias("blocks")))]
+    at = F.element_at(F.create_map(*place), F.col("band")) if place else F.lit(None).cast("struct<first:int,blocks:int>")
+    queries = rows.where(F.col("id") % every == 0).withColumn("qb", hashed(F.lit(qb)))
+    candidates = rows.withColumn("at", at).withColumn("cb", F.col("at.first") + hashed(F.col("at.blocks"))).select("id", "v", "dim", "cb")
 
     def run(key, left, right):
         dim = key[2].as_py()
@@ -123,15 +156,21 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, row_id: str = "vec_id
         queries = queries.toDF(*queries.columns)  # both sides stem from one table
         return deal(queries).cogroup(deal(candidates)).applyInArrow(run, "query_id long, vec_id long, score long")
 
-    # First block qb of the queries meets block qb mod cb of the candidates, then all others.
-    own_block = F.pmod("qb", F.lit(cb)).cast("int")
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    best = meet(queries.withColumn("cb", own_block).withColumn("floor", F.lit(float("-inf"))), candidates.withColumn("qb", blocks(qb)).where(F.col("cb") == own_block), qb)
-    if cb > 1:
+    # Block qb of the queries meets block qb of the longest candidates (modulo their number), then all others that may qualify.
+    asked = queries.select("id", "v", "dim", "square", "qb").withColumn("floor", F.lit(float("-inf")))
+    own = F.pmod("qb", F.lit(own_blocks)).cast("int")
+    to_first = F.explode(F.filter(F.sequence(F.lit(0), F.lit(qb - 1)), lambda q: F.pmod(q, F.lit(own_blocks)) == F.col("cb")))
+    best = meet(asked.withColumn("cb", own), candidates.where(F.col("cb") < own_blocks).withColumn("qb", to_first), qb)
+    if sum(s[3] for s in spans) > 1:
         best = store(best, "first")
-        floors = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k).select(F.col("query_id").alias("id"), "floor")
-        asked = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        others = F.col("cb") != own_block
-        best = best.union(meet(asked.withColumn("cb", blocks(cb)).where(others), candidates.withColumn("qb", blocks(qb)).where(others), qb * (cb - 1)))
+        floors = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("floor").alias("reached"))
+        asked = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("reached", "floor")).drop("reached")
+        of = F.array(*(F.struct(F.lit(first).alias("first"), F.lit(blocks).alias("blocks"), F.lit(most).alias("most")) for _, _, first, blocks, most in spans))
+        reach = F.filter(of, lambda s: F.sqrt("square") * (1 + 1e-9) * s["most"] >= F.col("floor"))
+        span = F.explode(reach).alias("span")
+        asked = asked.select("*", span).withColumn("cb", F.explode(F.sequence(F.col("span.first"), F.col("span.first") + F.col("span.blocks") - 1))).where(F.col("cb") != own).drop("span")
+        asked = store(asked, "asked")
+        pairs = store(asked.select("qb", "cb").distinct(), "pairs")
+        best = best.union(meet(asked, candidates.join(small(pairs, MOST_PAIRS), "cb"), pairs.count()))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
