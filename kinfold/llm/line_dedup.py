@@ -3,7 +3,7 @@
 Distinct line keys are counted once, dealt into shards by hash, and each shard becomes a minimal perfect hash that
 indexes two compact arrays, fingerprints and counts. Documents send the packed hashes of their lines to the shards and
 probe the arrays there; no row per line is ever joined. A shard holds about SHARD_KEYS keys whatever the input, and
-probes of a shard are salted, so a line that a third of all documents hold spreads over SALTS tasks.
+is copied for every SHARD_PROBES look-ups, so a line that a third of all documents hold spreads over as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import small, store
 from .textbytes import LOWER_TABLE, SPACE, U, frugal, mix
 
-SHARD_KEYS, SALTS, GAMMA, FLUSH = 1 << 16, 8, 2.0, 1 << 18
+SHARD_KEYS, SHARD_PROBES, GAMMA, FLUSH = 1 << 16, 1 << 17, 2.0, 1 << 18
+#: Shards of many look-ups that are sent to all tasks; beyond that they are joined by a shuffle.
+MOST_BROADCAST = 1 << 18
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -130,7 +132,7 @@ def _probes(shards: int):
             rows = [(s, order[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             salt = int(cols[0][0]) + flush
             return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in rows], pa.int64()), pa.array([(salt + s) % SALTS for s, _ in rows], pa.int32()), *(pa.array([x[o].tobytes() for _, o in rows], pa.binary()) for x in (*cols, h[:, 0], h[:, 1]))],
+                [pa.array([s for s, _ in rows], pa.int64()), pa.array([(salt + s) & 0x7FFFFFFF for s, _ in rows], pa.int32()), *(pa.array([x[o].tobytes() for _, o in rows], pa.binary()) for x in (*cols, h[:, 0], h[:, 1]))],
                 schema=_PROBE,
             )
 
@@ -218,9 +220,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, out: tu
     shards = max(16, -(-counted.count() // SHARD_KEYS))
     # The shard is the unsigned remainder of hi, as in _probes.
     unsigned = F.col("hi").cast("decimal(20,0)") + F.when(F.col("hi") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
-    tables = counted.withColumn("shard", (unsigned % F.lit(shards).cast("decimal(20,0)")).cast("long")).groupBy("shard").applyInArrow(_build_shard, "shard long, sizes binary, bits binary, prints binary, counts binary")
-    tables = tables.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = counted.withColumn("shard", (unsigned % F.lit(shards).cast("decimal(20,0)")).cast("long"))
+    # A line is looked up about as often as it has documents; shards of very many look-ups go to several tasks.
+    hot = counted.groupBy("shard").agg(F.ceil(F.sum("n") / SHARD_PROBES).cast("int").alias("salts")).where("salts > 1")
+    hot, salts = small(store(hot, "hot"), MOST_BROADCAST), F.coalesce("salts", F.lit(1))
+    tables = counted.select("hi", "lo", "n", "shard").groupBy("shard").applyInArrow(_build_shard, "shard long, sizes binary, bits binary, prints binary, counts binary")
+    tables = tables.join(hot, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     probes = src.select("__ld_k1", "__ld_k2", text).mapInArrow(frugal(_probes(shards)), "shard long, salt int, k1 binary, k2 binary, line binary, hi binary, lo binary")
+    probes = probes.join(hot, "shard", "left").withColumn("salt", F.pmod("salt", salts)).drop("salts")
     drops = (
         tables.unionByName(probes, allowMissingColumns=True)
         .repartition("shard", "salt")
