@@ -5,8 +5,8 @@ context seen c times with d distinct followers is n / (c + d) if it followed n t
 its probability in the next shorter context, down to a uniform distribution over bytes. As statistics are frozen, the
 code length of every (context, byte) is fixed. A tree holds what its language's rows hold and nothing else: sorted
 arrays of the contexts and of what followed them, at each depth. Texts are scored in groups, each distinct sequence of
-ORDER + 1 bytes once for each language. Training takes at most SAMPLE rows of each language (the smallest by hash), a
-documented bound; it reads nothing else.
+ORDER + 1 bytes once for each language. Training takes at most SAMPLE rows of each language (the smallest by hash), and no
+more of them than its share of TRAIN_BYTES: documented bounds, which bound the model as well, as a byte adds one sequence at most.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import small, store
 from .textbytes import frugal, groups, text_bytes
 
 ORDER, SAMPLE, PIECE = 3, 400, 1 << 18
+#: Bytes of text that all languages together are learned from; picked rows that are sent to all tasks.
+TRAIN_BYTES, MOST_BROADCAST = 1 << 24, 1 << 20
 UNKNOWN = "und"
 
 
@@ -99,22 +102,50 @@ def _grams(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model of all values of lang, from at most sample rows of each (those with the smallest hash of row_id and text).
+def pick(rows: DataFrame, sample: int, train_bytes: int) -> DataFrame:
+    """lang, h of the rows (lang, h, size) to learn from: of each language those of the smallest hashes, at most sample and, but for the first, not more than its share of train_bytes.
+
+    Rows are counted by language; then only hashes under a bound that some four times the sample should be under are looked at, and
+    more where that was too few. So what is ranked of a language does not grow with it.
+    """
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {lang: min(1.0, 4 * sample / n) for lang, n in counts.items()}
+    out, asked, spark = [], sorted(counts), rows.sparkSession
+    budget = max(1, train_bytes // max(1, len(counts)))
+    order = Window.partitionBy("lang").orderBy(F.col("size") > budget, "h")
+    while asked:
+        bounds = spark.createDataFrame([(x, min((1 << 63) - 1, int(share[x] * 2.0**64) - (1 << 63))) for x in asked], "lang string, bound long")
+        near = rows.join(small(bounds, MOST_BROADCAST), "lang").where(F.col("h") <= F.col("bound")).select("lang", "h", "size").distinct()
+        ranked = near.withColumns({"k": F.row_number().over(order), "sum": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+        taken = (F.col("k") <= sample) & ((F.col("k") == 1) | (F.col("sum") <= budget))
+        ranked = store(ranked.withColumn("taken", taken), "ranked")
+        # A language is done if one that fits was left over, or all its rows were looked at.
+        over = {r.lang for r in ranked.where(~F.col("taken") & (F.col("size") <= budget)).select("lang").distinct().collect()}
+        few = [x for x in asked if share[x] < 1 and x not in over]
+        got = ranked.where("taken").select("lang", "h")
+        out.append(got.where(~F.col("lang").isin(few)) if few else got)
+        share |= {x: min(1.0, share[x] * 16) for x in few}
+        asked = few
+    picked = out[0] if out else rows
+    for more in out[1:]:
+        picked = picked.unionAll(more)
+    return picked.select("lang", "h")
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "doc_id", sample: int = SAMPLE, train_bytes: int = TRAIN_BYTES) -> Model:
+    """A model of all values of lang, from rows of each as pick() has them: those with the smallest hash of row_id and text.
 
     Rows with null lang or null or empty text teach nothing, repeated rows (and rows without ids of one text) teach once.
-    Where no row teaches anything the model knows no language. What comes to the driver is the hashes of the sampled rows and
-    the distinct sequences of ORDER + 1 bytes in them, by language.
+    Where no row teaches anything the model knows no language. What comes to the driver is a number for each language and
+    the distinct sequences of ORDER + 1 bytes in the picked rows, by language: train_bytes at most, but for languages whose first
+    text alone is longer than their share.
     """
     rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(row_id, text).alias("h"), F.col(text).alias("text"))
-    # Top rows by (lang, hash) without their texts, limited before the shuffle; then their texts by a small broadcast.
-    top = rows.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample)
-    picked = [tuple(r) for r in top.select("lang", "h").distinct().collect()]
-    if not picked:
+    few = store(pick(rows.select("lang", "h", F.octet_length("text").alias("size")), sample, train_bytes), "few")
+    langs = sorted(r[0] for r in few.select("lang").distinct().collect())
+    if not langs:
         return Model([], *np.zeros((3, 0), np.int64))
-    langs = sorted({r[0] for r in picked})
-    few = docs.sparkSession.createDataFrame(picked, "lang string, h long")
-    texts = rows.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    texts = rows.join(small(few, MOST_BROADCAST), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     got = texts.select("lang", "text").mapInArrow(frugal(_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     index = {x: k for k, x in enumerate(langs)}
     ids = np.array([index[x] for x in got.column("lang").to_pylist()], np.int64)
