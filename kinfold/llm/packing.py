@@ -60,13 +60,19 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, size) for s in range(first, n, size))]
 
 
-def best_two_fit(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
+def fewest(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
+    """The patterns of best_two_fit() with the fewest sequences, of three rules for what an exchange may leave: any room, none, and no exchange at all. The first of equals."""
+    return min((best_two_fit(counts, most) for most in (len(counts) - 1, 0, -1)), key=lambda patterns: sum(times for times, _ in patterns))
+
+
+def best_two_fit(counts: np.ndarray, most_left: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
     """Patterns (times, lengths) that use counts[L] pieces of each length L below len(counts), none longer in sum than len(counts) - 1.
 
     A sequence is filled greedily, each time with the longest piece that fits. Then its shortest piece is taken out and
     two unpacked pieces that fit the gap more tightly are put in, if there are such; of these the pair that leaves the
     least room, and of equals the one with the longest piece. What was done for one sequence is done as often as the
-    pieces last, so the work grows with the number of lengths, not of pieces.
+    pieces last, so the work grows with the number of lengths, not of pieces. most_left: the room that an exchange may
+    leave, any if not given: one that leaves some can take pieces that later sequences need.
     """
     left, size = counts.astype(np.int64).copy(), len(counts) - 1
     out = []
@@ -105,7 +111,7 @@ def best_two_fit(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
                     best = a, b
                     if a + b == gap:
                         break
-            if best:
+            if best and (most_left is None or gap - sum(best) <= most_left):
                 parts.pop()
                 used[last] -= 1
                 for n in best:
@@ -178,7 +184,7 @@ def pack(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, text: st
         sums[first[r.length] + r.salt] = r.n
     before = np.cumsum(sums) - sums
     before -= np.repeat(before[first[:-1]], salts)
-    runs = places(best_two_fit(counts), size)
+    runs = places(fewest(counts), size)
     shared = spark.sparkContext.broadcast((runs, first, before))  # in practice a few runs for each length
     order = Window.partitionBy("length", "salt").orderBy("deal", "id", "piece")
     ranked = dealt.withColumn("k", F.row_number().over(order))

@@ -14,7 +14,7 @@ from test_operators import SCHEMA, SF, TEXTS, words
 
 from tokenizers import Tokenizer
 
-from kinfold.llm import alignment, queries, simhash, whitening
+from kinfold.llm import alignment, language_id, packing, queries, simhash, topk_search, whitening
 
 # ---- whitening ----
 
@@ -303,3 +303,81 @@ def test_packed_links_keep_large_numbers():
     rows = list(alignment.pack_links(keys, "<u2"))
     assert [(r[0], r[1]) for r in rows] == [(0, 600), (1, 256)]
     assert np.frombuffer(rows[0][7], "u1").tolist() == [255, 255, 90] and np.frombuffer(rows[1][4], "<u4").tolist() == [1, 1]
+
+
+# ---- top-k: which blocks are shipped ----
+
+
+def test_topk_ships_what_may_qualify(spark, monkeypatch):
+    """Of vectors with a few long ones, most blocks go to few queries; results are brute force's, and no range loses a vector."""
+    rng = np.random.default_rng(11)
+    v = np.rint(rng.normal(size=(1500, 6)) * (1 + 400 * (rng.random((1500, 1)) < 0.05) * rng.random((1500, 1)))).astype(int)
+    v[:20] = 0
+    kept = {}
+    monkeypatch.setattr(topk_search, "store", lambda df, tag, f=topk_search.store: kept.setdefault(tag, f(df, tag)))
+    df = spark.createDataFrame([(i, (x / 256).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df, k=4, every=5, block=100).collect()
+    want = set()
+    for a in range(0, 1500, 5):
+        s = v @ v[a]
+        order = [i for i in np.lexsort((np.arange(1500), -s)) if i != a][:4]
+        want |= {(a, r + 1, int(i), int(s[i])) for r, i in enumerate(order)}
+    assert {tuple(r) for r in got} == want
+    blocks = kept["asked"].agg({"cb": "max"}).first()[0]
+    assert blocks >= 10 and kept["asked"].count() < 0.5 * 300 * blocks
+    spans = topk_search.ranges_of({-3: 5, 0: 900, 1: 10, 7: 1, 8: 60}, 100)
+    assert [s[:4] for s in spans] == [(8, 8, 0, 1), (0, 7, 1, 10), (-3, -3, 11, 1)] and topk_search.ranges_of({}, 100) == []
+
+
+# ---- packing: exchanges that cost nothing ----
+
+
+def test_exchanges_never_cost_a_sequence():
+    """On skewed, dense and sparse histograms as few sequences as best-fit decreasing needs, or fewer; every piece is used once."""
+    rng = np.random.default_rng(12)
+    sequences = lambda patterns: sum(times for times, _ in patterns)
+    saved = 0
+    for k in range(12):
+        size = int(rng.choice([50, 256, 1024]))
+        lengths = np.minimum(size, 1 + rng.geometric(rng.choice([0.002, 0.01, 0.05]), 3000)) if k % 2 else rng.integers(1, size + 1, 2000)
+        counts = np.bincount(lengths, minlength=size + 1)
+        got = packing.fewest(counts)
+        used = np.zeros(size + 1, np.int64)
+        for times, parts in got:
+            assert sum(parts) <= size
+            for n in parts:
+                used[n] += times
+        assert (used == counts).all()
+        plain = sequences(packing.best_two_fit(counts, -1))
+        assert sequences(got) <= min(plain, sequences(packing.best_two_fit(counts)))
+        saved += plain - sequences(got)
+    assert saved >= 0 and sequences(packing.fewest(np.bincount([7, 6, 3, 2, 2], minlength=11))) == 2
+
+
+# ---- language ID: a bounded sample ----
+
+
+def test_training_rows_are_the_smallest_hashes(spark, monkeypatch):
+    """As a window over all rows would pick them, in few rows looked at; a share of bytes bounds 1,000 languages; long first texts."""
+    rng = np.random.default_rng(13)
+    rows = [(f"l{min(int(x), 40)}", int(h), int(size)) for x, h, size in zip(rng.geometric(0.2, 4000), rng.integers(-(1 << 63), (1 << 63) - 1, 4000), rng.integers(1, 50, 4000), strict=True)]
+    rows += rows[:300] + [("big", k, 10**6) for k in range(3)]
+    df = spark.createDataFrame(rows, "lang string, h long, size int")
+    by = defaultdict(set)
+    for lang, h, size in rows:
+        by[lang].add((size > 2000, h, size))
+    want = set()
+    for lang, found in by.items():
+        total = 0
+        for k, (_, h, size) in enumerate(sorted(found)[:20]):
+            total += size
+            if k == 0 or total <= 2000:
+                want.add((lang, h))
+    assert {tuple(r) for r in language_id.pick(df, 20, 2000 * len(by)).collect()} == want
+    many = spark.createDataFrame([(f"{k % 1000}", k * 7919, 100) for k in range(6000)], "lang string, h long, size int")
+    got = language_id.pick(many, 400, 250_000)
+    assert got.count() == 2000 and got.select("lang").distinct().count() == 1000
+    docs = spark.createDataFrame([(k, f"t{k % 1000} text", f"{k % 1000}") for k in range(3000)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, train_bytes=20_000)
+    assert len(model.langs) == 1000 and sum(len(t.levels[0][0]) for t in model.trees) <= 20_000
+    assert language_id.pick(df.limit(0), 5, 100).collect() == []
