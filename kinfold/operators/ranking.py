@@ -28,7 +28,7 @@ def reasons(total: Column, hard: Column, ambiguous: Column, gap: int = 10) -> Co
 
 
 def classify(scored: DataFrame, notice: str, total: str, hard: str, seq: str, gap: int = 10) -> DataFrame:
-    """scored with rank, band, ambiguous, second: one window over each notice's candidates.
+    """scored with rank, band, ambiguous, second, reasons: one window over each notice's candidates.
 
     The best is the first by total, then seq. The second is the best of the others, without hard conflicts unless the best has one.
     """
@@ -37,7 +37,8 @@ def classify(scored: DataFrame, notice: str, total: str, hard: str, seq: str, ga
     out = out.withColumn("best_hard", F.max(F.when(F.col("rank") == 1, F.col(hard))).over(w))
     out = out.withColumns({"best": F.max(F.when(F.col("rank") == 1, F.col(total))).over(w), "second": F.max(F.when((F.col("rank") > 1) & (F.col("best_hard") | ~F.col(hard)), F.col(total))).over(w)})
     unsure = F.coalesce((F.col("best") >= 55) & (F.col("best") - F.col("second") < gap), F.lit(False))
-    return out.withColumns({"band": capped_band(F.col(total), F.col(hard)), "ambiguous": unsure & (F.col("rank") == 1)}).drop("best_hard", "best")
+    out = out.withColumns({"band": capped_band(F.col(total), F.col(hard)), "ambiguous": unsure & (F.col("rank") == 1)}).drop("best_hard", "best")
+    return out.withColumn("reasons", reasons(F.col(total), F.col(hard), F.col("ambiguous"), gap))
 
 
 def runner_up(ranked: DataFrame, notice: str, person: Column) -> DataFrame:

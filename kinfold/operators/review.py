@@ -120,14 +120,21 @@ def revert_outcome(written: Column, existing: Column, force: Column) -> Column:
 
 
 def search_signature(given: Column, surname: Column, birth_surname: Column, birth_year: Column, places: Column, region: Column) -> Column:
-    """A hash of what a search depends on: equal for equal folded names, year and set of places, whatever the places' order."""
+    """The SHA-256, byte for byte that of the contract, of what a search depends on: equal for equal folded names, year and set of places, whatever the places' order.
+
+    Hashed is JSON with \\/ for a slash and lower-case \\u for what is not ASCII. (Places that all look like numbers are in order of
+    text here, of number there.)
+    """
     fold = lambda c: T.strip(F.coalesce(c, F.lit("")))
     none = F.array().cast("array<string>")
     body = F.struct(
-        F.transform(F.coalesce(given, none), fold).alias("given"), fold(surname).alias("surname"), fold(birth_surname).alias("birthSurname"), F.coalesce(birth_year.cast("string"), F.lit("")).alias("birthYear"),
+        F.transform(F.coalesce(given, none), fold).alias("given"), fold(surname).alias("surname"), fold(birth_surname).alias("birthSurname"), birth_year.cast("int").alias("birthYear"),
         F.array_sort(F.array_distinct(F.transform(F.coalesce(places, none), fold))).alias("places"), fold(region).alias("region"),
     )
-    return F.sha2(F.to_json(body), 256)
+    text = F.replace(F.to_json(body, {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}), F.lit("/"), F.lit("\\/"))
+    # Each piece after an escape (of an even number of backslashes before it) begins with its four digits.
+    parts = F.split(text, r"(?<=(?<!\\)(?:\\\\){0,255})\\u")
+    return F.sha2(F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lower(F.substring(p, 1, 4)), F.substr(p, F.lit(5))))), "\\u"), 256)
 
 
 def claims(jobs: DataFrame, now: int, claimed_at: str = "claimed_at") -> DataFrame:

@@ -86,6 +86,22 @@ SCR_PAIRS_SQL = f"""WITH {_SCORED_SQL.replace(_HELD_SQL, "true")} SELECT o_order
  CAST(by_kin AS INT) AS s_relatives, CAST(by_age AS INT) AS s_age, CAST(by_grave AS INT) AS s_cemetery, base, total, {_BAND_SQL} AS band FROM t"""
 
 
+def win_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Rank, band, ambiguity and the reasons for them of each person's notices by the full score."""
+    full = ingest.score(ingest.notice_keys(_notices(spark, d)), ingest.candidate_keys(people(spark, d)), scoring.ScoreConfig.enriched())
+    rows = ranking.classify(full.select("person_id", "seq", "total", F.col("conflicts.hard").alias("hard")), "person_id", "total", "hard", "seq")
+    return rows.select("person_id", "seq", "total", "rank", "second", "band", "ambiguous", F.array_join("reasons", "; ").alias("reasons"))
+
+
+WIN_PAIRS_SQL = f"""WITH {_SCORED_SQL.replace(_HELD_SQL, "true")},
+ wr AS (SELECT c_custkey, o_orderkey, total, hard, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY total DESC, o_orderkey) AS INT) AS rank FROM t),
+ wb AS (SELECT c_custkey AS k, total AS best, hard AS best_hard FROM wr WHERE rank = 1),
+ wx AS (SELECT k, best, max(total) FILTER (rank > 1 AND (best_hard OR NOT hard)) AS second FROM wb JOIN wr ON k = c_custkey GROUP BY ALL),
+ wy AS (SELECT *, rank = 1 AND coalesce(best >= 55 AND best - second < 10, false) AS ambiguous FROM wr JOIN wx ON k = c_custkey)
+ SELECT CAST(c_custkey AS VARCHAR) AS person_id, o_orderkey AS seq, total, rank, second, {_BAND_SQL} AS band, ambiguous,
+ 'score ' || total || CASE WHEN hard AND total >= 70 THEN '; capped to possible by a hard conflict' ELSE '' END || CASE WHEN ambiguous THEN '; runner-up within 10 points' ELSE '' END AS reasons FROM wy"""
+
+
 def scr_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """The conflicts of every pair, one row each, as they are shown."""
     c = F.col
@@ -310,10 +326,10 @@ STR_HINTS_SQL = f"""WITH p AS (SELECT {", ".join(Q._PEOPLE)} FROM part), y AS (S
  SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY h.k, h.s) - 1 AS INT) AS pos, h.q AS query, h.k AS priority FROM d WHERE n = 1"""
 
 QUERIES = {
-    "scr_pairs": scr_pairs, "scr_conflicts": scr_conflicts, "ing_matches": ing_matches, "ing_counters": ing_counters, "ing_warnings": ing_warnings, "win_runner_up": win_runner_up, "snk_decide": snk_decide,
+    "scr_pairs": scr_pairs, "win_pairs": win_pairs, "scr_conflicts": scr_conflicts, "ing_matches": ing_matches, "ing_counters": ing_counters, "ing_warnings": ing_warnings, "win_runner_up": win_runner_up, "snk_decide": snk_decide,
     "enq_requests": enq_requests, "enq_counts": enq_counts, "mem_after": mem_after, "wrk_rows": wrk_rows, "wrk_tabs": wrk_tabs, "str_family": str_family,
 }
 ORACLE_SQL = {
-    "scr_pairs": SCR_PAIRS_SQL, "scr_conflicts": SCR_CONFLICTS_SQL, "ing_matches": ING_MATCHES_SQL, "ing_counters": ING_COUNTERS_SQL, "ing_warnings": ING_WARNINGS_SQL, "win_runner_up": WIN_RUNNER_UP_SQL, "snk_decide": SNK_DECIDE_SQL,
+    "scr_pairs": SCR_PAIRS_SQL, "win_pairs": WIN_PAIRS_SQL, "scr_conflicts": SCR_CONFLICTS_SQL, "ing_matches": ING_MATCHES_SQL, "ing_counters": ING_COUNTERS_SQL, "ing_warnings": ING_WARNINGS_SQL, "win_runner_up": WIN_RUNNER_UP_SQL, "snk_decide": SNK_DECIDE_SQL,
     "enq_requests": ENQ_REQUESTS_SQL, "enq_counts": ENQ_COUNTS_SQL, "mem_after": MEM_AFTER_SQL, "wrk_rows": WRK_ROWS_SQL, "wrk_tabs": WRK_TABS_SQL, "str_family": STR_FAMILY_SQL, "snk_replay": SNK_REPLAY_SQL, "str_query_hints": STR_HINTS_SQL,
 }

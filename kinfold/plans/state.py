@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import counting, intervals
-from ..sources import documents
+from ..operators import counting, intervals, stores
+from ..sources import bucketed, documents
 from ..sources.folders import scratch
 from ..sources.pages import Pages, write_pages
 from ..streaming import fan_out, searches
 from . import jobs
-from .queries import SRT_PAGE_SQL, open_matches, table
+from .queries import _STATUS_SQL, JN_CANDIDATES_SQL, SRT_PAGE_SQL, open_matches, table
 
 # ---- ranges: an order's is open at its end for one in fifty, a line item's at its begin for one in ninety, and empty for some ----
 _ORDER_RANGE = [
@@ -91,6 +93,25 @@ def src_documents(spark: SparkSession, d: str) -> DataFrame:
 
 SRC_DOCUMENTS_SQL = """SELECT 'P' || s_suppkey % 40 AS person_id, 'k/' || s_suppkey AS row_key, CAST(strlen('{"personId":"P' || s_suppkey % 40 || '","name":"' || s_name || '","nation":' || s_nationkey || '}') AS BIGINT) AS size, s_name AS name, CAST(NULL AS VARCHAR) AS error FROM supplier"""
 
+# ---- bucketed tables ----
+def jn_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of jn_candidates with the number of their undecided matches, from tables bucketed by person: joins and counts without a shuffle."""
+    orders, run = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), uuid.uuid4().hex[:12]
+    made = {
+        "people": table(spark, d, "customer").select("c_custkey", "c_name"),
+        "facts": orders.select("c_custkey", F.year("o_orderdate").alias("born"), ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300_000)).alias("death")),
+        "matches": orders.select("c_custkey", F.expr(_STATUS_SQL).alias("status")),
+    }
+    people, facts, matches = (bucketed.write_bucketed(df, f"kinfold_{t}_{run}", ["c_custkey"], 8) for t, df in made.items())
+    found = stores.select_candidates(people, facts.where("death"), facts, "c_custkey", "born", 2085, 90)
+    n = matches.where("status in ('pending', 'uncertain')").groupBy("c_custkey").agg(F.count("*").alias("n_open"))
+    # Hints keep both sides where they lie: a table that grows must not be sent to all tasks on the strength of its size today.
+    return found.join(n.hint("merge"), "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n_open", F.lit(0)).alias("n_open"))
+
+
+JN_BUCKETED_SQL = f"""WITH a AS ({JN_CANDIDATES_SQL}), n AS (SELECT o_custkey, count(*) AS n FROM orders WHERE {_STATUS_SQL} IN ('pending', 'uncertain') GROUP BY o_custkey)
+ SELECT c_custkey, c_name, coalesce(n, 0) AS n_open FROM a LEFT JOIN n ON o_custkey = c_custkey"""
+
 # ---- remembered searches: half of the events ask, the others are finds and searches in vain ----
 _SEARCH = [
     "CAST(user_id % 3 AS INT) AS tree_id", "CAST(user_id AS STRING) AS person_id", "event_type AS finder_id", "CASE WHEN event_id % 2 = 0 THEN 'ask' WHEN value > 350 THEN 'find' ELSE 'miss' END AS kind",
@@ -120,5 +141,5 @@ AGG_FAN_OUT_SQL = f"""WITH {jobs.TURNS_SQL},
  a AS (SELECT e.finder_id, e.event_id % 13 > 0 AS answered, tree_id = 9 AS unknown, coalesce(c.n, 0) AS n FROM e LEFT JOIN c USING (job_id))
  SELECT finder_id, count(*) FILTER (answered AND NOT unknown) AS ingested, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (answered AND unknown) AS failed, CAST(sum(n) AS BIGINT) AS stored, grouping(finder_id) = 1 AS total FROM a GROUP BY ROLLUP (finder_id)"""
 
-QUERIES = {"jn_overlaps": jn_overlaps, "agg_preview": agg_preview, "src_first": src_first, "src_documents": src_documents, "srt_worklist_deep": srt_worklist_deep, "stm_memory": stm_memory, "agg_fan_out": agg_fan_out}
-ORACLE_SQL = {"jn_overlaps": JN_OVERLAPS_SQL, "agg_preview": AGG_PREVIEW_SQL, "src_first": SRC_FIRST_SQL, "src_documents": SRC_DOCUMENTS_SQL, "srt_worklist_deep": SRT_DEEP_SQL, "stm_memory": STM_MEMORY_SQL, "agg_fan_out": AGG_FAN_OUT_SQL}
+QUERIES = {"jn_overlaps": jn_overlaps, "agg_preview": agg_preview, "src_first": src_first, "src_documents": src_documents, "jn_bucketed": jn_bucketed, "srt_worklist_deep": srt_worklist_deep, "stm_memory": stm_memory, "agg_fan_out": agg_fan_out}
+ORACLE_SQL = {"jn_overlaps": JN_OVERLAPS_SQL, "agg_preview": AGG_PREVIEW_SQL, "src_first": SRC_FIRST_SQL, "src_documents": SRC_DOCUMENTS_SQL, "jn_bucketed": JN_BUCKETED_SQL, "srt_worklist_deep": SRT_DEEP_SQL, "stm_memory": STM_MEMORY_SQL, "agg_fan_out": AGG_FAN_OUT_SQL}

@@ -12,7 +12,7 @@ from kinfold.sources import tree as T
 SF = "/root/testdata/sf0.001"
 STORED = "person_id string, row_key string, url string, status string, reason string, match string, write_back string, origin string"
 ALL = queries.QUERIES | matching.QUERIES | tree.QUERIES
-PERSON = "person_id string, name struct<given_names:array<string>,surname:string,birth_surname:string,married_surnames:array<string>>, gender string, birth struct<lo:int,hi:int,precision:string,status:string,original:string>, birth_place struct<name:string,region:string,aliases:array<string>>, places array<struct<name:string,region:string,aliases:array<string>>>, tree_death struct<lo:int,hi:int,precision:string,status:string,original:string>, spouses array<struct<id:string,name:struct<given_names:array<string>,surname:string>>>, children array<struct<id:string,name:struct<given_names:array<string>,surname:string>>>, signature string"
+PERSON = "person_id string, name struct<given_names:array<string>,surname:string,birth_surname:string,married_surnames:array<string>,aliases:array<string>>, gender string, birth struct<lo:int,hi:int,precision:string,status:string,original:string>, birth_place struct<name:string,region:string,aliases:array<string>>, places array<struct<name:string,region:string,aliases:array<string>>>, tree_death struct<lo:int,hi:int,precision:string,status:string,original:string>, spouses array<struct<id:string,name:struct<given_names:array<string>,surname:string>>>, children array<struct<id:string,name:struct<given_names:array<string>,surname:string>>>, signature string"
 EXACT, UNKNOWN = (19340802, 19340802, "exact", "known", None), (None, None, "open", "unknown", None)
 
 
@@ -24,8 +24,8 @@ def test_query_matches_sql(spark, name):
 def people(spark):
     home = [("Bonn, Rheinland", "Hessen", None)]
     rows = [
-        ("I1", (["Elisabeth"], "Müller", "Schmidt", ["Müller"]), "female", EXACT, None, home, UNKNOWN, [("I2", (["Karl"], "Müller"))], [("I3", (["Eva"], "Müller"))], "s1"),
-        ("I2", (None, None, None, None), None, UNKNOWN, None, None, UNKNOWN, None, None, None),
+        ("I1", (["Elisabeth"], "Müller", "Schmidt", ["Müller"], None), "female", EXACT, None, home, UNKNOWN, [("I2", (["Karl"], "Müller"))], [("I3", (["Eva"], "Müller"))], "s1"),
+        ("I2", (None, None, None, None, None), None, UNKNOWN, None, None, UNKNOWN, None, None, None),
     ]
     return spark.createDataFrame(rows, PERSON)
 

@@ -1,7 +1,9 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
+from kinfold.functions import text as T
 from kinfold.operators import review
 from kinfold.plans import review as plans
 from kinfold.sources.responses import read_bodies, validate
@@ -69,6 +71,18 @@ def test_gate_and_signature(spark):
     assert spark.range(1).select(review.searchable(name).alias("x")).first().x is False
 
 
+def test_signature_bytes(spark):
+    """As a JSON writer that escapes slashes and all but ASCII: slashes, backslashes before a u, letters beyond the first plane, quotes, no year."""
+    rows = [(["Łucja", "a\\\\u00C9x"], "O/Neil", None, 1934, ["Ænes", "b\\\\", "B/c"], "ж𝔘\"\\x01"), ([], "", "", None, [], None)]
+    df = spark.createDataFrame(rows, "g array<string>, s string, b string, y int, p array<string>, r string")
+    strip = lambda c: T.strip(F.col(c))
+    folded = df.select(F.transform("g", T.strip).alias("g"), strip("s").alias("s"), strip("b").alias("b"), "y", F.array_sort(F.array_distinct(F.transform("p", T.strip))).alias("p"), strip("r").alias("r")).collect()
+    got = df.select(review.search_signature(*(F.col(c) for c in "gsbypr")).alias("x")).collect()
+    for r, x in zip(folded, got, strict=True):
+        body = {"given": r.g, "surname": r.s, "birthSurname": r.b, "birthYear": r.y, "places": r.p, "region": r.r}
+        assert x.x == hashlib.sha256(json.dumps(body, separators=(",", ":")).replace("/", "\\/").encode()).hexdigest(), body
+
+
 def test_no_python_in_plans(spark):
     for name in plans.QUERIES:
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

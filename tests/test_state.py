@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
 from test_drain import known, line, notice, responses
 
-from kinfold.operators import counting, intervals
+from kinfold.operators import counting, intervals, stores
 from kinfold.plans import state as plans
-from kinfold.sources import documents
+from kinfold.sources import bucketed, documents, folders
 from kinfold.sources.pages import Pages, write_pages
 from kinfold.streaming import drain as D
 from kinfold.streaming import fan_out, searches
@@ -103,6 +103,23 @@ def test_counts_and_scans_that_stop(spark, tmp_path):
     assert [tuple(counting.preview(spark.range(50), n).first()) for n in (7, 50, 99)] == [(7, True), (50, False), (50, False)]
 
 
+def test_bucketed_joins_move_nothing(spark):
+    """Joins and counts by person of bucketed tables have no exchange; of other numbers of buckets, or none, they are right all the same."""
+    rows = [(i % 40 if i % 9 else None, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "p long, v long")
+    a, b, c = (bucketed.write_bucketed(df, f"bucketed_{n}_{k}", ["p"], n) for k, n in enumerate((4, 4, 3)))
+    df.write.mode("overwrite").option("path", folders.scratch(spark, "flat")).saveAsTable("bucketed_flat")
+    assert bucketed.co_located(spark, ["bucketed_4_0", "bucketed_4_1"]) and not bucketed.co_located(spark, ["bucketed_4_0", "bucketed_3_2"]) and not bucketed.co_located(spark, ["bucketed_4_0", "bucketed_flat"])
+    counted = lambda x, y: x.join(y.groupBy("p").agg(F.count("*").alias("n")).hint("merge"), "p")
+    plan = counted(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan, plan
+    want = Counter((p, v, sum(q == p for q, _ in rows)) for p, v in rows if p is not None)
+    for other in (b, c, spark.table("bucketed_flat")):
+        assert Counter(tuple(r) for r in counted(a, other).collect()) == want
+    deal = stores.select_candidates(a, b.where("v > 150"), b.withColumnRenamed("v", "born"), "p", "born", 300, 100)
+    assert "hashpartitioning" not in deal.hint("merge")._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- documents ----
 
 
