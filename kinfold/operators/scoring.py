@@ -6,6 +6,7 @@ expression in the plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -50,13 +51,13 @@ def name_keys(name: Column) -> dict[str, Column]:
     }
 
 
-def with_keys(df: DataFrame, name: str, prefix: str) -> DataFrame:
-    """df with normalised name columns; computed before the join, once a row of each side."""
+def with_keys(df: DataFrame, name: str, prefix: str, encode: Callable[[Column], Column] = T.phonetic) -> DataFrame:
+    """df with normalised name columns; computed before the join, once a row of each side. encode: the code of a surname's sound, such as registry.encoder() has."""
     df = df.withColumns({f"{prefix}_{k}": c for k, c in name_keys(F.col(name)).items()})
     own = F.when(F.col(f"{prefix}_born") != "", F.col(f"{prefix}_born")).otherwise(F.col(f"{prefix}_surname"))
     df = df.withColumn(f"{prefix}_birth_name", own)
     df = df.withColumn(f"{prefix}_clusters", F.array_compact(F.transform(F.col(f"{prefix}_given"), T.cluster)))
-    return df.withColumns({f"{prefix}_code": T.phonetic(F.col(f"{prefix}_surname")), f"{prefix}_birth_code": T.phonetic(F.col(f"{prefix}_birth_name"))})
+    return df.withColumns({f"{prefix}_code": encode(F.col(f"{prefix}_surname")), f"{prefix}_birth_code": encode(F.col(f"{prefix}_birth_name"))})
 
 
 def name_score(cfg: ScoreConfig, c: str = "c", n: str = "n") -> Column:

@@ -190,7 +190,8 @@ def phn_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("n_forms"))
 
 
-PHN_GROUPS_SQL = f"""WITH {_TOKENS_SQL}, s AS (SELECT regexp_replace(regexp_replace({_sql_tidy('substring(token, 1, 512)', _COARSE)}, '([aou])e', '\\1', 'g'), '[^a-z]', '', 'g') AS s, n FROM t),
+STRIPPED_SQL = f"regexp_replace(regexp_replace({_sql_tidy('substring(token, 1, 512)', _COARSE)}, '([aou])e', '\\1', 'g'), '[^a-z]', '', 'g')"
+PHN_GROUPS_SQL = f"""WITH {_TOKENS_SQL}, s AS (SELECT {STRIPPED_SQL} AS s, n FROM t),
  c AS (SELECT string_split(s, '') AS c, n FROM s),
  k AS (SELECT n, array_to_string(list_transform(CASE WHEN c = [''] THEN [] ELSE c END, lambda x, i: CASE WHEN x IN ('a','e','i','j','o','u','y') THEN '0' WHEN x = 'b' THEN '1' WHEN x = 'p' THEN CASE WHEN c[i + 1] = 'h' THEN '3' ELSE '1' END
   WHEN x IN ('d','t') THEN CASE WHEN c[i + 1] IN ('c','s','z') THEN '8' ELSE '2' END WHEN x IN ('f','v','w') THEN '3' WHEN x IN ('g','k','q') THEN '4'

@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import registry
+from ..functions import text as T
 from ..operators import counting, intervals, stores
 from ..sources import bucketed, documents
 from ..sources.folders import scratch
+from ..sources.forms import Forms
 from ..sources.pages import Pages, write_pages
 from ..streaming import fan_out, searches
 from . import jobs
-from .queries import _STATUS_SQL, JN_CANDIDATES_SQL, SRT_PAGE_SQL, open_matches, table
+from .queries import _STATUS_SQL, _TOKENS_SQL as TOKENS_SQL, JN_CANDIDATES_SQL, PHN_GROUPS_SQL, SRT_PAGE_SQL, STRIPPED_SQL, open_matches, table
 
 # ---- ranges: an order's is open at its end for one in fifty, a line item's at its begin for one in ninety, and empty for some ----
 _ORDER_RANGE = [
@@ -112,6 +115,33 @@ def jn_bucketed(spark: SparkSession, d: str) -> DataFrame:
 JN_BUCKETED_SQL = f"""WITH a AS ({JN_CANDIDATES_SQL}), n AS (SELECT o_custkey, count(*) AS n FROM orders WHERE {_STATUS_SQL} IN ('pending', 'uncertain') GROUP BY o_custkey)
  SELECT c_custkey, c_name, coalesce(n, 0) AS n_open FROM a LEFT JOIN n ON o_custkey = c_custkey"""
 
+# ---- forms of words: each distinct one once, in a dictionary that a second batch only extends; codes by encoders of a name ----
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"[ \t\n]+")).alias("token"))
+    return words.where("token <> ''")
+
+
+def phn_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Words of all documents by phonetic code, through a stored dictionary: the odd documents' words first, then what the even ones add."""
+    forms, words = Forms(spark, scratch(spark, "forms"), {"code": T.phonetic}), _words(spark, d)
+    for odd in (1, 0):
+        forms.extend(words.where(F.col("doc_id") % 2 == odd), "token")
+    counted = words.groupBy("token").agg(F.count("*").alias("n"))
+    return forms.join(counted, "token").groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("n_forms"))
+
+
+def phn_encoders(spark: SparkSession, d: str) -> DataFrame:
+    """Words of all documents by the codes of all encoders, in SQL text."""
+    for name in registry.ENCODERS:
+        registry.register(spark, name)
+    counted = _words(spark, d).groupBy("token").agg(F.count("*").alias("n"))
+    one = lambda name: counted.selectExpr(f"'{name}' AS encoder", f"kinfold_encode_{name}(token) AS code", "n")
+    return one("cologne").union(one("skeleton")).groupBy("encoder", "code").agg(F.sum("n").alias("n"), F.count("*").alias("n_forms"))
+
+
+PHN_ENCODERS_SQL = f"""SELECT 'cologne' AS encoder, * FROM ({PHN_GROUPS_SQL}) UNION ALL
+ SELECT 'skeleton', s[1:1] || regexp_replace(s[2:], '[aeiouy]', '', 'g') AS code, CAST(sum(n) AS BIGINT), count(*) FROM (WITH {TOKENS_SQL} SELECT {STRIPPED_SQL} AS s, n FROM t) GROUP BY 2"""
+
 # ---- remembered searches: half of the events ask, the others are finds and searches in vain ----
 _SEARCH = [
     "CAST(user_id % 3 AS INT) AS tree_id", "CAST(user_id AS STRING) AS person_id", "event_type AS finder_id", "CASE WHEN event_id % 2 = 0 THEN 'ask' WHEN value > 350 THEN 'find' ELSE 'miss' END AS kind",
@@ -141,5 +171,5 @@ AGG_FAN_OUT_SQL = f"""WITH {jobs.TURNS_SQL},
  a AS (SELECT e.finder_id, e.event_id % 13 > 0 AS answered, tree_id = 9 AS unknown, coalesce(c.n, 0) AS n FROM e LEFT JOIN c USING (job_id))
  SELECT finder_id, count(*) FILTER (answered AND NOT unknown) AS ingested, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (answered AND unknown) AS failed, CAST(sum(n) AS BIGINT) AS stored, grouping(finder_id) = 1 AS total FROM a GROUP BY ROLLUP (finder_id)"""
 
-QUERIES = {"jn_overlaps": jn_overlaps, "agg_preview": agg_preview, "src_first": src_first, "src_documents": src_documents, "jn_bucketed": jn_bucketed, "srt_worklist_deep": srt_worklist_deep, "stm_memory": stm_memory, "agg_fan_out": agg_fan_out}
-ORACLE_SQL = {"jn_overlaps": JN_OVERLAPS_SQL, "agg_preview": AGG_PREVIEW_SQL, "src_first": SRC_FIRST_SQL, "src_documents": SRC_DOCUMENTS_SQL, "jn_bucketed": JN_BUCKETED_SQL, "srt_worklist_deep": SRT_DEEP_SQL, "stm_memory": STM_MEMORY_SQL, "agg_fan_out": AGG_FAN_OUT_SQL}
+QUERIES = {"jn_overlaps": jn_overlaps, "agg_preview": agg_preview, "src_first": src_first, "src_documents": src_documents, "jn_bucketed": jn_bucketed, "phn_dictionary": phn_dictionary, "phn_encoders": phn_encoders, "srt_worklist_deep": srt_worklist_deep, "stm_memory": stm_memory, "agg_fan_out": agg_fan_out}
+ORACLE_SQL = {"jn_overlaps": JN_OVERLAPS_SQL, "agg_preview": AGG_PREVIEW_SQL, "src_first": SRC_FIRST_SQL, "src_documents": SRC_DOCUMENTS_SQL, "jn_bucketed": JN_BUCKETED_SQL, "phn_dictionary": PHN_GROUPS_SQL, "phn_encoders": PHN_ENCODERS_SQL, "srt_worklist_deep": SRT_DEEP_SQL, "stm_memory": STM_MEMORY_SQL, "agg_fan_out": AGG_FAN_OUT_SQL}

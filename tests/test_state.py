@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
 from test_drain import known, line, notice, responses
 
-from kinfold.operators import counting, intervals, stores
+from kinfold.functions import registry
+from kinfold.functions import text as T
+from kinfold.operators import counting, intervals, scoring, stores
 from kinfold.plans import state as plans
 from kinfold.sources import bucketed, documents, folders
+from kinfold.sources.forms import Forms
 from kinfold.sources.pages import Pages, write_pages
 from kinfold.streaming import drain as D
 from kinfold.streaming import fan_out, searches
@@ -120,6 +123,34 @@ def test_bucketed_joins_move_nothing(spark):
     assert "hashpartitioning" not in deal.hint("merge")._jdf.queryExecution().executedPlan().toString()
 
 
+# ---- forms and encoders ----
+
+
+def test_forms_are_worked_out_once(spark, tmp_path):
+    forms = Forms(spark, str(tmp_path / "f"), {"code": T.phonetic, "normal": T.normalize})
+    rows = [("Müller",), ("Mueller",), ("Müller",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "name string").repartition(3)
+    assert forms.read().count() == 0 and forms.extend(df, "name") == 3
+    more = df.union(spark.createDataFrame([("Weiß",)], "name string"))
+    assert forms.extend(more, "name") == 1 and forms.extend(more, "name") == 0, "only what is new goes through the expressions"
+    got = forms.join(more, "name").collect()
+    assert Counter((r.name, r.code, r.normal) for r in got) == Counter({("Müller", "657", "mueller"): 2, ("Mueller", "657", "mueller"): 1, (None, None, None): 1, ("", "", ""): 1, ("Weiß", "38", "weiss"): 1})
+
+
+def test_encoders_by_name(spark):
+    """The registered SQL is the column functions' code, its plan has no call left, and another encoder can take its place."""
+    rows = spark.createDataFrame([(x,) for x in ("Müller-Lüdenscheidt", " Dr. Käthe  Weiß", "geb. Schmidt", "Dr.Phil", "Çelik", None, "", "Xaver", "Philipp")], "x string")
+    registry.register(spark, "cologne")
+    got = rows.selectExpr("x", "kinfold_strip(x) AS s", "kinfold_encode(x) AS c").withColumns({"s2": T.strip(F.col("x")), "c2": T.phonetic(F.col("x"))})
+    assert all((r.s, r.c) == (r.s2, r.c2) for r in got.collect())
+    assert "kinfold_encode" not in rows.selectExpr("kinfold_encode(x) AS c")._jdf.queryExecution().optimizedPlan().toString()
+    registry.register(spark, "skeleton")
+    people = spark.createDataFrame([((["Eva"], "Maier", None, None),)], "name struct<given_names:array<string>,surname:string,birth_surname:string,married_surnames:array<string>>")
+    assert scoring.with_keys(people, "name", "c", registry.encoder("skeleton")).first().c_code == "mr" and scoring.with_keys(people, "name", "c").first().c_code == "67"
+    with pytest.raises(ValueError, match="no encoder"):
+        registry.register(spark, "none")
+
+
 # ---- documents ----
 
 
