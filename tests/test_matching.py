@@ -4,6 +4,7 @@ import pytest
 from compare import same_rows
 from pyspark.sql import functions as F
 
+from kinfold.functions import text
 from kinfold.operators import enqueue, ingest, review, scoring, stores, worklist
 from kinfold.plans import matching, queries, tree
 from kinfold.sources import responses, settings
@@ -113,3 +114,28 @@ def test_settings():
 def test_call_name(spark):
     rows = spark.createDataFrame([("0 @I1@ INDI\n1 NAME A /B/\n2 _RUFNAME  Lisa \n2 _RUFNAME Eva",), ("1 NOTE _RUFNAME x",), (None,)], "r string")
     assert [r.c for r in rows.select(T.call_name(F.col("r")).alias("c")).collect()] == ["Lisa", None, None]
+
+
+def test_hydrate_some(spark):
+    """With ids the rows of those people are as without; call names come from records and go into hints, those of relatives as well; one without names has an empty one."""
+    parts, records = tree._tree(spark, SF), tree._records(spark, SF)
+    ids = spark.createDataFrame([("3",), ("4",), ("9",), ("10",), ("3",), ("none",)], "person_id string")
+    pick = lambda df: sorted(map(str, df.select("person_id", "name", "places", "birth_place", "spouses", "children").collect()))
+    some = T.hydrate(*parts, ids=ids, records=records)
+    assert pick(some) == pick(T.hydrate(*parts, records=records).where("person_id in ('3', '4', '9')")) and some.count() == 3  # 10 is not visible
+    rows = {r.person_id: r for r in some.withColumn("hints", text.query_hints(F.col("name"), F.lit("1934"), F.lit("Bonn"))).collect()}
+    assert (rows["3"].name.call_name, rows["4"].name.call_name) == ("Eva3", None) and "Eva3 Alt3" in {h.query for h in rows["3"].hints}
+    assert {m.name.call_name for m in rows["3"].spouses + rows["3"].children} == {None, "Eva2"}
+    people_, names, facts, links = parts
+    bare = T.hydrate(people_, names.where("person_id <> '4'"), facts, links, ids=ids, records=records).where("person_id = '4'").first()
+    assert bare.name.given_names == [] and bare.name.surname == "" and bare.name.aliases == []
+
+
+def test_an_alias_is_searchable_and_urls_have_hosts(spark):
+    name = "struct<given_names:array<string>,surname:string,birth_surname:string,married_surnames:array<string>,aliases:array<string>>"
+    rows = [(([" "], "", None, [], a),) for a in (["Lisl"], [" "], [], None)]
+    got = spark.createDataFrame(rows, f"name {name}").select(review.searchable(F.col("name")).alias("x")).collect()
+    assert [r.x for r in got] == [True, False, False, False]
+    urls = {"https://[::1]:8080/x": True, "http://[fe80::1]": True, "https://host:99999": False, "https://host:65535/": True, "https://host:": True, "https://u@h.de": False, "https://[::1": False, "https:///x": False, "ftp://h.de": False, "HTTPS://h.de?x@y": True, "https://a b.de": False, "https://h.de:12a": False}
+    rows = spark.createDataFrame([(u, None) for u in urls], "u string, t string")
+    assert {r.u: r.ok for r in rows.select("u", settings.connectable(F.col("u"), F.col("t")).alias("ok")).collect()} == urls
