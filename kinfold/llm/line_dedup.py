@@ -22,6 +22,8 @@ from .textbytes import LOWER_TABLE, SPACE, U, frugal, mix
 SHARD_KEYS, SHARD_PROBES, GAMMA, FLUSH = 1 << 16, 1 << 17, 2.0, 1 << 18
 #: Shards of many look-ups that are sent to all tasks; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 1 << 18
+#: Texts that lose lines, and their lines, that are sent to all tasks; beyond either the texts are dealt by key.
+MOST_TEXTS, MOST_LINES = 1 << 19, 1 << 22
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -239,6 +241,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, out: tu
     )
     # A table of its own, so that the join below deals texts by key for itself alone and can split a text of very many copies.
     drops = store(drops, "drops").withColumnsRenamed({"k1": "__ld_k1", "k2": "__ld_k2"})
+    texts_hit, lines_hit = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("__ld_drop")), F.lit(0))).first()
+    # Where few enough texts lose lines these go to the texts; else texts move.
+    drops = F.broadcast(drops) if texts_hit <= MOST_TEXTS and lines_hit <= MOST_LINES else drops.hint("merge")
     kept = [c for c in (keep if keep is not None else docs.columns)]
     both = src.join(drops, ["__ld_k1", "__ld_k2"], "left").select(*kept, F.col(text).alias("__ld_text"), "__ld_drop")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name not in ("__ld_text", "__ld_drop"))

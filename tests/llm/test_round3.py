@@ -14,7 +14,7 @@ from test_operators import SCHEMA, SF, TEXTS, words
 
 from tokenizers import Tokenizer
 
-from kinfold.llm import alignment, language_id, packing, queries, simhash, topk_search, whitening
+from kinfold.llm import alignment, language_id, line_dedup, packing, queries, simhash, topk_search, whitening
 
 # ---- whitening ----
 
@@ -381,3 +381,20 @@ def test_training_rows_are_the_smallest_hashes(spark, monkeypatch):
     model = language_id.train(docs, train_bytes=20_000)
     assert len(model.langs) == 1000 and sum(len(t.levels[0][0]) for t in model.trees) <= 20_000
     assert language_id.pick(df.limit(0), 5, 100).collect() == []
+
+
+# ---- line dedup: texts that lose nothing stay where they are ----
+
+
+def test_texts_move_only_if_many_lose_lines(spark, monkeypatch):
+    """Few texts with dropped lines are sent to the texts; with a lower bound texts are dealt by key; both give the same."""
+    rows = [(k, f"own {k}\nshared" if k < 30 else f"own {k}\n\nother {k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = []
+    for most in (1 << 19, 5):
+        monkeypatch.setattr(line_dedup, "MOST_TEXTS", most)
+        got = line_dedup.dedup_lines(df)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (most > 5, most == 5)
+        found.append(sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()))
+    assert found[0] == found[1] and sum(r[2] for r in found[0]) == 30
