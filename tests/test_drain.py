@@ -3,16 +3,12 @@
 import json
 
 import pytest
-from compare import same_rows
 from pyspark.sql import functions as F
 from test_matching import people
 
-from kinfold.plans import jobs as plans
 from kinfold.sources.keyed import KeyedStore, Table
 from kinfold.streaming import drain as D
 
-SF = "/root/testdata/sf0.001"
-
 
 def notice(url="https://a.de/1", name="Elise Müller geb. Schmidt", **more):
     return {"name": name, "birth": "02.08.1934", "death": "2024-03-09", "url": url, "fetchedAt": "2024-03-12T10:00:00Z", **more}
@@ -169,8 +165,3 @@ def test_keyed_store(spark, tmp_path):
     store.commit({"t": (rest.limit(0), b)})
     assert store.read("t").count() == 20 - rest.count() and store.pointer().marks == {"x": 3, "": 0}
     assert store.pointer().version == 3 and KeyedStore(spark, str(tmp_path / "s"), tables, 99).buckets == 4
-
-
-@pytest.mark.parametrize("name", ["stm_drain"])
-def test_query_matches_sql(spark, name):
-    same_rows(spark, plans.QUERIES[name], plans.ORACLE_SQL[name], SF)
