@@ -31,7 +31,7 @@ _TO = "".join(k * len(v) for k, v in ACCENTS.items())
 
 def trim(c: Column) -> Column:
     """Without blanks, tabs, line ends, NUL and vertical tabs at both ends."""
-    return F.regexp_replace(c, r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\x00\x0b"))
 
 
 def _tidy(folded: Column) -> Column:
@@ -39,7 +39,7 @@ def _tidy(folded: Column) -> Column:
     words = F.array(*(F.lit(w) for w in TITLES + AFFIXES))
     dotted = "|".join(w[:-1] for w in TITLES + AFFIXES if w.endswith("."))
     tokens = F.filter(F.split(F.lower(folded), r"\s+"), lambda t: (t != "") & ~F.array_contains(words, t))
-    tokens = F.transform(tokens, lambda t: F.regexp_replace(t, rf"^(?:{dotted})\.(?=.)", ""))
+    tokens = F.transform(tokens, lambda t: F.when(t.contains("."), F.regexp_replace(t, rf"^(?:{dotted})\.(?=.)", "")).otherwise(t))
     return F.array_join(F.filter(tokens, lambda t: t != ""), " ")
 
 
