@@ -20,14 +20,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null texts and texts without a letter. lang becomes the predicted language."""
+    """Rejects documents in no language: null texts and texts without a letter. lang becomes the predicted language.
+
+    Repeated rows stay, each with the same language; ties go to the first language in order; null ids and null langs play no
+    part but that their rows teach nothing. Where no row teaches a language all documents go. An empty table stays empty.
+    """
     model = language_id.train(docs.where(~held_out()))
     found = language_id.identify(docs.select(*COLUMNS), model)
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that at least 10 documents hold go from every document; no document goes. n_chars follows the text, which may be empty then."""
+    """Lines that at least 10 documents hold go from every document; no document goes. n_chars follows the text, which may be empty then.
+
+    A null text is one empty line and becomes an empty text. Repeated rows are documents each and lose the same lines; null ids, langs and
+    sources stay as they are. An empty table stays empty.
+    """
     out = line_dedup.dedup_lines(docs.select(*COLUMNS), min_docs=10, out=("n_lines", "n_dropped", "text", "kept_sha256"), keep=[c for c in COLUMNS if c != "text"])
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
