@@ -3,6 +3,8 @@
 Bins of a level are twice as wide as those of the one below. A range's own level is the finest whose bins are no narrower
 than it, so it lies in one or two of them. Two ranges meet at the coarser of their levels: the one of that level in its own bins, the
 other lifted to them. They are reported in the first bin that both lie in, once.
+
+Rows that agree in `on` and are few need no bins: each moves once, by `on`, and meets all others of its group.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one side of a bin that one task takes; bins with more are split.
 BIN_ROWS = 1 << 14
+#: Groups that agree in `on` meet without bins if one side has so many rows at most, and neither more than BIN_ROWS.
+WHOLE_ROWS = 256
 #: Split bins that are sent to all tasks; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 1 << 18
 
@@ -58,19 +62,38 @@ def _meet(own: DataFrame, lifted: DataFrame, on: list[str], bin_rows: int) -> Da
     return pairs.where((F.col("__a") <= F.col("__b2")) & (F.col("__a2") <= F.col("__b")) & (F.col("__bin") == first)).select("__row", "__row2")
 
 
+def _crowded(x: DataFrame, y: DataFrame, on: list[str], bin_rows: int) -> DataFrame:
+    """The values of `on` whose rows of both sides are too many to meet whole."""
+    count = lambda rows, name: rows.groupBy(*on).agg(F.count("*").alias(name))
+    sizes = count(x, "__m").join(count(y, "__n").hint("merge"), on)
+    return sizes.where((F.least("__m", "__n") > min(WHOLE_ROWS, bin_rows)) | (F.greatest("__m", "__n") > bin_rows)).select(*on)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, lo: str = "lo", hi: str = "hi", on: list[str] | tuple[str, ...] = (), bin_rows: int = BIN_ROWS) -> DataFrame:
     """l, r: all pairs of rows (as structs) whose closed ranges [lo, hi] of integers overlap, and that agree in `on`.
 
     A null lo or hi is an open end; a range whose hi is below its lo is empty and meets nothing, nor does a row with a null
     in `on`. Repeated rows make pairs each. Other columns, of whatever names, only come along. Empty tables give none.
-    The work is that of an equi-join by (on, level, bin) in which a row stands at most twice for each of the (at most 64)
+    Groups by `on` that are not crowded are an equi-join by `on`, of at most WHOLE_ROWS tests for each row of the larger side.
+    For the others the work is that of an equi-join by (on, level, bin) in which a row stands at most twice for each of the (at most 64)
     levels that the other side has; what meets in a bin is no farther apart than two of its widths.
     """
     ends = left.select(lo, hi).unionAll(right.select(lo, hi)).agg(*(f(c) for f in (F.min, F.max) for c in (lo, hi))).first()
     known = [int(x) for x in ends if x is not None] or [0]
     base, top, on = min(known), max(known), list(on)
     x, y = (_prepared(df, lo, hi, tuple(on), base, top) for df in (left, right))
-    level = F.col("__level")
+    level, whole = F.col("__level"), None
+    if on:
+        few = lambda rows: rows.select("__row", *on)
+        crowded, p, q = _crowded(x, y, on, bin_rows), few(x), few(y)
+        if some := not crowded.isEmpty():
+            p, q, x, y = p.join(crowded, on, "left_anti"), q.join(crowded, on, "left_anti"), x.join(crowded, on, "left_semi"), y.join(crowded, on, "left_semi")
+        end = lambda row, c, open_end: F.coalesce(F.col(row)[c].cast("long"), F.lit(open_end))
+        pairs = p.join(q.withColumnRenamed("__row", "__row2").hint("merge"), on)
+        meet = (end("__row", lo, base) <= end("__row2", hi, top)) & (end("__row2", lo, base) <= end("__row", hi, top))
+        whole = pairs.where(meet).select(F.col("__row").alias("l"), F.col("__row2").alias("r"))
+        if not some:
+            return whole
 
     def lift(rows: DataFrame, levels: list[int], strictly: bool) -> DataFrame:
         at = F.explode(F.filter(F.lit(levels).cast("array<int>"), lambda k: (k > F.col("__level")) if strictly else (k >= F.col("__level"))))
@@ -78,4 +101,4 @@ def overlap_join(left: DataFrame, right: DataFrame, lo: str = "lo", hi: str = "h
 
     one = _meet(_bins(x, level), lift(y, _levels(x), False), on, bin_rows).select(F.col("__row").alias("l"), F.col("__row2").alias("r"))
     two = _meet(_bins(y, level), lift(x, _levels(y), True), on, bin_rows).select(F.col("__row2").alias("l"), F.col("__row").alias("r"))
-    return one.unionAll(two)
+    return one.unionAll(two) if whole is None else one.unionAll(two).unionAll(whole)

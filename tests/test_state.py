@@ -60,6 +60,20 @@ def test_overlaps(spark, bin_rows, keys):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_overlaps_of_few_move_once(spark, monkeypatch):
+    """Small groups meet without bins, so their rows are not multiplied; crowded ones beside them keep theirs."""
+    rng = random.Random(5)
+    a, b = ranges(rng, 90, ["a", "b", "c", None], 900), ranges(rng, 90, ["a", "b", "d"], 64)
+    df = lambda rows: spark.createDataFrame([*rows, (0, 0, 5, "e")], "i int, lo int, hi int, l string")
+    few = intervals.overlap_join(df(a), df(b), on=["l"])
+    assert "Generate" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(intervals, "WHOLE_ROWS", 3)
+    some = intervals.overlap_join(df(a), df(b), on=["l"])
+    assert "Generate" in some._jdf.queryExecution().executedPlan().toString()
+    rows = lambda got: Counter((tuple(r.l), tuple(r.r)) for r in got.collect())
+    assert rows(few) == rows(some) and ((0, 0, 5, "e"),) * 2 in rows(few) and len(rows(few)) > 50
+
+
 def test_overlaps_of_nothing(spark):
     empty = spark.createDataFrame([], "lo long, hi long")
     one = spark.createDataFrame([(None, None)], "lo long, hi long")
