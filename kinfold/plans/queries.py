@@ -12,21 +12,13 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import ranking, scoring, stores
 from . import review as _review
+from .tables import spread, table
 
 CFG = scoring.ScoreConfig()
 GIVEN = ["Elise", "Hans", "Dr. Johann", "Maria", "Käthe", "Lisa", "Wolfgang", "Marie", "Heinz", "Anna"]
 FAMILY = ["Müller", "Meyer", "Maier", "Schmidt", "Schmitt", "Weiß", "Becker", "Mueller"]
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """df dealt by key to as many tasks as a shuffle has: what follows costs far more a row than its move, and a small file would be one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
-
-
 def pick(values: list[str | None], index: str) -> str:
     """SQL for the index-th of values, modulo their number."""
     arms = " ".join(f"WHEN {k} THEN {'NULL' if v is None else repr(v)}" for k, v in enumerate(values))
@@ -123,7 +115,7 @@ _PEOPLE = [
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
     fix = lambda e: re.sub(r"// (\d+)", r"div \1", e)
-    return table(spark, d, "part").selectExpr(*(fix(e) for e in _PEOPLE))
+    return spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr(*(fix(e) for e in _PEOPLE))
 
 
 def scr_name(spark: SparkSession, d: str) -> DataFrame:
