@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..operators import review, worklist
 from ..sources import settings, tree
-from .queries import _STATUS_SQL, table
+from .queries import _STATUS_SQL
+from .tables import spread, table
 
 # ---- people: a customer each; a family of each, with the next one as spouse and the two after that as children ----
 _LINKS = "stack(4, c_custkey, 'spouse', 0, c_custkey + 1, 'spouse', 1, c_custkey + 2, 'child', 2, c_custkey + 3, 'child', 3) AS (p, role, seq)"
@@ -102,7 +103,7 @@ _MORE = """CASE WHEN c_custkey % 5 = 0 THEN 'nonsense' ELSE concat('[{"active":t
 
 
 def cfg_finders(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").selectExpr("c_custkey AS owner", "CASE WHEN c_custkey % 4 = 0 THEN 'https:///x' ELSE 'https://a.de' END AS base_url", "'' AS token", f"{_MORE} AS additional")
+    rows = spread(table(spark, d, "customer").select("c_custkey"), "c_custkey").selectExpr("c_custkey AS owner", "CASE WHEN c_custkey % 4 = 0 THEN 'https:///x' ELSE 'https://a.de' END AS base_url", "'' AS token", f"{_MORE} AS additional")
     return settings.finders(rows).select("owner", "seq", "key", "token")
 
 
