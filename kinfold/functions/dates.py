@@ -32,9 +32,11 @@ def parse_date(c: Column) -> Column:
 
     def parts(s: Column) -> Column:
         number = lambda pattern, k: F.regexp_extract(s, pattern, k).try_cast("int")
+        # Only the patterns that the separators leave are tried.
+        by = lambda dotted, dashed=None, other=None: F.when(s.contains("."), dotted).when(s.contains("-"), dashed).otherwise(other)
         return F.struct(
-            s.alias("s"), F.coalesce(number(german, 3), number(iso, 1), number(month, 2), number(year, 1)).alias("y"),
-            F.coalesce(number(german, 2), number(iso, 2), number(month, 1)).alias("m"), F.coalesce(number(german, 1), number(iso, 3)).alias("d"),
+            s.alias("s"), by(F.coalesce(number(german, 3), number(month, 2)), number(iso, 1), number(year, 1)).alias("y"),
+            by(F.coalesce(number(german, 2), number(month, 1)), number(iso, 2)).alias("m"), by(number(german, 1), number(iso, 3)).alias("d"),
         )
 
     def build(p: Column) -> Column:

@@ -222,7 +222,7 @@ _S = lambda part: f"CAST({part}(o_orderdate) AS {{}})"
 
 def prs_dates(spark: SparkSession, d: str) -> DataFrame:
     text = _DATE_TEXT.format(**{k[0]: _S(k).format("STRING") for k in ("day", "month", "year")})
-    rows = table(spark, d, "orders").selectExpr("o_orderkey", f"{text} AS raw").withColumn("r", D.parse_date(F.col("raw")))
+    rows = spread(table(spark, d, "orders").selectExpr("o_orderkey", f"{text} AS raw"), "o_orderkey").withColumn("r", D.parse_date(F.col("raw")))
     return rows.select("o_orderkey", F.col("r.status").alias("status"), F.col("r.precision").alias("precision"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), D.iso_to_gedcom(F.col("raw")).alias("gedcom"))
 
 

@@ -7,7 +7,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["cfg_finders", "str_query_hints"])
+@pytest.mark.parametrize("name", ["cfg_finders", "prs_dates", "str_query_hints"])
 def test_rows_are_dealt_to_all_tasks(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
