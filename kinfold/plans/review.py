@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import review, stores
 from ..sources import responses
+from .tables import spread, table
 
 FOLDED = ["Elise", "Hans", "Käthe", "Kaethe", "Kathe", "Müller", "Mueller", "Weiß", "Weiss"]
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 # ---- responses: one is derived from each event, with every kind of fault ----
 _BODY = """concat('{"schemaVersion":', CASE WHEN event_id % 11 = 0 THEN '"1"' ELSE '1' END, ',"jobId":"', CASE WHEN event_id % 13 = 0 THEN 'x' ELSE CAST(event_id AS STRING) END,
  '","state":"', CASE event_id % 17 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' WHEN 2 THEN 'lost' ELSE 'done' END, '","results":', CASE WHEN event_id % 23 = 0 THEN '[1]' ELSE concat('{"', CASE WHEN event_id % 5 = 0 THEN '9' ELSE '1' END,
@@ -23,7 +20,8 @@ _BODY = """concat('{"schemaVersion":', CASE WHEN event_id % 11 = 0 THEN '"1"' EL
 
 
 def _responses(spark: SparkSession, d: str) -> responses.Validated:
-    rows = table(spark, d, "events").selectExpr("event_id", "CAST(event_id AS STRING) AS job_id", "array('1') AS requested_person_ids", f"{_BODY} AS body")
+    events = spread(table(spark, d, "events").select("event_id"), "event_id")
+    rows = events.selectExpr("event_id", "CAST(event_id AS STRING) AS job_id", "array('1') AS requested_person_ids", f"{_BODY} AS body")
     return responses.validate(rows)
 
 

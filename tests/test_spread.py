@@ -11,3 +11,10 @@ SF = "/root/testdata/sf0.001"
 def test_rows_are_dealt_to_all_tasks(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_a_body_is_parsed_once(spark):
+    """A filter on the route does not repeat the parse in front of it."""
+    plan = E.queries()["val_notices"](spark, SF)._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("parseJson") == 1
+    assert "REPARTITION_BY_NUM" in plan.executedPlan().toString()
