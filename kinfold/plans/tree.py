@@ -16,13 +16,15 @@ _LINKS = "stack(4, c_custkey, 'spouse', 0, c_custkey + 1, 'spouse', 1, c_custkey
 
 
 def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    customers, none = table(spark, d, "customer"), F.lit(None).cast("int")
+    # Dealt to all tasks by what they are grouped by; a small file would be one task, which has to hold and sort all that its rows become.
+    person = lambda name, key, *more: spread(table(spark, d, name).select(key, *more), F.col(key).cast("string"))
+    customers, none = person("customer", "c_custkey"), F.lit(None).cast("int")
     unknown = D.date_range(none, none, "open", "unknown")
     people = customers.select(F.col("c_custkey").cast("string").alias("person_id"), F.when(F.col("c_custkey") % 3 == 0, "M").when(F.col("c_custkey") % 3 == 1, "F").otherwise("U").alias("sex"), (F.col("c_custkey") % 10 > 0).alias("visible"), unknown.alias("birth"), unknown.alias("death"))
     rows = "stack(5, 1, true, 'NAME', CASE WHEN c_custkey % 6 = 0 THEN '@P.N.' ELSE concat(' Anna  Eva', c_custkey % 4, ' ') END, CASE WHEN c_custkey % 7 = 0 THEN '@N.N.' ELSE concat('Alt', c_custkey % 9) END, 2, false, '_MARNM', 'x', 'Neu', 3, false, '_MARNM', 'y', concat('Mehr', c_custkey % 2), 0, false, 'NAME', 'Nele', 'z', 4, false, '_AKA', 'No', 'No') AS (seq, main, type, givn, surn)"
     names = customers.selectExpr("CAST(c_custkey AS STRING) AS person_id", rows)
-    facts = table(spark, d, "orders").selectExpr("CAST(o_custkey AS STRING) AS person_id", "o_orderkey AS seq", "CASE o_orderkey % 3 WHEN 0 THEN 'BIRT' WHEN 1 THEN 'RESI' ELSE 'DEAT' END AS tag", "CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE concat(' P', o_orderkey % 4, ' ') END AS place")
-    links = customers.selectExpr("c_custkey AS family_id", _LINKS).selectExpr("family_id", "CAST(p AS STRING) AS person_id", "role", "seq")
+    facts = person("orders", "o_custkey", "o_orderkey").selectExpr("CAST(o_custkey AS STRING) AS person_id", "o_orderkey AS seq", "CASE o_orderkey % 3 WHEN 0 THEN 'BIRT' WHEN 1 THEN 'RESI' ELSE 'DEAT' END AS tag", "CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE concat(' P', o_orderkey % 4, ' ') END AS place")
+    links = spread(table(spark, d, "customer").select("c_custkey"), "c_custkey").selectExpr("c_custkey AS family_id", _LINKS).selectExpr("family_id", "CAST(p AS STRING) AS person_id", "role", "seq")
     return people, names, facts, links
 
 
@@ -57,7 +59,7 @@ TREE_PEOPLE_SQL = f"""WITH {_KIN_SQL}, g AS (SELECT o_custkey, list('P' || o_ord
 def tree_family(spark: SparkSession, d: str) -> DataFrame:
     """Family members of each person as a review shows them: the first relation of each, in order."""
     people, _, _, links = _tree(spark, d)
-    return tree.family_view(links, people).join(people.select("person_id"), "person_id", "left_semi").select("person_id", "member", "relation", "place")
+    return tree.family_view(links, people).join(people.select("person_id").hint("merge"), "person_id", "left_semi").select("person_id", "member", "relation", "place")
 
 
 TREE_FAMILY_SQL = f"""WITH {_KIN_SQL} SELECT CAST(p AS VARCHAR) AS person_id, CAST(m AS VARCHAR) AS member, r AS relation, CAST(row_number() OVER (PARTITION BY p ORDER BY late, f, c, s) AS INT) AS place FROM q WHERE p IN (SELECT c_custkey FROM customer)"""

@@ -14,6 +14,11 @@ UNKNOWN_NAMES = ["@P.N.", "@N.N."]
 PORTAL = "portal:"
 
 
+def _by(rows: DataFrame, others: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by shuffles: a tree that grows must not be sent to all tasks on the strength of its size today."""
+    return rows.join(others.hint("merge"), on, how)
+
+
 def call_name(record: Column) -> Column:
     """The value of a record's first _RUFNAME line of any level, or null."""
     return F.nullif(T.trim(F.regexp_extract(record, r"(?m)^\d+ _RUFNAME ([^\r\n]*)", 1)), F.lit(""))
@@ -54,7 +59,7 @@ def names(rows: DataFrame, records: DataFrame | None = None) -> DataFrame:
     given = F.filter(F.split(F.coalesce("m.givn", F.lit("")), r"\s+"), lambda g: g != "")
     called = F.lit(None).cast("string")
     if records is not None:
-        got = got.join(records.select("person_id", call_name(F.col("record")).alias("call_name")).where("call_name is not null"), "person_id", "full_outer")
+        got = _by(got, records.select("person_id", call_name(F.col("record")).alias("call_name")).where("call_name is not null"), "person_id", "full_outer")
         called = F.col("call_name")
     none = F.array().cast("array<string>")
     name = F.struct(
@@ -80,12 +85,12 @@ def relatives(links: DataFrame, people: DataFrame) -> DataFrame:
     has the first relation; nobody is a relative of themselves. Joined by family, a family being a bounded group.
     """
     a, b = links.select("family_id", "person_id", F.col("role").alias("own")), links.select("family_id", F.col("person_id").alias("member"), "role", F.col("seq").alias("place"))
-    rows = a.join(b, "family_id").where("person_id <> member and (own = 'spouse' or role = 'spouse')")
+    rows = _by(a, b, "family_id").where("person_id <> member and (own = 'spouse' or role = 'spouse')")
     relation = F.when(F.col("own") == "child", "parent").otherwise(F.col("role"))
     rank = F.when(F.col("own") == "child", 2).when(F.col("role") == "spouse", 0).otherwise(1)
     at = F.struct((F.col("own") == "child").alias("late"), "family_id", rank.alias("rank"), "place")
     best = rows.select("person_id", "member", relation.alias("relation"), at.alias("seq")).groupBy("person_id", "member").agg(F.min_by("relation", "seq").alias("relation"), F.min("seq").alias("seq"))
-    return best.join(people.where("visible").select(F.col("person_id").alias("member")), "member").select("person_id", "member", "relation", "seq")
+    return _by(best, people.where("visible").select(F.col("person_id").alias("member")), "member").select("person_id", "member", "relation", "seq")
 
 
 def hydrate(people: DataFrame, name_rows: DataFrame, facts: DataFrame, links: DataFrame, ids: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
@@ -104,11 +109,12 @@ def hydrate(people: DataFrame, name_rows: DataFrame, facts: DataFrame, links: Da
     named = names(name_rows, records)
     null, none = F.lit("").cast("string"), F.array().cast("array<string>")
     nobody = F.struct(none.alias("given_names"), F.lit(None).cast("string").alias("call_name"), null.alias("surname"), F.lit(None).cast("string").alias("birth_surname"), none.alias("married_surnames"), none.alias("aliases"))
-    kin = relatives(links, people).where("relation <> 'parent'").join(named.withColumnsRenamed({"person_id": "member", "name": "member_name"}), "member", "left")
+    kin = _by(relatives(links, people).where("relation <> 'parent'"), named.withColumnsRenamed({"person_id": "member", "name": "member_name"}), "member", "left")
     member = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col("relation") == r, F.struct("seq", F.col("member").alias("id"), F.col("member_name").alias("name"))))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
     kin = kin.groupBy("person_id").agg(member("spouse").alias("spouses"), member("child").alias("children"))
     rows = wanted.where("visible").select("person_id", gender.alias("gender"), "birth", F.col("death").alias("tree_death"))
-    return rows.join(named, "person_id", "left").withColumn("name", F.coalesce("name", nobody)).join(places(facts), "person_id", "left").join(kin, "person_id", "left")
+    rows = _by(rows, named, "person_id", "left").withColumn("name", F.coalesce("name", nobody))
+    return _by(_by(rows, places(facts), "person_id", "left"), kin, "person_id", "left")
 
 
 def portal_sources(accepted: DataFrame, pending: DataFrame, hosts: DataFrame) -> DataFrame:

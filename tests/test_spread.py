@@ -13,6 +13,12 @@ def test_rows_are_dealt_to_all_tasks(spark, name):
     assert "REPARTITION_BY_NUM" in plan
 
 
+@pytest.mark.parametrize("name", ["tree_family", "tree_people"])
+def test_trees_are_sent_to_no_task_whole(spark, name):
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_a_body_is_parsed_once(spark):
     """A filter on the route does not repeat the parse in front of it."""
     plan = E.queries()["val_notices"](spark, SF)._jdf.queryExecution()
