@@ -62,7 +62,8 @@ def score(notices: DataFrame, candidates: DataFrame, cfg: scoring.ScoreConfig, k
 
     notices: of notice_keys(); candidates: of candidate_keys(). There being no other candidate, none is ambiguous and there is no runner-up.
     """
-    rows = scoring.score_pairs(notices.join(candidates, list(key)), cfg)
+    # A tree that grows must not be sent to all tasks on the strength of its size today.
+    rows = scoring.score_pairs(notices.join(candidates.hint("merge"), list(key)), cfg)
     facts = harvest(F.col("n_death"), F.col("cemetery"), F.col("funeral_date"), F.col("disposition"))
     return rows.withColumns({"facts": facts, "band": ranking.capped_band(F.col("total"), F.col("conflicts.hard")), "ambiguous": F.lit(False), "runner_up": F.lit(None).cast("string")})
 

@@ -7,10 +7,10 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["cfg_finders", "prs_dates", "str_query_hints"])
+@pytest.mark.parametrize("name", ["cfg_finders", "prs_dates", "scr_pairs", "str_query_hints", "win_pairs"])
 def test_rows_are_dealt_to_all_tasks(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "REPARTITION_BY_NUM" in plan
+    assert plan.count("REPARTITION_BY_NUM") >= plan.count("FileScan") and "BroadcastHashJoin" not in plan
 
 
 @pytest.mark.parametrize("name", ["tree_family", "tree_people"])
