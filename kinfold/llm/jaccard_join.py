@@ -2,7 +2,9 @@
 
 Every document's set is the 64-bit hashes of its word shingles; equal sets are one class, so copies are never paired.
 Two sets that link must share a token among the first n - ceil(t n) + 1 of each, in any order that holds for all sets;
-here tokens that many sets hold come last. Prefix postings travel as packed arrays, dealt by token.
+here tokens that many sets hold come last, by their number, and tokens of one set alone come first, so that few shingles that meet by
+chance are in a prefix: their pairs grow as the square of the input. A bitmap of bounded size tells tokens that may come twice; all
+others find nobody and are not sent. Prefix postings travel as packed arrays, dealt by token.
 
 Skipping in an index list: its sets are sorted by size and cut into blocks. A set's slack is what its remaining length (what is
 behind the token's position) allows a partner's size to be; a block whose best slack reaches no other block's
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 from .shared import connected_components, drop_stored, small, store
 from .textbytes import U, frugal, groups, mix, shingle_sets, text_bytes
 
-BLOCK, FLUSH = 16, 1 << 18
+BLOCK, FLUSH, COUNT_FLUSH = 16, 1 << 18, 1 << 20
+#: Bits by which the tokens of a bucket are counted: a few that share them count as one.
+LOW = 24
 
 
 @dataclass(frozen=True)
@@ -49,6 +53,7 @@ class Limits:
     slice: int = 1 << 13  # members of a hub to a row, about
     hot: int = 4  # tokens of so many sets come last in the order, by their number
     max_hot: int = 1 << 18  # of such tokens, at most so many (the most frequent) are known to all tasks, 4 MB, and all that are dealt into parts
+    cell_bits: int = 29  # of the bitmap of tokens that may come twice: at most 2 ** 29 cells (64 MB), else one for two shingles
     hot_part: int = 1 << 16  # postings of one token to a part, at least; at most 2 ** 20 tokens (16 MB) are dealt into parts
     bucket: int = 1 << 18  # postings to a bucket, about
     seen: int = 1 << 16  # names that a task remembers, to leave out copies
@@ -127,23 +132,40 @@ def _describe(width, name_bits):
 # ---- frequent tokens ----
 
 
-def _count_blobs(width, bits):
+def gaps_of(x: np.ndarray) -> bytes:
+    """Sorted numbers as 16-bit gaps; 65535 stands for a step of so many without a number."""
+    steps, rest = np.divmod(np.diff(x.astype(np.int64), prepend=0), 65535)
+    out = np.full(len(x) + int(steps.sum()), 65535, np.uint16)
+    out[np.cumsum(steps + 1) - 1] = rest
+    return out.tobytes()
+
+
+def from_gaps(packed: bytes) -> np.ndarray:
+    gaps = np.frombuffer(packed, np.uint16)
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 65535].astype(np.uint32)
+
+
+def _count_blobs(width, bits, remember):
     def run(batches):
-        """(text) -> (bucket, packed 32-bit tokens)."""
-        have, size = [], 0
+        """(text) -> (bucket, packed tokens). Copies that the task remembers are left out: a set counts once."""
+        have, size, seen = [], 0, set()
 
         def out():
             x = np.sort(np.concatenate(have))
             cuts = np.searchsorted(x, np.arange(1 << bits, dtype=U) << U(64 - bits)).tolist() + [len(x)]
-            low = (x >> U(32 - bits)).astype(np.uint32)
-            rows = [(b, low[p:q].tobytes()) for b, (p, q) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if q > p]
+            low = (x >> U(64 - LOW - bits)).astype(np.int64) & ((1 << LOW) - 1)
+            rows = [(b, gaps_of(low[p:q])) for b, (p, q) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if q > p]
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([t for _, t in rows], pa.binary())], names=["bucket", "tokens"])
 
         for batch in batches:
             for _, s in sets_of(batch.column(0), width):
+                if not len(s) or (name := (name_of(s), check_of(s))) in seen:
+                    continue
+                if len(seen) < remember:
+                    seen.add(name)
                 have.append(s)
                 size += len(s)
-                if size >= FLUSH:
+                if size >= COUNT_FLUSH:
                     yield out()
                     have, size = [], 0
         if size:
@@ -152,13 +174,36 @@ def _count_blobs(width, bits):
     return run
 
 
-def _frequent(least):
+def repeated_cells(low: np.ndarray, n: np.ndarray, width: int) -> tuple[bytes, bool]:
+    """A bitmap of 2 ** width cells of a bucket: those of tokens that come more than once. Where these are more than the cells, the most frequent ones, and false: others may come twice as well."""
+    least, most = 2, 1 << width
+    if np.count_nonzero(n >= least) > most:
+        least = int(np.partition(n, -most - 1)[-most - 1]) + 1
+    cells = np.zeros(1 << width, bool)
+    cells[low[n >= least] >> np.uint32(LOW - width)] = True
+    return np.packbits(cells).tobytes(), least == 2
+
+
+def is_repeated(s: np.ndarray, cells: np.ndarray, cell_bits: int) -> np.ndarray:
+    """Which tokens of a set have their cell marked; a cell's number is a token's first bits."""
+    at = s >> U(64 - cell_bits)
+    return (cells[at >> U(3)] >> (U(7) - (at & U(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def _frequent(least, width):
     def run(key, table):
-        x = np.sort(np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table.column("tokens")]))
+        """All tokens of a bucket -> the frequent ones, and one row with the bucket's cells (token: the bucket)."""
+        x = np.sort(np.concatenate([from_gaps(b.as_py()) for b in table.column("tokens")]))
         at = np.flatnonzero(np.concatenate([[True], np.diff(x) > 0]))
         n = np.diff(np.append(at, len(x)))
         hot = n >= least
-        return pa.table({"token": (np.int64(key[0].as_py()) << 32) | x[at[hot]].astype(np.int64), "n": n[hot]})
+        low, n, bucket = x[at], n.astype(np.int64), np.int64(key[0].as_py())
+        cells, whole = repeated_cells(low, n, width)
+        none = [None] * int(hot.sum())
+        return pa.table({
+            "token": np.append((bucket << LOW) | low[hot].astype(np.int64), bucket), "n": pa.array([*n[hot].tolist(), None], pa.int64()),
+            "cells": pa.array([*none, cells], pa.binary()), "whole": pa.array([*none, whole], pa.bool_()),
+        })
 
     return run
 
@@ -166,30 +211,29 @@ def _frequent(least):
 # ---- prefix postings and index lists ----
 
 
-def ordered_prefix(s: np.ndarray, bits: int, hot: np.ndarray, place: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of a sorted set with the frequent tokens last, by their place, and for each the index in hot, or -1."""
+def ordered_prefix(s: np.ndarray, bits: int, hot: np.ndarray, place: np.ndarray, cells: np.ndarray, cell_bits: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The prefix of a sorted set: first the tokens whose cell is not marked, the frequent ones last, by their place. For each the index in hot, or -1; and how many are of the first kind."""
     p = prefix_length(len(s), num, den)
-    if not len(hot):
-        return s[:p], np.full(p, -1)
-    short = (s >> U(32 - bits)).astype(np.int64)
-    at = np.minimum(np.searchsorted(hot, short), len(hot) - 1)
-    is_hot = hot[at] == short
-    if not is_hot.any():
-        return s[:p], np.full(p, -1)
-    rare = s[~is_hot][:p]
+    short = (s >> U(64 - LOW - bits)).astype(np.int64)
+    at = np.minimum(np.searchsorted(hot, short), max(0, len(hot) - 1))
+    is_hot = hot[at] == short if len(hot) else np.zeros(len(s), bool)
+    rare = s[~is_hot]
+    twice = is_repeated(rare, cells, cell_bits)
+    single = min(p, len(rare) - int(twice.sum()))
+    rare = np.concatenate([rare[~twice], rare[twice]])[:p]
     at = at[is_hot]
     late = np.lexsort((s[is_hot], place[at]))[: p - len(rare)]
-    return np.concatenate([rare, s[is_hot][late]]), np.concatenate([np.full(len(rare), -1), at[late]])
+    return np.concatenate([rare, s[is_hot][late]]), np.concatenate([np.full(len(rare), -1), at[late]]), single
 
 
 _POST = ["bucket", "part", "token", "name", "n", "rest"]
 
 
-def _postings(width, hot_bits, bits, hot, num, den, hot_part, names_of, remember):
+def _postings(width, hot_bits, bits, hot, cell_bits, whole, num, den, hot_part, names_of, remember):
     def run(batches):
-        """(text) -> (bucket, part, packed postings). rest: tokens of the set from this position on, this one included."""
-        tokens, parts, names, sizes, lengths, size, seen = [], [], [], [], [], 0, set()
-        keys, counts = hot.value
+        """(text) -> (bucket, part, packed postings). rest: tokens of the set from this position on, this one included. Tokens of one set alone are left out, if that is certain (whole)."""
+        tokens, parts, names, sizes, lengths, skipped, size, seen = [], [], [], [], [], [], 0, set()
+        keys, counts, cells = hot.value
         places = np.empty(len(keys), np.int64)
         places[np.lexsort((keys, counts))] = np.arange(len(keys))
 
@@ -198,7 +242,8 @@ def _postings(width, hot_bits, bits, hot, num, den, hot_part, names_of, remember
             length = np.array(lengths, np.int64)
             n = np.repeat(np.array(sizes, np.int32), length)
             name = np.repeat(np.array(names, np.int64), length)
-            rest = n - (np.arange(len(tok)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
+            before = np.cumsum(length) - length - np.array(skipped, np.int64)
+            rest = n - (np.arange(len(tok)) - np.repeat(before, length)).astype(np.int32)
             bucket = (tok >> U(64 - bits)).astype(np.int64)
             low = (tok >> U(32 - bits)).astype(np.uint32)
             part = np.concatenate(parts)
@@ -216,7 +261,11 @@ def _postings(width, hot_bits, bits, hot, num, den, hot_part, names_of, remember
                     continue
                 if len(seen) < remember:
                     seen.add(name)
-                tok, at = ordered_prefix(s, hot_bits, keys, places, num, den)
+                tok, at, single = ordered_prefix(s, hot_bits, keys, places, cells, cell_bits, num, den)
+                single = single if whole else 0
+                if single == len(tok):
+                    continue
+                tok, at = tok[single:], at[single:]
                 # A token of very many sets is dealt into parts; part 0 is everything else.
                 split = np.where(at >= 0, counts[at] // hot_part if len(counts) else 0, 0)
                 parts.append(np.where(split > 0, 1 + (name & 0x7FFFFFFF) % np.maximum(split, 1), 0))
@@ -224,10 +273,11 @@ def _postings(width, hot_bits, bits, hot, num, den, hot_part, names_of, remember
                 names.append(name)
                 sizes.append(len(s))
                 lengths.append(len(tok))
+                skipped.append(single)
                 size += len(tok)
                 if size >= FLUSH:
                     yield out()
-                    tokens, parts, names, sizes, lengths, size = [], [], [], [], [], 0
+                    tokens, parts, names, sizes, lengths, skipped, size = [], [], [], [], [], [], 0
         if size:
             yield out()
 
@@ -480,23 +530,28 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     power = lambda x: max(2, int(np.ceil(np.log2(max(1, x)))))
 
     # Which tokens are frequent decides on order and speed, never on results.
-    bits = min(30, power(total / (2 * lim.bucket)))
-    frequent = docs.select(text).mapInArrow(frugal(_count_blobs(width, bits)), "bucket int, tokens binary").groupBy("bucket").applyInArrow(_frequent(lim.hot), "token long, n long")
+    bits = min(30, power(total / (4 * lim.bucket)))
+    cell_bits = min(bits + LOW, max(bits + 3, min(lim.cell_bits, power(total / 2))))
+    frequent = docs.select(text).mapInArrow(frugal(_count_blobs(width, bits, lim.seen)), "bucket int, tokens binary").groupBy("bucket").applyInArrow(_frequent(lim.hot, cell_bits - bits), "token long, n long, cells binary, whole boolean")
     frequent = kept(frequent.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "frequent")
     # Those dealt into parts are always known: at most total / (2 * hot_part), whatever max_hot.
     hot_part = max(lim.hot_part, total >> 21)
     least, n, heavy = 0, 0, int(8 * np.log2(2 * hot_part))
-    for r in frequent.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+    for r in frequent.where("cells is null").groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
         n += r.n
         if n > lim.max_hot:
             least = min(r.level + 1, heavy)
             break
     hot = frequent.where(F.col("level") >= least).select("token", "n").toArrow()
     order = np.argsort(hot.column("token").to_numpy())
-    shared = spark.sparkContext.broadcast((hot.column("token").to_numpy()[order], hot.column("n").to_numpy()[order]))
+    cells = np.zeros((1 << bits, 1 << cell_bits - bits - 3), np.uint8)
+    whole = True
+    for r in frequent.where("cells is not null").select("token", "cells", "whole").toLocalIterator():
+        cells[r.token], whole = np.frombuffer(r.cells, np.uint8), whole and r.whole
+    shared = spark.sparkContext.broadcast((hot.column("token").to_numpy()[order], hot.column("n").to_numpy()[order], cells.ravel()))
 
     hot_bits, bits = bits, min(30, power(total * (den - num) / den / lim.bucket))
-    post = docs.select(text).mapInArrow(frugal(_postings(width, hot_bits, bits, shared, num, den, hot_part, namer(lim.name_bits, clashes), lim.seen)), "bucket int, part int, token binary, name binary, n binary, rest binary")
+    post = docs.select(text).mapInArrow(frugal(_postings(width, hot_bits, bits, shared, cell_bits, whole, num, den, hot_part, namer(lim.name_bits, clashes), lim.seen)), "bucket int, part int, token binary, name binary, n binary, rest binary")
     found = kept(post.groupBy("bucket", "part").applyInArrow(_lists(num, den, lim), _FOUND), "found")
 
     def side(c):
