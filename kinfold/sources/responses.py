@@ -104,11 +104,12 @@ def first_of(xs: Column, fault) -> Column:
 
 @dataclass(frozen=True)
 class Validated:
-    """jobs: all columns of the input but the body, and route, reason. notices and coverage: of accepted responses, with seq, the place in their list."""
+    """jobs: all columns of the input but the body, and route, reason. notices and coverage: of accepted responses, with seq, the place in their list. found: what notices are read from by details()."""
 
     jobs: DataFrame
     notices: DataFrame
     coverage: DataFrame
+    found: DataFrame
 
 
 def _relatives(n: Column) -> Column:
@@ -130,6 +131,19 @@ def _parsed_name(n: Column) -> Column:
     return F.when(is_kind(p, "object") & ((surname != "") | (F.size(given) > 0)), own).otherwise(parsed)
 
 
+def details(found: DataFrame) -> DataFrame:
+    """The notices of Validated.found with their names, dates and all else, in place of n. Names and dates cost far more than the rest; where only a part of the notices is kept, that part is first told by its row_key."""
+    n = F.col("n")
+    type_ = F.when(string(n, "noticeType").isin(NOTICE_TYPES), string(n, "noticeType")).otherwise("obituary")
+    place = lambda name: F.when(T.trim(string(n, name)) != "", string(n, name))
+    own = [c for c in found.columns if c not in ("url", "row_key", "n")]
+    return found.select(
+        *own, type_.alias("notice_type"), string(n, "name").alias("name"), _parsed_name(n).alias("parsed_name"), *(D.parse_date(string(n, f)).alias(c) for f, c in (("birth", "birth"), ("death", "death"), ("funeralDate", "funeral_date"))),
+        place("place").alias("place"), place("cemetery").alias("cemetery"), integer(n, "age").alias("age"), _relatives(n).alias("relatives"), "url", "row_key",
+        F.coalesce(string(n, "source"), F.lit("")).alias("source"), string(n, "fetchedAt").alias("fetched_at"), F.coalesce(string(n, "disposition"), F.lit("burial")).alias("disposition"),
+    )
+
+
 def validate(responses: DataFrame, job: str = "job_id", requested: str = "requested_person_ids", body: str = "body", carry: tuple[str, ...] = (), stage: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Validated:
     """Validate one response a row.
 
@@ -166,14 +180,8 @@ def validate(responses: DataFrame, job: str = "job_id", requested: str = "reques
     jobs = rows.drop("__r")
     held = rows.where("route = 'completed'").select(F.col(job).alias("job_id"), *carry, F.explode("__r").alias("e")).select("job_id", *carry, F.col("e.key").alias("person_id"), F.col("e.value").alias("r"))
     listed = held.select("job_id", *carry, "person_id", F.posexplode(items(F.col("r"), "notices")).alias("seq", "n")).where(notice_kept(F.col("n")))
-    n = F.col("n")
-    type_ = F.when(string(n, "noticeType").isin(NOTICE_TYPES), string(n, "noticeType")).otherwise("obituary")
-    place = lambda name: F.when(T.trim(string(n, name)) != "", string(n, name))
-    notices = listed.select(
-        "job_id", *carry, "person_id", "seq", type_.alias("notice_type"), string(n, "name").alias("name"), _parsed_name(n).alias("parsed_name"), *(D.parse_date(string(n, f)).alias(c) for f, c in (("birth", "birth"), ("death", "death"), ("funeralDate", "funeral_date"))),
-        place("place").alias("place"), place("cemetery").alias("cemetery"), integer(n, "age").alias("age"), _relatives(n).alias("relatives"), string(n, "url").alias("url"), U.row_key(string(n, "url")).alias("row_key"),
-        F.coalesce(string(n, "source"), F.lit("")).alias("source"), string(n, "fetchedAt").alias("fetched_at"), F.coalesce(string(n, "disposition"), F.lit("burial")).alias("disposition"),
-    )
+    url = string(F.col("n"), "url")
+    found = listed.select("job_id", *carry, "person_id", "seq", url.alias("url"), U.row_key(url).alias("row_key"), "n")
     e = F.col("c")
     coverage = held.select("job_id", *carry, "person_id", F.posexplode(items(F.col("r"), "coverage")).alias("seq", "c")).select("job_id", *carry, "person_id", "seq", string(e, "portal").alias("portal"), string(e, "status").alias("status"), integer(e, "noticeCount").alias("notice_count"), string(e, "message").alias("message"))
-    return Validated(jobs, notices, coverage)
+    return Validated(jobs, details(found), coverage, found)

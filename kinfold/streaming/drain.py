@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import ingest, ledger, stores
 from ..sources.folders import drop_staged, staged
 from ..sources.keyed import KeyedStore, Table
-from ..sources.responses import validate
+from ..sources.responses import details, validate
 
 RESPONSES = "job_id string, tree_id int, requested_person_ids array<string>, signature string, finder_id string, received_at long, body string"
 PERSON = ("tree_id", "person_id")
@@ -100,20 +100,22 @@ def drain_tables(
     jobs = stage(first.join(taken, "job_id", "left").withColumn("action", F.coalesce("action", rest)), "taken")
 
     good = jobs.where("action = 'ingest'").select("job_id", "received_at", "response")
-    notices, coverage = (stage(x.join(good, ["job_id", "received_at", "response"], "left_semi").drop("response"), tag) for x, tag in ((v.notices, "notices"), (v.coverage, "coverage")))
-    got = ingest.ingest(notices, coverage, people, state["matches"], origin=F.col("finder_id"), key=PERSON, order=(*TURN, "seq"))
+    found, coverage = (stage(x.join(good, ["job_id", "received_at", "response"], "left_semi").drop("response"), tag) for x, tag in ((v.found, "notices"), (v.coverage, "coverage")))
+    # Of a person's notices of one URL the last alone is read in full.
+    last = stores.last_wins(found, [*PERSON, "row_key"], [*TURN, "seq"]).select(*found.columns)
+    got = ingest.ingest(details(last), coverage, people, state["matches"], origin=F.col("finder_id"), key=PERSON, order=(*TURN, "seq"))
 
     # By job: notices read, people of those asked for who are held, matches stored, warnings.
     asked = jobs.where("action = 'ingest'").select("job_id", "tree_id", F.explode("requested_person_ids").alias("person_id")).distinct()
     held = people.select(*PERSON).distinct()
-    found = asked.join(held, list(PERSON), "left_semi").groupBy("job_id").agg(F.count("*").alias("candidates_found"))
-    read = notices.groupBy("job_id").agg(F.count("*").alias("notices_read"))
-    kept = notices.select("job_id", *PERSON, "row_key").distinct().join(got.stored_keys, [*PERSON, "row_key"], "left_semi").groupBy("job_id").agg(F.count("*").alias("matches_stored"))
-    unheld = notices.join(held, list(PERSON), "left_anti").groupBy("job_id", *PERSON).agg(F.count("*").alias("n")).select("job_id", *PERSON, F.lit("no_candidate").alias("kind"), F.lit(None).cast("string").alias("portal"), "n")
+    candidates = asked.join(held, list(PERSON), "left_semi").groupBy("job_id").agg(F.count("*").alias("candidates_found"))
+    read = found.groupBy("job_id").agg(F.count("*").alias("notices_read"))
+    kept = found.select("job_id", *PERSON, "row_key").distinct().join(got.stored_keys, [*PERSON, "row_key"], "left_semi").groupBy("job_id").agg(F.count("*").alias("matches_stored"))
+    unheld = found.join(held, list(PERSON), "left_anti").groupBy("job_id", *PERSON).agg(F.count("*").alias("n")).select("job_id", *PERSON, F.lit("no_candidate").alias("kind"), F.lit(None).cast("string").alias("portal"), "n")
     silent = coverage.where("status = 'failed'").join(held, list(PERSON), "left_semi").select("job_id", *PERSON, F.lit("portal_failed").alias("kind"), "portal", F.lit(1).cast("long").alias("n"))
     warnings = unheld.union(silent)
     numbers = ("notices_read", "candidates_found", "matches_stored", "warnings")
-    for counts in (read, found, kept, warnings.groupBy("job_id").agg(F.count("*").alias("warnings"))):
+    for counts in (read, candidates, kept, warnings.groupBy("job_id").agg(F.count("*").alias("warnings"))):
         jobs = jobs.join(counts, "job_id", "left")
     jobs = jobs.select("job_id", "tree_id", "finder_id", "received_at", "action", "reason", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers))
     action = F.col("action")
@@ -127,7 +129,7 @@ def drain_tables(
         "memory": remember(coverage, people, state["memory"]),
         "jobs": state["jobs"].unionByName(jobs.where(action.isin(*DONE))),
     }
-    return Drained(after, jobs, notices, warnings, summary)
+    return Drained(after, jobs, details(found), warnings, summary)
 
 
 def write_batch(out: str, people: str, source: str = "", trees: str | None = None, only_tree: int | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:

@@ -24,3 +24,15 @@ def test_a_body_is_parsed_once(spark):
     plan = E.queries()["val_notices"](spark, SF)._jdf.queryExecution()
     assert plan.optimizedPlan().toString().count("parseJson") == 1
     assert "REPARTITION_BY_NUM" in plan.executedPlan().toString()
+
+
+def test_notices_are_read_in_full_only_where_kept(spark):
+    """A drain keeps the notices of a batch as they came; names and dates are parsed of a person's last notice of a URL alone."""
+    from kinfold.plans import jobs
+    from kinfold.streaming import drain
+
+    held, trees = jobs._held(spark, SF)
+    kept = {}
+    got = drain.drain_tables(jobs._responses(spark, SF), held, None, trees, stage=lambda rows, tag: kept.setdefault(tag, rows))
+    assert {"url", "row_key", "seq"} <= set(kept["notices"].columns) and "parsed_name" not in kept["notices"].columns
+    assert "parsed_name" in got.notices.columns and "n" not in got.notices.columns
