@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .shared import connected_components, drop_stored, small, store
 from .textbytes import U, frugal, groups, mix, shingle_sets, text_bytes
 
-BLOCK, FLUSH, COUNT_FLUSH = 16, 1 << 18, 1 << 20
+BLOCK, FLUSH, COUNT_FLUSH = 16, 1 << 18, 1 << 21
 #: Bits by which the tokens of a bucket are counted: a few that share them count as one.
 LOW = 24
 
@@ -58,7 +58,7 @@ class Limits:
     bucket: int = 1 << 18  # postings to a bucket, about
     seen: int = 1 << 16  # names that a task remembers, to leave out copies
     name_bits: int = 64
-    broadcast: int = 1 << 20  # sets of candidates, 16 bytes each, that are sent to all tasks to pick their texts; more are joined by a shuffle
+    broadcast: int = 1 << 20  # sets of candidates, 16 to 40 bytes each, that are sent to all tasks to pick their texts; more are joined by a shuffle
 
 
 def name_of(tokens: np.ndarray, bits: int = 64) -> int:
@@ -133,16 +133,32 @@ def _describe(width, name_bits):
 
 
 def gaps_of(x: np.ndarray) -> bytes:
-    """Sorted numbers as 16-bit gaps; 65535 stands for a step of so many without a number."""
-    steps, rest = np.divmod(np.diff(x.astype(np.int64), prepend=0), 65535)
-    out = np.full(len(x) + int(steps.sum()), 65535, np.uint16)
-    out[np.cumsum(steps + 1) - 1] = rest
-    return out.tobytes()
+    """Sorted numbers of at most 24 bits as gaps: how many; the low bits of all, as many as suit the mean gap; then the rest of each as so many zeros and a one.
+
+    A gap takes about two bits more than the logarithm of the mean, however far apart the numbers are.
+    """
+    if not len(x):
+        return b""
+    gaps = np.diff(x.astype(np.int64), prepend=0).astype(np.uint32)
+    k = max(0, int(x[-1] * 0.7 / len(x)).bit_length() - 1)
+    low = (gaps[:, None] >> np.arange(k, dtype=np.uint32) & np.uint32(1)).astype(bool)
+    at = np.cumsum((gaps >> np.uint32(k)).astype(np.int64) + 1) - 1
+    high = np.zeros(int(at[-1]) + 1, bool)
+    high[at] = True
+    return np.array([len(x), k], np.uint32).tobytes() + np.packbits(low).tobytes() + np.packbits(high).tobytes()
 
 
 def from_gaps(packed: bytes) -> np.ndarray:
-    gaps = np.frombuffer(packed, np.uint16)
-    return np.cumsum(gaps, dtype=np.int64)[gaps < 65535].astype(np.uint32)
+    if not packed:
+        return np.zeros(0, np.uint32)
+    n, k = (int(v) for v in np.frombuffer(packed, np.uint32, 2))
+    bits, size = np.frombuffer(packed, np.uint8, offset=8), -(-n * k // 8)
+    low = np.unpackbits(bits[:size], count=n * k).reshape(n, k)
+    at = np.flatnonzero(np.unpackbits(bits[size:]))
+    gaps = (np.diff(at, prepend=-1) - 1) << k
+    for i in range(k):
+        gaps += low[:, i].astype(np.int64) << i
+    return np.cumsum(gaps).astype(np.uint32)
 
 
 def _count_blobs(width, bits, remember):
@@ -151,7 +167,9 @@ def _count_blobs(width, bits, remember):
         have, size, seen = [], 0, set()
 
         def out():
-            x = np.sort(np.concatenate(have))
+            x = np.concatenate(have)
+            have.clear()
+            x.sort()
             cuts = np.searchsorted(x, np.arange(1 << bits, dtype=U) << U(64 - bits)).tolist() + [len(x)]
             low = (x >> U(64 - LOW - bits)).astype(np.int64) & ((1 << LOW) - 1)
             rows = [(b, gaps_of(low[p:q])) for b, (p, q) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if q > p]
@@ -167,7 +185,7 @@ def _count_blobs(width, bits, remember):
                 size += len(s)
                 if size >= COUNT_FLUSH:
                     yield out()
-                    have, size = [], 0
+                    size = 0
         if size:
             yield out()
 
@@ -512,6 +530,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
         scratch.append(store(df, tag))
         return scratch[-1]
 
+    def sent(df, tag):
+        """Rows that ask for texts, without them: to all tasks if they are few, so that the texts are not shuffled to meet them."""
+        return small(kept(df, tag), lim.broadcast)
+
     nodes = kept(docs.select(F.col(row_id).alias("id"), key.alias("key"), text).mapInArrow(frugal(_describe(width, lim.name_bits)), f"id {kind}, key long, n long, name long, check long, bits binary"), "sets")
 
     def classes_of(nodes):
@@ -581,7 +603,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     leads = member.where("name = lead").select("name", "lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = member.where("name <> lead").select("name", "lead", "salt")
     absent = others.join(leads.select("lead"), "lead", "left_anti").select(F.col("lead").alias("name"), "lead", "salt").distinct()
-    rows = others.union(leads).union(absent).join(texts, "name").withColumn("component", F.col("name"))
+    rows = texts.join(sent(others.union(leads).union(absent), "groups"), "name").withColumn("component", F.col("name"))
     links = kept(rows.groupBy("lead", "salt").applyInArrow(_group_links(width, num, den), "u long, v long"), "links")
     components = connected_components(links)
 
@@ -596,7 +618,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     where = member.select("name", F.struct("lead", "salt").alias("group"))
     rest = label(label(pairs, "a", "ca"), "b", "cb").where("ca <> cb")
     rest = rest.join(where.select(F.col("name").alias("a"), F.col("group").alias("ga")), "a").join(where.select(F.col("name").alias("b"), F.col("group").alias("gb")), "b").where("ga <> gb").select("a", "b")
-    rest = rest.join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
+    rest = texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")).join(sent(rest, "rest"), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
     components = joined(kept(rest.select("a", "b", "text_a", "text_b").mapInArrow(frugal(_pair_links(width, num, den)), "u long, v long"), "links"))
 
     # Hubs whose members are in several components: blocks outside of the largest one meet all blocks of sizes in reach.
@@ -614,7 +636,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
         x, y = blocks.where("out = 1").select("hub", F.col("band").alias("xb"), F.col("block").alias("x")), blocks.select("hub", F.col("out").alias("yo"), F.col("band").alias("yb"), F.col("block").alias("y"))
         meets = x.join(y, "hub").where("abs(xb - yb) <= 1 and (yo = 0 or x <= y)").select("hub", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
         work = work.join(sizes, ["hub", "out", "band"]).withColumn("sub", F.pmod(F.xxhash64("name"), F.col("count"))).withColumn("block", block)
-        rows = work.select("hub", "block", "name", "component").join(meets, ["hub", "block"]).join(texts, "name")
+        rows = texts.join(sent(work.select("hub", "block", "name", "component").join(meets, ["hub", "block"]), "meets"), "name")
         more = rows.select("hub", "x", "y", "name", "text", "component").groupBy("hub", "x", "y").applyInArrow(_group_links(width, num, den), "u long, v long")
         components = joined(kept(more, "links"))
 

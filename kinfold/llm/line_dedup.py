@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, store
+from .shared import drop_stored, small, store
 from .textbytes import LOWER_TABLE, SPACE, U, frugal, mix
 
 SHARD_KEYS, SHARD_PROBES, GAMMA, FLUSH = 1 << 16, 1 << 17, 2.0, 1 << 18
@@ -218,7 +218,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, out: tu
     """
     src = docs.withColumns({"__ld_k1": F.xxhash64(F.lit(1), text), "__ld_k2": F.xxhash64(F.lit(2), F.reverse(F.coalesce(F.col(text), F.lit(""))), F.length(text))})
     counted = docs.select(text).mapInArrow(frugal(_count_lines), "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
-    counted = store(counted, "lines")
+    counted = lines = store(counted, "lines")
     shards = max(16, -(-counted.count() // SHARD_KEYS))
     # The shard is the unsigned remainder of hi, as in _probes.
     unsigned = F.col("hi").cast("decimal(20,0)") + F.when(F.col("hi") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
@@ -241,6 +241,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, out: tu
     )
     # A table of its own, so that the join below deals texts by key for itself alone and can split a text of very many copies.
     drops = store(drops, "drops").withColumnsRenamed({"k1": "__ld_k1", "k2": "__ld_k2"})
+    drop_stored(lines)
     texts_hit, lines_hit = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("__ld_drop")), F.lit(0))).first()
     # Where few enough texts lose lines these go to the texts; else texts move.
     drops = F.broadcast(drops) if texts_hit <= MOST_TEXTS and lines_hit <= MOST_LINES else drops.hint("merge")

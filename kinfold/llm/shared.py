@@ -26,11 +26,23 @@ def _path_of(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+#: Spark's setting by which an execution's shuffle files go at its end, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives any executor. It goes with the driver's end, if not dropped before."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives any executor. It goes with the driver's end, if not dropped before.
+
+    What was shuffled to write it goes at once, as nothing reads it again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     fs, p = _path_of(spark, path)
     fs.deleteOnExit(p)
     back = spark.read.schema(df.schema).parquet(path)
